@@ -1,11 +1,49 @@
-"""Training-data pipeline: rules, near-duplicates, decontamination, personal data, token ids."""
+"""Training-data pipeline: rules, near-duplicates, decontamination, personal data, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage
+before it kept. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pixelloom.llm import bpe, decontam, pii_crf, queries, repetition, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return repetition.keep_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontam.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; documents without any stay as they are."""
+    return pii_crf.redact(docs, pii_crf.learn(docs))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of each document."""
+    return bpe.round_trip(docs, bpe.Vocabulary.load(queries.tokenizer_path()), keep_ids=True)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("token_ids", token_ids)]
+
+#: SQL can't express the merges, the field or the trie join.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -304,8 +304,8 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.selectExpr("cast(doc_id as long) doc_id", "token_ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, its ids decoded again, and both digested, in one pass."""
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, and token_ids if wanted): each text is encoded, its ids decoded again, and both digested, in one pass."""
     shared = _share(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +314,10 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids, first = codec.encode(*tx.bytes_of(chunk.column(1)))
             plain = codec.decode(ids)
             sizes = np.concatenate([[0], np.cumsum(codec.v.length[ids])])[first]
-            raw, out = ids.astype("<u4"), plain
-            digest = [[hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)] for x, k in ((raw, first), (out, sizes))]
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(np.diff(first), pa.int64()), *map(pa.array, digest)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            digests = [[hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)] for x, k in ((ids.astype("<u4"), first), (plain, sizes))]
+            columns = [chunk.column(0), pa.array(np.diff(first), pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)

@@ -114,6 +114,22 @@ def _lists(values: np.ndarray, owner: np.ndarray, docs: int, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(docs + 1)), pa.int32()), pa.array(values, kind))
 
 
+def _places(words: np.ndarray, first: np.ndarray, lengths: list[int], members: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position among all words, shingle, document) of the shingles of the benchmark, in order of position."""
+    owner = tx.owners(first, len(words))
+    pos, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k in lengths:
+        grams = tx.ngram_hashes(words, k)
+        at = members.among(grams)
+        at = at[owner[at] == owner[at + k - 1]] if len(at) else at
+        pos.append(at)
+        found.append(grams[at])
+    at, shingles = np.concatenate(pos), np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    at, shingles = at[order], shingles[order]
+    return at, shingles, owner[at] if len(at) else np.zeros(0, np.int64)
+
+
 def _find_shingles(docs: DataFrame, shared) -> DataFrame:
     """A row of HITS for each row of docs (doc_id, text, key)."""
 
@@ -121,18 +137,7 @@ def _find_shingles(docs: DataFrame, shared) -> DataFrame:
         lengths, members = shared.value
         for chunk in tx.chunks(batches):
             words, first = words_of(*tx.bytes_of(chunk.column(1)))
-            owner = tx.owners(first, len(words))
-            pos, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for k in lengths:
-                grams = tx.ngram_hashes(words, k)
-                at = members.among(grams)
-                at = at[owner[at] == owner[at + k - 1]] if len(at) else at
-                pos.append(at)
-                found.append(grams[at])
-            pos, found = np.concatenate(pos), np.concatenate(found)
-            order = np.argsort(pos, kind="stable")
-            pos, found = pos[order], found[order]
-            doc = owner[pos] if len(pos) else np.zeros(0, np.int64)
+            pos, found, doc = _places(words, first, lengths, members)
             n = chunk.num_rows
             yield pa.RecordBatch.from_arrays(
                 [chunk.column(0), chunk.column(2), pa.array(np.diff(first), pa.int64()), _lists(pos - first[doc], doc, n, pa.int32()), _lists(found.view(np.int64), doc, n, pa.int64())],
@@ -253,3 +258,34 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int
     found = matches(docs, benchmark, window, shingle)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"]).cast("long")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 200_000) -> DataFrame:
+    """docs without the rows in which a window of the benchmark occurs; all columns stay. Reads the texts twice: for the counts, then for the join."""
+    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("text is not null and item_id is not null")
+    context = docs.sparkSession.sparkContext
+    place = docs.columns.index("text")
+    blocks = _blocks(items, block_words)
+    for block in range(blocks):
+        rows = sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())  # bounded by block_words
+        index = Index.build(rows, window, shingle)
+        members = Members(index.flat)
+        hits = _find_shingles(docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key")), context.broadcast((index.lengths, members)))
+        counts = hits.where("size(shingle) > 0").select(F.explode("shingle").alias("s")).groupBy("s").count()
+        seen = {r.s & (2**64 - 1): r["count"] for r in counts.collect()}  # of the block's shingles only
+        docs = docs.mapInArrow(_keeping(place, context.broadcast((index, members, index.prefixes(seen)))), docs.schema)
+    return docs
+
+
+def _keeping(place: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, members, prefixes = shared.value
+        for chunk in tx.chunks(batches):
+            words, first = words_of(*tx.bytes_of(chunk.column(place)))
+            pos, found, doc = _places(words, first, index.lengths, members)
+            own, _, _ = verify(np.diff(first), pos - first[doc], found, doc, index, prefixes)
+            keep = np.ones(chunk.num_rows, bool)
+            keep[own] = False
+            yield chunk.filter(pa.array(keep))
+
+    return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, decontam, langid, quality_gbdt, repetition, secrets, sharding, simhash, toxicity
+from pixelloom.llm import bpe, decontam, langid, pii_crf, quality_gbdt, repetition, secrets, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.report(docs, pii_crf.learn(docs))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.report(docs, secrets.fit(docs))
@@ -59,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_language, op4_sharding, op5_quality, op6_repetition_rules, op8_secrets, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_language, op4_sharding, op5_quality, op6_repetition_rules, op7_personal_data, op8_secrets, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -264,18 +264,23 @@ def link_forest(distinct: DataFrame, budget: int = 2, hot: int = 20_000) -> Data
 
 
 def fingerprint_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row of docs (doc_id, text)."""
+    """Rows of docs (text, and columns of type long) with fp, the text's fingerprint, in place of text."""
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
-            found = fingerprints(*tx.bytes_of(chunk.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = fingerprints(*tx.bytes_of(chunk.column(0)), shingle)
+            yield pa.RecordBatch.from_arrays([*(chunk.column(i + 1) for i in range(len(names))), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("text", *names).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, hot: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs; component_id is the least doc_id that links reach."""
+    return _grouped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), shingle, budget, hot).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, budget: int, hot: int) -> DataFrame:
     prints = cut(fingerprint_documents(docs, shingle))
     # equal fingerprints are one node, however many rows have them
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -283,4 +288,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, hot: int
     labelled = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
     least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, hot: int = 20_000) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the least doc_id (of the least hash of its text where ids repeat); all columns stay.
+
+    A row without a doc_id counts with a negative number made of its text.
+    """
+    digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+    number = F.coalesce(F.col("doc_id").cast("long"), -F.shiftrightunsigned(digest, 1) - 1)
+    rows = _grouped(docs.select(number.alias("doc_id"), digest.alias("digest"), "text"), shingle, budget, hot)
+    kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    repeats = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    kept = cut(kept.join(repeats, ["doc_id", "digest"]).selectExpr("doc_id number", "digest", "n"))
+    # the row is packed, so that its columns may have any names
+    packed = docs.select(number.alias("number"), digest.alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = packed.join(kept, ["number", "digest"])
+    once = found.where("n = 1").select("row.*")
+    if kept.where("n > 1").limit(1).count() == 0:
+        return once
+    # equal rows: one of each stays
+    return once.unionByName(found.where("n > 1").dropDuplicates(["number", "digest"]).select("row.*"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pixelloom.llm import secrets
@@ -40,8 +41,8 @@ def test_base_and_method(spark):
 
 
 def test_models_separate_held_out_strings(spark):
-    words = "the of and nation thing other responsible count index value file name table column test read write open close".split()
-    train = [(t, 1) for t in secrets.random_strings(3000, 1)] + [(t, 0) for t in secrets.ordinary_identifiers(words, 3000, 2)]
+    prose = [w.lower() for w in re.findall("[A-Za-z]{3,12}", f"{secrets.__doc__} {re.__doc__} {hashlib.__doc__} {random.__doc__}")]
+    train = [(t, 1) for t in secrets.random_strings(5000, 1)] + [(t, 0) for t in secrets.ordinary_identifiers(prose, 5000, 2)]
     models = secrets.train(spark.createDataFrame(train, "text string, label int"))
     other = "reason water paper house number window garden system people question".split()
     held = [(t, 1) for t in secrets.random_strings(300, 3)] + [(t, 0) for t in secrets.ordinary_identifiers(other, 900, 4) if len(t) >= 20]
