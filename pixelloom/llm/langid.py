@@ -95,7 +95,7 @@ class Models:
         lower = None
         for n in range(1, order + 2):
             keys = np.array(sorted({k for c in counts.values() for k in c if k >> (8 * n) == n}), np.uint64)
-            count = np.array([[counts[lang].get(int(k), 0) for lang in self.langs] for k in keys], np.float64).reshape(-1, width)
+            count = np.array([[counts[lang].get(int(k), 0) for lang in self.langs] for k in keys], np.float64).reshape(len(keys), width)
             context = keys >> _U(8)
             group, of = np.unique(context, return_inverse=True)
             total, kinds = np.zeros((len(group), width)), np.zeros((len(group), width))
