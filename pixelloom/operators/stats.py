@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pixelloom.functions.sql import LUMA, clamp, each, half_up, lerp, n, whole
 from pixelloom.operators.points import to_lab
 from pixelloom.plans.registry import plan
@@ -185,3 +187,23 @@ def delta_e(a: Rel, b: Rel) -> Rel:
     return both.agg(["image_id"], delta_e="avg(sqrt((_l1 - _ll) * (_l1 - _ll) + (_a1 - _aa) * (_a1 - _aa) + (_b1 - _bb) * (_b1 - _bb)))")
 
 
+
+
+def ssim(a: Rel, b: Rel, size: int = 11, sigma: float = 1.5) -> Rel:
+    """(image_id, ssim): structural similarity of 8-bit levels, by a Gaussian window that lies inside the image, mean over places and channels."""
+    r = size // 2
+    weights = [math.exp(-((i - r) ** 2) / (2 * sigma * sigma)) for i in range(size)]
+    taps = [(i - r, w / sum(weights)) for i, w in enumerate(weights)]
+    level = lambda c: half_up(clamp(c) + " * 255e0")
+    out = _compared(a, b).join(a.agg(["image_id"], _w="max(width)", _h="max(height)"), ["image_id"])
+    planes = {}
+    for c in "rgb":
+        u, v = level(c), level("_" + c)
+        planes |= {f"u{c}": u, f"v{c}": v, f"uu{c}": f"{u} * {u}", f"vv{c}": f"{v} * {v}", f"uv{c}": f"{u} * {v}"}
+    out = out.pick("image_id", "y", "x", "_w", "_h", **planes)
+    for axis, limit in (("x", "_w"), ("y", "_h")):
+        spread = out.join(out.values(["_d", "_k"], taps), []).let(**{axis: f"{axis} + _d"}).where(f"{axis} >= {r} AND {axis} < {limit} - {r}")
+        out = spread.agg(["image_id", "y", "x", "_w", "_h"], **{k: f"sum(_k * {k})" for k in planes})
+    c1, c2 = n((0.01 * 255) ** 2), n((0.03 * 255) ** 2)
+    index = lambda c: f"(2e0 * u{c} * v{c} + {c1}) * (2e0 * (uv{c} - u{c} * v{c}) + {c2}) / ((u{c} * u{c} + v{c} * v{c} + {c1}) * (uu{c} - u{c} * u{c} + vv{c} - v{c} * v{c} + {c2}))"
+    return out.agg(["image_id"], ssim="avg((" + " + ".join(index(c) for c in "rgb") + ") / 3e0)")

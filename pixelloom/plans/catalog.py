@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.functions.sql import LUMA
-from pixelloom.operators import geometry, kernels, points, stats
+from pixelloom.operators import geometry, kernels, looks, points, stats
 from pixelloom.plans import forms, run
 from pixelloom.plans.registry import OPERATORS, Operator
 from pixelloom.plans.rel import Rel, SparkRel, Tables
 from pixelloom.sources import tables as sources
 
-assert kernels and forms  # registered on import
+assert kernels and forms and looks  # registered on import
 
 PX = ("image_id", "width", "height", "y", "x", "r", "g", "b", "a")
 
@@ -53,6 +53,7 @@ def _reports() -> dict[str, Callable[[Tables], Rel]]:
         "histogram_u16": lambda t: stats.histogram(events(t), 65536),
         "statistics": lambda t: six(stats.statistics(events(t)), "low", "high", "mean", "deviation"),
         "metrics": lambda t: six(stats.metrics(events(t), orders(t)), "mae", "rmse", "psnr"),
+        "ssim": lambda t: six(stats.ssim(events(t), orders(t)), "ssim"),
         "delta_e": lambda t: six(stats.delta_e(events(t), orders(t)), "delta_e"),
         "histogram_match": lambda t: rounded(stats.histogram_match(events(t), orders(t))),
         "concat_horizontal": lambda t: rounded(geometry.concat([events(t), geometry.crop(orders(t), 0, 0, 9, 7)], gap=2)),
@@ -61,6 +62,9 @@ def _reports() -> dict[str, Callable[[Tables], Rel]]:
         "composite_over": lambda t: rounded(geometry.composite_over(geometry.crop(orders(t), 2, 2, 8, 8), events(t), 5, -2)),
         "displace": lambda t: rounded(geometry.displace(events(t), orders(t).pick("image_id", "y", "x", map_x="x + (r - 0.5e0) * 9e0", map_y="y + (g - 0.5e0) * 9e0"))),
         "four_point_warp": lambda t: rounded(OPERATORS["perspective_warp"].plan(events(t), **_corners())),
+        **{f"aces_output_{d}": lambda t, d=d: rounded(OPERATORS["aces_output"].plan(events(t), display=d)) for d in ("rec709", "p3")},
+        **{f"encode_{s}": lambda t, s=s: rounded(OPERATORS["encode_space"].plan(events(t), to=s)) for s in ("lch", "luv", "oklab", "prophoto", "adobe_rgb", "xyz", "cmyk")},
+        **{f"decode_{s}": lambda t, s=s: rounded(OPERATORS["decode_space"].plan(OPERATORS["encode_space"].plan(events(t), to=s), of=s)) for s in ("lab", "oklab", "prophoto", "xyz", "cmyk")},
         **{f"blend_{name}": lambda t, m=m: rounded(points.blend_dual(orders(t), events(t), m, 0.75)) for m, name in enumerate(points.MODES)},
         **{f"resize_{m}": lambda t, m=m: rounded(geometry.resize(events(t), 7, 21, m)) for m in ("nearest", "bilinear", "bicubic", "lanczos3")},
         **{f"to_{s}": lambda t, s=s: rounded(events(t).steps(*points.conversion("linear", s))) for s in ("srgb", "acescg", "acescct", "acescc", "aces2065_1")},

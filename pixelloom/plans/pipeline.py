@@ -20,11 +20,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from pixelloom.operators import geometry, kernels, points, stats
+from pixelloom.operators import geometry, kernels, looks, points, stats
 from pixelloom.plans import run
 from pixelloom.plans.registry import OPERATORS, PIXEL, Operator
 
-assert geometry and kernels and points and stats  # registered on import
+assert geometry and kernels and looks and points and stats  # registered on import
 
 #: Categories whose operators change a pixel by itself and not by its place.
 BY_VALUE = {"adjustment", "evaluate", "color", "grading", "alpha", "colour management"}
