@@ -143,7 +143,7 @@ def affine(rel: Rel, a: float, b: float, tx: float, c: float, d: float, ty: floa
     if abs(det) < 1e-12:
         raise ValueError("the matrix has no inverse")
     x, y = f"(x - {n(tx)})", f"(y - {n(ty)})"
-    return _inverse(rel, str(w), str(h), f"({n(d)} * {x} - {n(b)} * {y}) / {n(det)}", f"({n(a)} * {y} - {n(c)} * {x}) / {n(det)}", [fill[f"fill_{k}"] for k in CHANNELS])
+    return _inverse(rel, f"cast({w} as bigint)", f"cast({h} as bigint)", f"({n(d)} * {x} - {n(b)} * {y}) / {n(det)}", f"({n(a)} * {y} - {n(c)} * {x}) / {n(det)}", [fill[f"fill_{k}"] for k in CHANNELS])
 
 
 @plan("rotate_arbitrary", "geometry", {"degrees": 25.0}, degrees=(0.0, -360.0, 360.0), **FILL)

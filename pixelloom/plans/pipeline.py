@@ -20,11 +20,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from pixelloom.operators import geometry, kernels, looks, points, stats
+from pixelloom.operators import geometry, kernels, looks, points, stats, warps
 from pixelloom.plans import run
 from pixelloom.plans.registry import OPERATORS, PIXEL, Operator
 
-assert geometry and kernels and looks and points and stats  # registered on import
+assert geometry and kernels and looks and points and stats and warps  # registered on import
 
 #: Categories whose operators change a pixel by itself and not by its place.
 BY_VALUE = {"adjustment", "evaluate", "color", "grading", "alpha", "colour management"}
@@ -98,7 +98,7 @@ class Pipeline:
         todo = self.planned()
         while at < len(todo):
             s = todo[at]
-            if s.op.kernel is None:
+            if not run.uses_kernel(s.op, df):
                 if run.is_packed(df):
                     df = run.to_pixels(df)
                 others = [o.pixels() if isinstance(o, Pipeline) else o for o in s.others]
@@ -106,7 +106,7 @@ class Pipeline:
                 at += 1
                 continue
             end = at
-            while end < len(todo) and todo[end].op.kernel is not None:
+            while end < len(todo) and run.uses_kernel(todo[end].op, df):
                 end += 1
             chain = [(lambda img, f=t.op.kernel, p=t.params: f(img, **p)) for t in todo[at:end]]
             if run.is_packed(df):

@@ -4,7 +4,8 @@
 shape (height, width, 4). Where an operator has both, images run through the
 kernel and the plan is its independent statement in SQL. `halo` is how far a
 kernel looks around a pixel, as a function of its parameters: with it, large
-images are cut into tiles; without it a kernel sees whole images.
+images are cut into tiles; without it a kernel sees whole images. `narrow` marks
+plans that move no rows, which run on rows of pixels although there is a kernel.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class Operator:
     halo: Callable[..., int] | None = None
     space: str | None = None
     inputs: int = 1
+    narrow: bool = False
     example: dict[str, Any] = field(default_factory=dict)
     doc: str = ""
 

@@ -119,9 +119,13 @@ def is_packed(df: DataFrame) -> bool:
     return "data" in df.columns
 
 
+def uses_kernel(op: Operator, df: DataFrame) -> bool:
+    return op.kernel is not None and (is_packed(df) or not op.narrow)
+
+
 def apply(df: DataFrame, op: Operator, params: dict, *others: DataFrame) -> DataFrame:
     """One operator on pixels or whole images, with all its parameters."""
-    if op.kernel is not None:
+    if uses_kernel(op, df):
         kernels = [lambda img: op.kernel(img, **params)]
         if is_packed(df):
             return packed_images(df, kernels)
