@@ -40,16 +40,18 @@ _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in ran
 FRONTIER = 1 << 16
 #: Node pairs with at most so many fingerprint pairs are compared directly.
 LEAF = 32
+#: Fingerprint pairs that are compared at once.
+PAIRS = 1 << 19
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
-    """SimHash of each document: A-Z lower-cased, words cut at ASCII white space, shingles hashed by XXH64 with seed 42."""
+def shingle_hashes(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first) of all shingles: A-Z lower-cased, words cut at ASCII white space, XXH64 with seed 42."""
     docs = len(at) - 1
     data = tx.LOWER[data]
     member = ~tx.SPACE[data]
     starts, ends, first = tx.runs(member, at)
     if not len(starts):
-        return np.zeros(docs, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
     # the words joined by single spaces
     size = ends - starts
     new_end = np.cumsum(size + 1) - 1
@@ -64,7 +66,22 @@ def fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
     last = np.minimum(begin + shingle, first[doc + 1]) - 1
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(raw[s:e], 42) for s, e in zip(new_start[begin].tolist(), new_end[last].tolist(), strict=True)), np.uint64, len(begin))
-    return majority(hashes, sh_first)
+    return hashes, sh_first
+
+
+def fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
+    """SimHash of each document, of 64 bits."""
+    return majority(*shingle_hashes(data, at, shingle))
+
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 6
+
+
+def wide_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
+    """SimHash of each document, of 64 * WIDE bits: each word votes with the shingles' hashes mixed anew."""
+    hashes, first = shingle_hashes(data, at, shingle)
+    return np.stack([majority(tx.mix(hashes + _U(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) if k else hashes, first) for k in range(WIDE)], 1)
 
 
 def _marks(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +133,15 @@ def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, to
             stack += [tuple(x[:half] for x in (a0, a1, b0, b1, diff, bit)), tuple(x[half:] for x in (a0, a1, b0, b1, diff, bit))]
             continue
         work = (a1 - a0) * (b1 - b0)
+        big = (bit < 0) & (work > PAIRS)
+        if big.any():  # equal keys: halves by place, for memory
+            stack += _quarters(*(x[big] for x in (a0, a1, b0, b1, diff, bit)))
+            a0, a1, b0, b1, diff, bit, work = (x[~big] for x in (a0, a1, b0, b1, diff, bit, work))
         leaf = (work <= LEAF) | (bit < 0)
+        if leaf.any() and work[leaf].sum() > 4 * PAIRS and leaf.sum() > 1:
+            half = len(a0) // 2
+            stack += [tuple(x[:half] for x in (a0, a1, b0, b1, diff, bit)), tuple(x[half:] for x in (a0, a1, b0, b1, diff, bit))]
+            continue
         if leaf.any():
             x0, xn, y0, yn = a0[leaf], (a1 - a0)[leaf], b0[leaf], (b1 - b0)[leaf]
             size = xn * yn
@@ -147,6 +172,15 @@ def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, to
             stack.append(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
+def _quarters(a0, a1, b0, b1, diff, bit) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of halves of pairs of nodes; of a node with itself, the two halves with themselves and with each other."""
+    am, bm = (a0 + a1) // 2, (b0 + b1) // 2
+    same = (a0 == b0) & (a1 == b1)
+    out = [(a0, am, b0, bm, diff, bit), (a0, am, bm, b1, diff, bit), (am, a1, bm, b1, diff, bit)]
+    other = ~same
+    return [*out, tuple(x[other] for x in (am, a1, b0, bm, diff, bit))] if other.any() else out
+
+
 def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Where the keys of each node whose bit is set begin (binary search in all nodes at once)."""
     lo, hi = lo.copy(), hi.copy()
@@ -291,14 +325,144 @@ def _grouped(docs: DataFrame, shingle: int, budget: int, hot: int) -> DataFrame:
     return prints.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, hot: int = 20_000) -> DataFrame:
+# groups by similarity, over wide fingerprints
+
+#: Bands of 32 bits in which the trie is joined, and the bits that two prints may differ by in one.
+BANDS, BAND_BUDGET = 12, 3
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of wide prints by which two texts of a Jaccard similarity differ, plus one and a half standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WIDE
+    return int(n * share + 1.5 * np.sqrt(n * share * (1 - share)))
+
+
+def _wide_documents(docs: DataFrame, shingle: int) -> DataFrame:
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.chunks(batches):
+            found = wide_fingerprints(*tx.bytes_of(chunk.column(0)), shingle)
+            rows = [r.tobytes() for r in found]
+            yield pa.RecordBatch.from_arrays([*(chunk.column(i + 1) for i in range(len(names))), pa.array(rows, pa.binary())], [*names, "print"])
+
+    return docs.select("text", *names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "print binary"]))
+
+
+def _banded(nodes: DataFrame, heads_only: bool = False) -> DataFrame:
+    """(head, key, fp, print) for each band and block of each node (fp, print), or the heads alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, size = BAND_BUDGET + 1, 32 // (BAND_BUDGET + 1)
+        for batch in batches:
+            n = batch.num_rows
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, 2 * WIDE)[:, :BANDS].astype(np.uint64)
+            head, key = np.empty((n, BANDS, blocks), np.uint64), np.empty((n, BANDS, blocks), np.int64)
+            for b in range(BANDS):
+                for k in range(blocks):
+                    turn = _U(k * size)
+                    spun = ((words[:, b] << turn) | (words[:, b] >> (_U(32) - turn))) & _U(0xFFFFFFFF) if k else words[:, b]
+                    key[:, b, k] = spun.view(np.int64)
+                    head[:, b, k] = _U(b * blocks + k) << _U(32) | spun >> _U(32 - size)
+            each = BANDS * blocks
+            if heads_only:
+                yield pa.RecordBatch.from_arrays([pa.array(head.ravel().view(np.int64))], ["head"])
+                continue
+            take = pa.array(np.repeat(np.arange(n), each))
+            yield pa.RecordBatch.from_arrays([pa.array(head.ravel().view(np.int64)), pa.array(key.ravel()), batch.column(0).take(take), batch.column(1).take(take)], ["head", "key", "fp", "print"])
+
+    return nodes.select("fp", "print").mapInArrow(run, "head long" if heads_only else "head long, key long, fp long, print binary")
+
+
+def _join_bands(limit: int):
+    left = 32 - 32 // (BAND_BUDGET + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            heads, keys, parts, fps = (rows.column(i).to_numpy() for i in range(4))
+            prints = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(heads), WIDE)
+            begin = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+            forest = Forest(len(keys))
+            for a, b in trie_links(keys.view(np.uint64), begin, np.append(begin[1:], len(heads)), BAND_BUDGET, np.full(len(begin), left - 1, np.int64)):
+                # of a pair of pieces only pairs across count
+                across = (parts[a] < 0) | (parts[a] != parts[b])
+                a, b = a[across], b[across]
+                # those that are together already need no comparison
+                apart = forest.roots(a) != forest.roots(b)
+                a, b = a[apart], b[apart]
+                near = popcount(prints[a] ^ prints[b]).sum(1, dtype=np.int64) <= limit
+                forest.add(a[near], b[near])
+            every = np.arange(len(keys))
+            root = forest.roots(every)
+            child = root != every
+            if child.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fps[root[child]]), pa.array(fps[child])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = batch.column(0).to_numpy()
+            last = int(np.searchsorted(heads, heads[-1]))
+            if last or (kept and kept[-1].column(0)[-1].as_py() != heads[0]):
+                done = [*kept, batch.slice(0, last)] if last else kept
+                yield from links(pa.Table.from_batches(done))
+                kept = []
+            kept.append(batch.slice(last))
+        if kept:
+            yield from links(pa.Table.from_batches(kept))
+
+    return run
+
+
+def cut_rows(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """Rows with the number of pieces of their subtree and their own piece."""
+    return rows.join(size, "head").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+
+
+def similar_forest(nodes: DataFrame, limit: int, hot: int = 50_000) -> DataFrame:
+    """Edges (a, b) that connect the nodes (fp, print) whose prints differ in at most `limit` bits and in at most BAND_BUDGET bits of some band.
+
+    A subtree of more than `hot` prints is cut into pieces by hash, and each pair of pieces is a task of its own, so many
+    near copies of one text don't meet in one task.
+    """
+    nodes = cut(nodes)
+    size = _banded(nodes, heads_only=True).groupBy("head").agg(F.count("*").alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / hot).cast("int"))
+    # there are at most BANDS * (BAND_BUDGET + 1) * 256 heads, whatever the data
+    dealt = cut_rows(_banded(nodes), F.broadcast(cut(size)))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    pair = F.xxhash64("head", F.least("piece", "other"), F.greatest("piece", "other"))
+    part = F.when(F.col("piece") == F.col("other"), -1).otherwise(F.col("piece"))
+    rows = spread.select(F.when(F.col("pieces") == 1, F.col("head")).otherwise(pair).alias("head"), "key", part.alias("part"), "fp", "print")
+    return rows.repartition("head").sortWithinPartitions("head", "key").mapInArrow(_join_bands(limit), "a long, b long")
+
+
+
+def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int) -> DataFrame:
+    """Rows of docs (text and columns of type long) with component_id, the least doc_id of the row's group."""
+    prints = cut(_wide_documents(docs, shingle).withColumn("fp", F.xxhash64("print")))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("print").alias("print"))
+    roots = components(similar_forest(nodes, most_bits(similarity), hot))
+    named = nodes.select("fp", "low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    named = cut(named)
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.drop("print").join(named.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = 50_000) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the least doc_id (of the least hash of its text where ids repeat); all columns stay.
 
-    A row without a doc_id counts with a negative number made of its text.
+    Texts of a similarity on shingles link by wide fingerprints: the similarity stands for a number of bits, and the trie
+    is joined in BANDS bands of 32 bits. A pair at the similarity meets in some band with a probability of about 0.97,
+    one of 0.9 or more with over 0.9999; equal texts always do. A row without a doc_id counts with a negative number made
+    of its text.
     """
     digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     number = F.coalesce(F.col("doc_id").cast("long"), -F.shiftrightunsigned(digest, 1) - 1)
-    rows = _grouped(docs.select(number.alias("doc_id"), digest.alias("digest"), "text"), shingle, budget, hot)
+    rows = _alike(docs.select(number.alias("doc_id"), digest.alias("digest"), "text"), shingle, similarity, hot)
     kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("digest").alias("digest"))
     repeats = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     kept = cut(kept.join(repeats, ["doc_id", "digest"]).selectExpr("doc_id number", "digest", "n"))

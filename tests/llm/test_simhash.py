@@ -72,3 +72,38 @@ def test_documents(spark):
     got = sorted((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == sorted(brute_components([(d, brute_print(t)) for d, t, _ in rows]))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [50_000, 20])
+def test_similar_texts_leave_one(spark, hot):
+    """Copies with some words changed go, texts that share a part stay."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 7)))
+    base = [[word() for _ in range(int(rng.integers(80, 300)))] for _ in range(60)]
+    rows, groups = [], {}
+    for g, words in enumerate(base):
+        for copy in range(1 + 3 * (g % 4 == 0) + 60 * (g == 0)):
+            own = list(words)
+            if copy:
+                own[int(rng.integers(len(own)))] = word()
+            rows.append((1000 * g + copy, " ".join(own)))
+            groups[1000 * g + copy] = g
+    half = [(70_000 + g, " ".join(base[g][: len(base[g]) // 2] + [word() for _ in range(len(base[g]))])) for g in range(1, 20)]
+    docs = spark.createDataFrame(rows + half, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs, hot=hot).collect())
+    assert kept == sorted([1000 * g for g in range(60)] + [d for d, _ in half])
+
+
+def test_wide_prints_differ_as_similarity_says():
+    rng = np.random.default_rng(5)
+    for similarity in (0.8, 0.9):
+        shared = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+        gaps = []
+        for k in range(40):
+            common = shared[k * 400 : k * 400 + 400]
+            rest = int(400 * (1 / similarity - 1) / 2)
+            a, b = (np.concatenate([common, rng.integers(0, 1 << 63, rest, dtype=np.uint64)]) for _ in range(2))
+            prints = [np.array([simhash.majority(tx.mix(h + np.uint64(i * 7)), np.array([0, len(h)]))[0] for i in range(simhash.WIDE)]) for h in (a, b)]
+            gaps.append(int(simhash.popcount(prints[0] ^ prints[1]).sum()))
+        limit = simhash.most_bits(similarity)
+        assert np.mean(np.array(gaps) <= limit) > 0.7 and np.mean(gaps) < limit < np.mean(gaps) + 25
