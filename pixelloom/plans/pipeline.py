@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pixelloom.operators import geometry, kernels, looks, points, stats, warps
+from pixelloom.operators import geometry, kernels, looks, points, stats, text, warps
 from pixelloom.plans import run
 from pixelloom.plans.registry import OPERATORS, PIXEL, Operator
 
-assert geometry and kernels and looks and points and stats and warps  # registered on import
+assert geometry and kernels and looks and points and stats and text and warps  # registered on import
 
 #: Categories whose operators change a pixel by itself and not by its place.
 BY_VALUE = {"adjustment", "evaluate", "color", "grading", "alpha", "colour management"}
@@ -60,6 +62,33 @@ class Pipeline:
             raise TypeError(f"{name} takes {op.inputs - 1} further inputs")
         return replace(self, steps=(*self.steps, Step(op, op.bind(params), others)))
 
+    def proxy(self, scale: float) -> Pipeline:
+        """The pipeline for a source at another scale: sizes in pixels are multiplied."""
+        moved = [replace(s, params={k: _scaled(s.op, k, v, scale) for k, v in s.params.items()}) for s in self.steps]
+        return replace(self, steps=tuple(moved))
+
+    def cropped_by(self, boxes: DataFrame) -> DataFrame:
+        """Pixels inside each image's own box (image_id, x, y, w, h): an analysis that decides a later step, joined without a stop at the driver."""
+        return boxed(self.pixels(), boxes)
+
+    def trace(self) -> list[tuple[str, str]]:
+        """(form, operators) of each pass over the images, in order; forms are plan, tiles and images."""
+        packed, out = run.is_packed(self.source), []
+        for s in self.planned():
+            kernel = s.op.kernel is not None and (packed or not s.op.narrow)
+            form = "plan" if not kernel else "images" if packed or not s.op.halo else "tiles"
+            packed = packed and kernel
+            if out and out[-1][0] == form:
+                out[-1] = (form, f"{out[-1][1]}, {s.op.name}")
+            elif kernel and out and out[-1][0] in ("tiles", "images") and form != "plan":
+                out[-1] = ("images", f"{out[-1][1]}, {s.op.name}")
+            else:
+                out.append((form, s.op.name))
+        return out
+
+    def explain(self) -> None:
+        self.frame().explain("formatted")
+
     def hash(self) -> str:
         """Key of the result: of the source's plan and of all steps."""
         text = self.source._jdf.queryExecution().analyzed().canonicalized().toString()
@@ -127,6 +156,37 @@ class Pipeline:
         return df if run.is_packed(df) else run.to_images(df)
 
 
+#: Parameters that count pixels.
+PIXELS = {"radius", "length", "blur_radius", "sigma", "block_size", "size", "dot_size", "amplitude", "wavelength", "tile_w", "tile_h", "x", "y", "w", "h", "stroke_width", "shift_amount", "channel_offset", "band_height", "patch_radius", "search_radius", "diameter", "scope_size"}
+
+
+def _scaled(op: Operator, name: str, value: Any, scale: float) -> Any:
+    if name not in PIXELS or isinstance(value, bool) or not isinstance(value, int | float):
+        return value
+    p = op.params[name]
+    moved = value * scale if isinstance(value, float) else max(round(value * scale), 0)
+    return moved if p.low is None else type(value)(min(max(moved, p.low), p.high))
+
+
+def boxed(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each image cut to its box (image_id, x, y, w, h)."""
+    b = boxes.selectExpr("image_id", "x _x", "y _y", "w _w", "h _h")
+    kept = pixels.join(b, "image_id").where("x >= _x AND x < _x + _w AND y >= _y AND y < _y + _h")
+    size = {"width": F.least("_w", F.col("width") - F.col("_x")), "height": F.least("_h", F.col("height") - F.col("_y"))}
+    return kept.withColumns({"x": F.col("x") - F.col("_x"), "y": F.col("y") - F.col("_y"), **size}).select(*PIXEL)
+
+
+def crop_boxes(images: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """(image_id, x, y, w, h): for each whole image the window that smart_crop takes."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *kernels.crop_box(run.unpacked(d, int(w), int(h)), ratio)) for i, w, h, d in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["data"], strict=True)]
+            yield pd.DataFrame(rows, columns=["image_id", "x", "y", "w", "h"])
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(work, "image_id long, x long, y long, w long, h long")
+
+
 def _uses_statistics(op: Operator) -> bool:
     return op.plan is not None and op.plan.__module__ == stats.__name__
 

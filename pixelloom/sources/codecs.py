@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from pixelloom.sources import jpeg
+
 LINEAR = {"hdr", "pfm", "fits"}
 
 
@@ -781,8 +783,21 @@ def encode_tiff(frames: list[np.ndarray] | np.ndarray, packing: str = "deflate")
     return bytes(out)
 
 
+def decode_jpeg(data: bytes) -> Decoded:
+    v = jpeg.decode(data)
+    if v.shape[-1] == 4:  # inks
+        v = (255 - v[..., :3]) * (255 - v[..., 3:]) / 255
+    return Decoded([rgba(v)])
+
+
+def encode_jpeg(img: np.ndarray, quality: int = 85) -> bytes:
+    """Baseline JPEG; alpha is left out."""
+    return jpeg.encode(levels8(img), quality)
+
+
 MAGIC: tuple[tuple[str, Callable[[bytes], bool]], ...] = (
     ("png", lambda d: d[:8] == b"\x89PNG\r\n\x1a\n"),
+    ("jpeg", lambda d: d[:3] == b"\xff\xd8\xff"),
     ("gif", lambda d: d[:6] in (b"GIF87a", b"GIF89a")),
     ("bmp", lambda d: d[:2] == b"BM"),
     ("qoi", lambda d: d[:4] == b"qoif"),
@@ -794,10 +809,10 @@ MAGIC: tuple[tuple[str, Callable[[bytes], bool]], ...] = (
     ("tga", lambda d: len(d) > 18 and d[1] in (0, 1) and d[2] in (1, 2, 3, 9, 10, 11) and d[16] in (8, 15, 16, 24, 32)),
 )
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {
-    "png": decode_png, "gif": decode_gif, "bmp": decode_bmp, "qoi": decode_qoi, "tiff": decode_tiff, "hdr": decode_hdr, "fits": decode_fits, "ico": decode_ico, "pnm": decode_pnm, "tga": decode_tga,
+    "png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "bmp": decode_bmp, "qoi": decode_qoi, "tiff": decode_tiff, "hdr": decode_hdr, "fits": decode_fits, "ico": decode_ico, "pnm": decode_pnm, "tga": decode_tga,
 }
 ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
-    "png": encode_png, "gif": lambda img: encode_gif([img]), "bmp": encode_bmp, "qoi": encode_qoi, "tiff": encode_tiff, "hdr": encode_hdr, "fits": encode_fits, "ico": encode_ico,
+    "png": encode_png, "jpeg": encode_jpeg, "gif": lambda img: encode_gif([img]), "bmp": encode_bmp, "qoi": encode_qoi, "tiff": encode_tiff, "hdr": encode_hdr, "fits": encode_fits, "ico": encode_ico,
     "ppm": encode_ppm, "pgm": encode_pgm, "pbm": encode_pbm, "pam": encode_pam, "pfm": encode_pfm, "tga": encode_tga,
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators import brush, inference, looks
 from pixelloom.plans import run, versions
-from pixelloom.plans.pipeline import Cache, Pipeline
+from pixelloom.plans.pipeline import Cache, Pipeline, crop_boxes
 from pixelloom.plans.registry import OPERATORS
 from pixelloom.sources import codecs, images, metadata
 from pixelloom.sources import looks as texts
@@ -257,3 +257,17 @@ def test_stream(spark, tmp_path):
         (folder / f"{i}.png").write_bytes(codecs.encode_png(image(i)))
         streaming.process(*args).awaitTermination(120)
         assert spark.read.parquet(f"{tmp_path}/out").count() == i + 1
+
+
+def test_analysis_decides_a_crop(pictures):
+    got = arrays(run.to_images(Pipeline(pictures).cropped_by(crop_boxes(pictures, 0.5))))
+    for i, v in arrays(pictures).items():
+        assert np.allclose(got[i], OPERATORS["smart_crop"].kernel(v, ratio=0.5))
+
+
+def test_proxies_and_traces(pictures):
+    p = Pipeline(pictures).gaussian_blur(radius=4.0).box_blur(radius=3).brightness(amount=0.1)
+    half = p.proxy(0.5)
+    assert [s.params for s in half.steps] == [{"radius": 2.0}, {"radius": 2}, {"amount": 0.1}]
+    assert p.trace() == [("images", "gaussian_blur, box_blur"), ("plan", "convert_color_space, brightness, convert_color_space")]
+    assert Pipeline(run.to_pixels(pictures)).median().trace() == [("tiles", "median")]
