@@ -34,6 +34,8 @@ from pixelloom.llm._sample import fold, thinned
 
 _U = np.uint64
 ORDER = 3
+#: Bytes of text scored at once; costs take 16 bytes or more for each and there is a worker for each core.
+CHUNK_BYTES = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -137,7 +139,7 @@ class Models:
         """Code length of each document in each language, in bits."""
         data = tx.LOWER[data]
         docs, width = len(at) - 1, len(self.langs)
-        total = np.zeros((len(data) + 1, width))
+        total = np.zeros((len(data), width), np.float32)
         for n in range(1, self.order + 2):
             # a document's first bytes have shorter contexts
             where, keys = grams(data, at, n)
@@ -146,9 +148,12 @@ class Models:
                 first = into == n - 1
                 where, keys = where[first], keys[first]
             if len(keys):
-                total[where + 1] = self.cost(keys, n)
-        run = np.cumsum(total, axis=0)
-        return run[at[1:]] - run[at[:-1]] if docs else np.zeros((0, width))
+                total[where] = self.cost(keys, n)
+        out = np.zeros((docs, width))
+        for j in range(width):  # one language at a time, for memory
+            run = np.concatenate([[0.0], np.cumsum(total[:, j], dtype=np.float64)])
+            out[:, j] = run[at[1:]] - run[at[:-1]]
+        return out
 
 
 def learn(docs: DataFrame, per_lang: int = 400, order: int = ORDER) -> Models:
@@ -162,7 +167,7 @@ def learn(docs: DataFrame, per_lang: int = 400, order: int = ORDER) -> Models:
         keep |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_lang / n)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tx.chunks(batches):
+        for chunk in tx.chunks(batches, limit=CHUNK_BYTES):
             langs = np.array(chunk.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
                 part = chunk.filter(pa.array(langs == lang))
