@@ -236,10 +236,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     if blocks == 1:
         return found
     # one row for each row of docs again: equal rows have equal matches, so one stands for all of them and is counted
-    copies = docs.groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
-    merged = found.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    merged = found.groupBy("doc_id", "key").agg(
+        F.first("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        (F.count("*") / blocks).cast("long").alias("copies"),
+    )
     # doc_id and key repeat in no more rows than the document itself does
-    return merged.join(copies, ["doc_id", "key"]).select("doc_id", "key", "n_words", _merged("spans").alias("spans"), F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+    return merged.select("doc_id", "key", "n_words", _merged("spans").alias("spans"), F.array_sort("items").alias("items"), each).drop("copy")
 
 
 def _merged(spans: str):

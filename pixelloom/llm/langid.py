@@ -191,7 +191,7 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for chunk in tx.chunks(batches):
+        for chunk in tx.chunks(batches, limit=CHUNK_BYTES):
             data, at = tx.bytes_of(chunk.column(1))
             known = np.array([bool(_LETTER.search(t)) if t else False for t in chunk.column(1).to_pylist()], bool)
             if m.langs:
@@ -211,4 +211,4 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
 def report(docs: DataFrame, folds: int = 4, held: int = 2, per_lang: int = 400) -> DataFrame:
     """predict() by models that learn from the documents outside fold `held`."""
     models = learn(docs.where(fold(F.col("doc_id"), folds) != held), per_lang)
-    return predict(docs, models).select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
+    return predict(docs, models).select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

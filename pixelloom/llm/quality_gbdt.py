@@ -194,4 +194,4 @@ def report(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, le
     """score() by trees that learn from the labels outside fold `held`."""
     trees = learn(docs, labels.where(fold(F.col("doc_id"), folds) != held))
     scored = score(docs, trees)
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

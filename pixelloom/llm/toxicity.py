@@ -234,4 +234,4 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, least: float = 0.5) -> DataFrame:
     """score() by a grammar that learns from the labels outside fold `held`."""
     grammar = learn(docs, labels.where(fold(F.col("doc_id"), folds) != held))
-    return score(docs, grammar).select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return score(docs, grammar).select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -37,7 +37,7 @@ def corpus(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(["idiot", "blorkface", "grimwit"]))
         rows.append((i, " ".join(words) + ".", lang, 0.0))
         labels.append((i, int(good), int(toxic)))
-    extra = [(1000, None, "en", 0.0), (1001, "", None, 0.0), (1002, "123 !?", "de", 0.0), (1003, "the and", None, 0.0), (7, rows[7][1], rows[7][2], 0.0)]
+    extra = [(1000, None, "en", 0.0), (1001, "", None, 0.0), (1002, "123 !?", "de", 0.0), (1003, "the and", None, 0.0), (None, "the and the", "en", 0.0), (7, rows[7][1], rows[7][2], 0.0)]
     docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, score double")
     marks = spark.createDataFrame(labels + [(5, None, None), (5, labels[5][1], labels[5][2]), (99999, 1, 1)], "doc_id long, quality int, toxic int")
     return docs.cache(), marks.cache(), dict((r[0], r) for r in rows), dict((r[0], r) for r in labels)
