@@ -26,6 +26,8 @@ D65_WHITE, D65_XY = (0.95047, 1.0, 1.08883), (0.31270, 0.32900)
 CAMERA = {
     "arri-logc3": np.array([[0.680206, 0.236137, 0.083658], [0.085415, 1.017471, -0.102886], [0.002057, -0.062563, 1.060506]]),
     "arri-logc4": np.array([[0.750957, 0.144422, 0.104621], [0.000821, 1.007397, -0.008218], [-0.000499, -0.034855, 1.035354]]),
+    "red-ipp2": np.array([[0.785043, 0.083844, 0.131118], [0.023172, 1.087892, -0.111055], [-0.073769, -0.314639, 1.388408]]),
+    "bmd-gen5": np.array([[0.638008, 0.214704, 0.147288], [0.058137, 0.967925, -0.026062], [-0.002070, -0.062309, 1.064379]]),
     "sony-slog3": np.array([[0.752279, 0.143432, 0.104289], [-0.000156, 1.082357, -0.082201], [-0.000038, -0.067961, 1.067999]]),
 }
 

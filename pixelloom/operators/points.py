@@ -123,6 +123,8 @@ def transfer(kind: str) -> str:
         "rec709_display": f"pow(greatest({{v}}, 0e0), {n(1 / 2.4)})",
         "arri-logc3": "CASE WHEN {v} > 0.149658405705e0 THEN (pow(1e1, ({v} - 0.385537e0) / 0.24719e0) - 0.052272e0) / 5.555556e0 ELSE ({v} - 0.092809e0) / 5.367655e0 END",
         "arri-logc4": "CASE WHEN {v} >= 0.01524e0 THEN (pow(2e0, ({v} - 0.074e0) * 7e0) - 64e0) / 2231.826309e0 ELSE ({v} - 0.074e0) * 7e0 / 2231.826309e0 END",
+        "red-ipp2": "CASE WHEN {v} < 0e0 THEN {v} / 15.1927e0 - 0.01e0 ELSE (pow(1e1, {v} / 0.224282e0) - 1e0) / 155.975327e0 - 0.01e0 END",
+        "bmd-gen5": f"CASE WHEN 0.5e0 + ln(greatest({{v}} * 8.283064e0 + 0.09246575e0, 1e-10)) / {n(math.log(8.283064))} > 0.005e0 THEN 0.5e0 + ln(greatest({{v}} * 8.283064e0 + 0.09246575e0, 1e-10)) / {n(math.log(8.283064))} ELSE ({{v}} - 0.005494e0) / 10.44426e0 END",
         "sony-slog3": f"CASE WHEN {{v}} >= {n(171.2102946929 / 1023)} THEN pow(1e1, ({{v}} * 1023e0 - 420e0) / 261.5e0) * 0.19e0 - 0.01e0 ELSE ({{v}} * 1023e0 - 95e0) * 0.01125e0 / {n(171.2102946929 - 95)} END",
     }[kind]
 
@@ -142,6 +144,10 @@ TO_LINEAR = {
 }
 
 
+#: Input transforms by name: colour spaces from which and to which they convert.
+INPUTS = {"idt-srgb": ("srgb", "acescg"), "idt-rec709": ("srgb", "acescg"), "csc-acescg-to-cct": ("acescg", "acescct"), "csc-acescct-to-cg": ("acescct", "acescg"), "identity": ("linear", "linear")}
+
+
 def conversion(source: str, target: str) -> list[dict[str, str]]:
     """Stages from one colour space to another, through linear sRGB."""
     if source == target:
@@ -154,6 +160,15 @@ def _(source, target):
     return conversion(source, target)
 
 
+@point("color_transform", "colour management", {"preset": "idt-rec709"}, preset="identity")
+def _(preset):
+    """A transform by its name: inputs, conversions, and cameras as idt-<camera>."""
+    if preset.removeprefix("idt-") in mx.CAMERA:
+        camera = preset.removeprefix("idt-")
+        return [each(transfer(camera)), times(mx.CAMERA[camera])]
+    return conversion(*INPUTS[preset])
+
+
 @point("aces_cct_to_cg", "color")
 def _():
     return conversion("acescct", "acescg")

@@ -69,7 +69,7 @@ def _reports() -> dict[str, Callable[[Tables], Rel]]:
         **{f"resize_{m}": lambda t, m=m: rounded(geometry.resize(events(t), 7, 21, m)) for m in ("nearest", "bilinear", "bicubic", "lanczos3")},
         **{f"to_{s}": lambda t, s=s: rounded(events(t).steps(*points.conversion("linear", s))) for s in ("srgb", "acescg", "acescct", "acescc", "aces2065_1")},
         **{f"from_{s}": lambda t, s=s: rounded(events(t).steps(*points.conversion(s, "linear"))) for s in ("acescg", "acescct", "aces2065_1")},
-        **{f"idt_{c.replace('-', '_')}": lambda t, c=c: rounded(OPERATORS["camera_idt"].plan(events(t), camera=c)) for c in ("arri-logc3", "arri-logc4")},
+        **{f"idt_{c.replace('-', '_')}": lambda t, c=c: rounded(OPERATORS["camera_idt"].plan(events(t), camera=c)) for c in ("arri-logc3", "arri-logc4", "red-ipp2", "bmd-gen5")},
     }
 
 
