@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.functions.sql import LUMA
-from pixelloom.operators import geometry, kernels, looks, points, stats, text, warps
+from pixelloom.operators import geometry, kernels, looks, points, stats, text, warps, whole
 from pixelloom.plans import forms, run
 from pixelloom.plans.registry import OPERATORS, Operator
 from pixelloom.plans.rel import Rel, SparkRel, Tables
 from pixelloom.sources import tables as sources
 
-assert kernels and forms and looks and text and warps  # registered on import
+assert kernels and forms and looks and text and warps and whole  # registered on import
 
 PX = ("image_id", "width", "height", "y", "x", "r", "g", "b", "a")
 

@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.operators import geometry, kernels, looks, points, stats, text, warps
+from pixelloom.operators import geometry, kernels, looks, points, stats, text, warps, whole
 from pixelloom.plans import run
 from pixelloom.plans.registry import OPERATORS, PIXEL, Operator
 
-assert geometry and kernels and looks and points and stats and text and warps  # registered on import
+assert geometry and kernels and looks and points and stats and text and warps and whole  # registered on import
 
 #: Categories whose operators change a pixel by itself and not by its place.
 BY_VALUE = {"adjustment", "evaluate", "color", "grading", "alpha", "colour management"}
@@ -116,7 +116,7 @@ class Pipeline:
                 kept.append(s)
         for i in range(len(kept)):
             j = i
-            while kept[j].op.name == "crop" and j and kept[j - 1].op.category in BY_VALUE and kept[j - 1].op.kernel is None and not _uses_statistics(kept[j - 1].op):
+            while kept[j].op.name == "crop" and j and kept[j - 1].op.category in BY_VALUE and kept[j - 1].op.narrow and not _uses_statistics(kept[j - 1].op):
                 kept[j - 1], kept[j] = kept[j], kept[j - 1]
                 j -= 1
         return kept

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pixelloom.functions import evaluate
 from pixelloom.plans.rel import Rel
 
 PIXEL = ("image_id", "width", "height", "y", "x", "r", "g", "b", "a")
@@ -94,8 +95,15 @@ def point(name: str, category: str, example: dict[str, Any] | None = None, space
             out = rel.steps(*([stages] if isinstance(stages, dict) else stages))
             return out.pick(*(c for c in out.cols if not c.startswith("_"))) if any(c.startswith("_") for c in out.cols) else out
 
+        def on_image(img: Any, **params: Any) -> Any:
+            stages = f(**params)
+            return evaluate.run(img, [stages] if isinstance(stages, dict) else list(stages))
+
         run.__doc__ = f.__doc__
-        return plan(name, category, example, space, **spec)(run)
+        plan(name, category, example, space, **spec)(run)
+        # on whole images the same expressions run as numpy, in one pass with kernels
+        OPERATORS[name].kernel, OPERATORS[name].narrow, OPERATORS[name].halo = on_image, True, None
+        return run
 
     return wrap
 

@@ -157,3 +157,30 @@ def test_inpainting_fills_from_around():
 def test_kaleidoscope_mirrors(img):
     out = run("mirror_kaleidoscope", img, segments=3, mode=0)
     assert np.allclose(out[:, :5], img[:, :5]) and np.allclose(out[:, 5:10], img[:, 4::-1]) and np.allclose(out[:, 10:], img[:, :5])
+
+
+def test_kernels_and_plans_agree(img):
+    """Both forms of every operator that has two, on one image."""
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    from pixelloom.plans.registry import PIXEL
+    from pixelloom.plans.rel import TextRel
+    from pixelloom.plans.run import _rows
+
+    rng = np.random.default_rng(11)
+    v = rng.random((12, 15, 4))
+    v[..., 3] = rng.integers(0, 5, (12, 15)) / 4
+    con = duckdb.connect()
+    con.register("px", pd.DataFrame(_rows(1, v)))
+    checked = 0
+    for op in OPERATORS.values():
+        if op.kernel is None or op.plan is None or op.inputs > 1:
+            continue
+        params = op.bind(op.example)
+        got = con.execute(op.plan(TextRel("px", PIXEL), **params).sql()).df().sort_values(["y", "x"])
+        want = op.kernel(v.copy(), **params)
+        assert (got["height"].max(), got["width"].max()) == want.shape[:2], op.name
+        assert np.allclose(got[list("rgba")].to_numpy(float), want.reshape(-1, 4), atol=1e-7), op.name
+        checked += 1
+    assert checked > 170

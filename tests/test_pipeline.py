@@ -63,6 +63,12 @@ def test_identities_go_and_crops_come_first(pictures):
     assert [s.op.name for s in q.planned()] == ["auto_level", "crop"]
 
 
+def test_chains_on_whole_images_need_no_shuffle(pictures):
+    done = Pipeline(pictures).brightness(amount=0.1).equalize().gaussian_blur(radius=1.0).resize(w=5, h=5, method="bilinear").flip().images()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInPandas") == 1
+
+
 def test_projections_of_a_chain_are_one(pictures):
     done = Pipeline(run.to_pixels(pictures)).invert().gamma(gamma=2.0).evaluate_add(value=0.1).exposure(ev=0.3).pixels()
     plan = done._jdf.queryExecution().optimizedPlan().toString()
@@ -269,5 +275,5 @@ def test_proxies_and_traces(pictures):
     p = Pipeline(pictures).gaussian_blur(radius=4.0).box_blur(radius=3).brightness(amount=0.1)
     half = p.proxy(0.5)
     assert [s.params for s in half.steps] == [{"radius": 2.0}, {"radius": 2}, {"amount": 0.1}]
-    assert p.trace() == [("images", "gaussian_blur, box_blur"), ("plan", "convert_color_space, brightness, convert_color_space")]
-    assert Pipeline(run.to_pixels(pictures)).median().trace() == [("tiles", "median")]
+    assert p.trace() == [("images", "gaussian_blur, box_blur, convert_color_space, brightness, convert_color_space")]
+    assert Pipeline(run.to_pixels(pictures)).median().invert().trace() == [("tiles", "median"), ("plan", "invert")]
