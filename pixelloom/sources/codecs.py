@@ -795,11 +795,154 @@ def encode_jpeg(img: np.ndarray, quality: int = 85) -> bytes:
     return jpeg.encode(levels8(img), quality)
 
 
+# OpenEXR: scan lines of half, float or integer channels, plain, run-length, ZIP
+
+
+def _exr_text(data: bytes, at: int) -> tuple[str, int]:
+    end = data.index(b"\0", at)
+    return data[at:end].decode("latin-1"), end + 1
+
+
+def _exr_unpacked(raw: bytes, size: int, packing: int) -> bytes:
+    if packing == 0 or len(raw) == size:
+        return raw
+    if packing == 1:
+        flat, at = bytearray(), 0
+        while at < len(raw):
+            n = raw[at] - 256 * (raw[at] > 127)
+            if n < 0:
+                flat += raw[at + 1 : at + 1 - n]
+                at += 1 - n
+            else:
+                flat += raw[at + 1 : at + 2] * (n + 1)
+                at += 2
+        data = np.frombuffer(bytes(flat), np.uint8)
+    elif packing in (2, 3):
+        data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    else:
+        raise ValueError("this packing of EXR isn't read")
+    # differences from the byte before, then halves interleaved
+    data = np.cumsum(np.concatenate([data[:1].astype(np.int64), data[1:].astype(np.int64) - 128])).astype(np.uint8)
+    half = (len(data) + 1) // 2
+    out = np.empty(len(data), np.uint8)
+    out[::2], out[1::2] = data[:half], data[half:]
+    return out.tobytes()
+
+
+def decode_exr(data: bytes) -> Decoded:
+    (flags,) = struct.unpack_from("<I", data, 4)
+    if flags & 0x1A00:
+        raise ValueError("tiled, deep or multi-part EXR isn't read")
+    at, info = 8, {}
+    while data[at]:
+        name, at = _exr_text(data, at)
+        _, at = _exr_text(data, at)
+        (n,) = struct.unpack_from("<I", data, at)
+        info[name], at = data[at + 4 : at + 4 + n], at + 4 + n
+    at += 1
+    channels, k = [], 0
+    while info["channels"][k]:
+        name, k = _exr_text(info["channels"], k)
+        channels.append((name, struct.unpack_from("<I", info["channels"], k)[0]))
+        k += 16
+    x0, y0, x1, y1 = struct.unpack("<iiii", info["dataWindow"])
+    w, h, packing = x1 - x0 + 1, y1 - y0 + 1, info["compression"][0]
+    lines = 16 if packing == 3 else 1
+    kinds = {0: ("<u4", 4), 1: ("<f2", 2), 2: ("<f4", 4)}
+    planes = {name: np.zeros((h, w)) for name, _ in channels}
+    step = sum(kinds[k][1] for _, k in channels) * w
+    for place in struct.unpack_from(f"<{-(-h // lines)}Q", data, at):
+        y, size = struct.unpack_from("<iI", data, place)
+        rows = min(lines, y1 - y + 1)
+        raw = _exr_unpacked(data[place + 8 : place + 8 + size], step * rows, packing)
+        pos = 0
+        for r in range(rows):
+            for name, k in channels:
+                planes[name][y - y0 + r] = np.frombuffer(raw, kinds[k][0], w, pos)
+                pos += w * kinds[k][1]
+    gray = planes.get("Y", np.zeros((h, w)))
+    v = np.stack([planes.get(c, gray) for c in "RGB"] + [planes.get("A", np.ones((h, w)))], -1)
+    return Decoded([v], linear=True)
+
+
+def encode_exr(img: np.ndarray) -> bytes:
+    """Float channels, each line packed on its own."""
+    h, w = img.shape[:2]
+    attribute = lambda name, kind, body: name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<I", len(body)) + body
+    box = struct.pack("<iiii", 0, 0, w - 1, h - 1)
+    head = b"\x76\x2f\x31\x01" + struct.pack("<I", 2)
+    head += attribute("channels", "chlist", b"".join(c.encode() + b"\0" + struct.pack("<IIII", 2, 0, 1, 1) for c in "ABGR") + b"\0")
+    head += attribute("compression", "compression", b"\2") + attribute("dataWindow", "box2i", box) + attribute("displayWindow", "box2i", box)
+    head += attribute("lineOrder", "lineOrder", b"\0") + attribute("pixelAspectRatio", "float", struct.pack("<f", 1)) + attribute("screenWindowCenter", "v2f", struct.pack("<ff", 0, 0)) + attribute("screenWindowWidth", "float", struct.pack("<f", 1)) + b"\0"
+    parts, places, at = [], [], len(head) + 8 * h
+    for y in range(h):
+        raw = np.frombuffer(img[y, :, [3, 2, 1, 0]].astype("<f4").tobytes(), np.uint8)
+        split = np.concatenate([raw[::2], raw[1::2]]).astype(np.int64)
+        packed = zlib.compress(np.concatenate([split[:1], np.diff(split) + 128]).astype(np.uint8).tobytes())
+        body = packed if len(packed) < len(raw) else raw.tobytes()
+        parts.append(struct.pack("<iI", y, len(body)) + body)
+        places.append(at)
+        at += len(parts[-1])
+    return head + struct.pack(f"<{h}Q", *places) + b"".join(parts)
+
+
+# DDS: plain pixels by masks, and blocks of four by four
+
+
+def _dds_colors(two: np.ndarray, opaque: np.ndarray) -> np.ndarray:
+    """Four colours of each block from two of 16 bits; blocks in which the first isn't greater have a clear one."""
+    rgb = np.stack([(two >> s & m) * 255 / m for s, m in ((11, 31), (5, 63), (0, 31))], -1)
+    a, b = rgb[:, 0], rgb[:, 1]
+    four = opaque[:, None]
+    third, fourth = np.where(four, (2 * a + b) / 3, (a + b) / 2), np.where(four, (a + 2 * b) / 3, 0)
+    out = np.stack([a, b, third, fourth], 1)
+    alpha = np.full((len(two), 4, 1), 255.0)
+    alpha[~opaque, 3] = 0
+    return np.concatenate([out, alpha], -1)
+
+
+def decode_dds(data: bytes) -> Decoded:
+    h, w = struct.unpack_from("<II", data, 12)
+    kind, code, bits, *masks = struct.unpack_from("<I4sIIIII", data, 80)
+    if not kind & 4:
+        words = np.frombuffer(np.pad(np.frombuffer(data, np.uint8, w * h * bits // 8, 128).reshape(-1, bits // 8), ((0, 0), (0, 4 - bits // 8))).tobytes(), "<u4").astype(np.int64).reshape(h, w)
+        return Decoded([np.stack([(words & m) // (m & -m) / (m // (m & -m)) if m else np.full((h, w), 1.0 if k == 3 else 0.0) for k, m in enumerate(masks)], -1)])
+    size = {b"DXT1": 8, b"DXT3": 16, b"DXT5": 16}[code]
+    rows, cols = -(-h // 4), -(-w // 4)
+    blocks = np.frombuffer(data, np.uint8, rows * cols * size, 128).reshape(-1, size)
+    color = np.ascontiguousarray(blocks[:, -8:])
+    two = np.ascontiguousarray(color[:, :4]).view("<u2").astype(np.int64)
+    pick = (np.ascontiguousarray(color[:, 4:]).view("<u4").astype(np.int64) >> 2 * np.arange(16)) & 3
+    table = _dds_colors(two, (two[:, 0] > two[:, 1]) | (code != b"DXT1"))
+    v = table[np.arange(len(blocks))[:, None], pick]
+    if code == b"DXT3":
+        v[..., 3] = ((np.ascontiguousarray(blocks[:, :8]).view("<u8") >> (4 * np.arange(16)).astype(np.uint64)) & np.uint64(15)) * 17.0
+    elif code == b"DXT5":
+        a, b = (blocks[:, k].astype(float)[:, None] for k in (0, 1))
+        word = np.concatenate([blocks[:, 2:8], np.zeros((len(blocks), 2), np.uint8)], 1).view("<u8")
+        at = ((word >> (3 * np.arange(16)).astype(np.uint64)) & np.uint64(7)).astype(int)
+        k = np.arange(8)
+        eight = np.where(k < 2, np.where(k == 0, a, b), ((8 - k) * a + (k - 1) * b) / 7)
+        six = np.where(k < 2, np.where(k == 0, a, b), np.where(k < 6, ((6 - k) * a + (k - 1) * b) / 5, np.where(k == 6, 0, 255)))
+        v[..., 3] = np.where(a > b, eight, six)[np.arange(len(blocks))[:, None], at]
+    img = v.reshape(rows, cols, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(rows * 4, cols * 4, 4)[:h, :w]
+    return Decoded([np.ascontiguousarray(img) / 255])
+
+
+def encode_dds(img: np.ndarray) -> bytes:
+    h, w = img.shape[:2]
+    head = struct.pack("<4sIIIIIII", b"DDS ", 124, 0x100F, h, w, w * 4, 0, 0) + bytes(44)
+    head += struct.pack("<II4sIIIII", 32, 0x41, bytes(4), 32, 0xFF, 0xFF00, 0xFF0000, 0xFF000000) + struct.pack("<IIIII", 0x1000, 0, 0, 0, 0)
+    return head + levels8(img).tobytes()
+
+
 MAGIC: tuple[tuple[str, Callable[[bytes], bool]], ...] = (
     ("png", lambda d: d[:8] == b"\x89PNG\r\n\x1a\n"),
     ("jpeg", lambda d: d[:3] == b"\xff\xd8\xff"),
     ("gif", lambda d: d[:6] in (b"GIF87a", b"GIF89a")),
     ("bmp", lambda d: d[:2] == b"BM"),
+    ("exr", lambda d: d[:4] == b"\x76\x2f\x31\x01"),
+    ("dds", lambda d: d[:4] == b"DDS "),
     ("qoi", lambda d: d[:4] == b"qoif"),
     ("tiff", lambda d: d[:4] in (b"II*\0", b"MM\0*")),
     ("hdr", lambda d: d[:2] == b"#?"),
@@ -809,10 +952,10 @@ MAGIC: tuple[tuple[str, Callable[[bytes], bool]], ...] = (
     ("tga", lambda d: len(d) > 18 and d[1] in (0, 1) and d[2] in (1, 2, 3, 9, 10, 11) and d[16] in (8, 15, 16, 24, 32)),
 )
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {
-    "png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "bmp": decode_bmp, "qoi": decode_qoi, "tiff": decode_tiff, "hdr": decode_hdr, "fits": decode_fits, "ico": decode_ico, "pnm": decode_pnm, "tga": decode_tga,
+    "png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "bmp": decode_bmp, "qoi": decode_qoi, "tiff": decode_tiff, "hdr": decode_hdr, "fits": decode_fits, "exr": decode_exr, "dds": decode_dds, "ico": decode_ico, "pnm": decode_pnm, "tga": decode_tga,
 }
 ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
-    "png": encode_png, "jpeg": encode_jpeg, "gif": lambda img: encode_gif([img]), "bmp": encode_bmp, "qoi": encode_qoi, "tiff": encode_tiff, "hdr": encode_hdr, "fits": encode_fits, "ico": encode_ico,
+    "png": encode_png, "jpeg": encode_jpeg, "gif": lambda img: encode_gif([img]), "bmp": encode_bmp, "qoi": encode_qoi, "tiff": encode_tiff, "hdr": encode_hdr, "fits": encode_fits, "exr": encode_exr, "dds": encode_dds, "ico": encode_ico,
     "ppm": encode_ppm, "pgm": encode_pgm, "pbm": encode_pbm, "pam": encode_pam, "pfm": encode_pfm, "tga": encode_tga,
 }
 

@@ -97,7 +97,7 @@ def test_cache_knows_equal_pipelines(pictures):
     assert cache.get(Pipeline(pictures).sepia()) is not cache.get(a)
 
 
-@pytest.mark.parametrize("name", ["png", "bmp", "qoi", "tiff", "tga", "ppm", "pam", "ico", "gif", "hdr", "fits", "pfm"])
+@pytest.mark.parametrize("name", ["png", "bmp", "qoi", "tiff", "tga", "ppm", "pam", "ico", "gif", "hdr", "fits", "pfm", "exr", "dds"])
 def test_files_come_back(name):
     v = image(4)
     data = codecs.encode(v, name)
@@ -140,6 +140,17 @@ def test_png_of_all_kinds():
     assert np.allclose(codecs.decode_png(png(8, 8, 8, 0, laced, lace=1)).frames[0][..., 0] * 255, gray)
 
 
+def test_block_packed_dds():
+    import struct
+
+    head = struct.pack("<4sIIIIIII", b"DDS ", 124, 0, 4, 4, 0, 0, 0) + bytes(44) + struct.pack("<II4sIIIII", 32, 4, b"DXT1", 0, 0, 0, 0, 0) + bytes(20)
+    block = struct.pack("<HHI", 0xF800, 0x001F, 0b11100100)  # red, blue, and what lies between, in the first row
+    v = codecs.decode_dds(head + block).frames[0]
+    assert np.allclose(v[0, :, :3], [[1, 0, 0], [0, 0, 1], [2 / 3, 0, 1 / 3], [1 / 3, 0, 2 / 3]]) and (v[1:, :, 0] == 1).all()
+    five = head.replace(b"DXT1", b"DXT5") + bytes([200, 100]) + (0b001000).to_bytes(6, "little") + block
+    assert np.allclose(codecs.decode_dds(five).frames[0][0, :3, 3] * 255, [200, 100, 200])
+
+
 def test_animations():
     frames = [image(i, 6, 5) for i in range(3)]
     for data in (codecs.encode_gif(frames, [10, 20, 30]), codecs.encode_apng(frames, [10, 20, 30])):
