@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pixelloom.plans.run import unpacked
+from pixelloom.plans.run import packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,6 @@ def infer(images: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for pdf in batches:
-            yield pdf.assign(data=[run(unpacked(d, int(w), int(h)), model, spec, output).astype("<f8").tobytes() for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"], strict=True)])
+            yield pdf.assign(data=[packed(run(unpacked(d, int(w), int(h)), model, spec, output)) for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"], strict=True)])
 
     return images.mapInPandas(work, images.schema)

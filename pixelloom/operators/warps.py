@@ -249,7 +249,8 @@ def _weights(n: int, to: int, method: str) -> np.ndarray:
 @_with_kernel("resize")
 def _(img, w, h, method):
     across, down = _weights(img.shape[1], w, method), _weights(img.shape[0], h, method)
-    return np.einsum("ya,axc->yxc", down, np.einsum("xb,abc->axc", across, img))
+    lines = (down @ img.reshape(img.shape[0], -1)).reshape(h, -1, 4).swapaxes(0, 1)
+    return (across @ lines.reshape(img.shape[1], -1)).reshape(w, h, 4).swapaxes(0, 1)
 
 
 def _placed(img, w, h, sx, sy, fill):

@@ -6,10 +6,14 @@ import math
 
 import numpy as np
 
+from pixelloom.operators import stats
 from pixelloom.operators.kernels import luma, painted
 from pixelloom.plans.registry import OPERATORS
 
 
+assert stats  # registers the operators
+
+
 def on_whole_images(name: str):
     """The kernel of an operator whose plan stays in use on rows of pixels, where it aggregates before it shuffles."""
 

@@ -1,8 +1,8 @@
 """Running operators on DataFrames of pixels or of whole images.
 
 Pixels are rows (image_id, width, height, y, x, r, g, b, a). Whole images are
-rows (image_id, width, height, data) with data little-endian doubles, row by row,
-RGBA. Plans run on pixels as DataFrame operations. Kernels run on images: those
+rows (image_id, width, height, data) with data little-endian 32-bit floats, row by
+row, RGBA; operators compute in doubles. Plans run on pixels as DataFrame operations. Kernels run on images: those
 of whole-image rows batch by batch without a shuffle; pixels are first brought
 together by image, or by tile where the kernels say how far they look.
 """
@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ CHANNELS = ["r", "g", "b", "a"]
 #: Side of the tiles into which pixels are cut for kernels with a halo.
 TILE = 512
 
+#: How channels of whole images are stored.
+PACKED = "<f4"
+
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -81,17 +85,35 @@ def packed_images(images: DataFrame, kernels: Sequence[Kernel]) -> DataFrame:
     """Kernels on rows of whole images; other columns stay."""
     f = _chain(kernels)
     names = images.columns
+    at = {c: names.index(c) for c in ("width", "height", "data")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a row at a time: images are large
+                row = batch.slice(k, 1)
+                w, h = (row.column(at[c])[0].as_py() for c in ("width", "height"))
+                data = row.column(at["data"])[0]
+                columns = row.columns
+                if data.is_valid:
+                    out = f(_from_buffer(data.as_buffer(), w, h))
+                    fresh = {"width": out.shape[1], "height": out.shape[0], "data": packed(out)}
+                    for c, v in fresh.items():
+                        columns[at[c]] = pa.array([v], batch.schema.field(at[c]).type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return images.mapInArrow(run, images.schema)
+
+
+def _from_buffer(data, width: int, height: int) -> np.ndarray:
+    return np.frombuffer(data, PACKED).reshape(height, width, 4).astype(float)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [f(unpacked(d, int(w), int(h))) for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"], strict=True)]
-            yield pdf.assign(width=[v.shape[1] for v in out], height=[v.shape[0] for v in out], data=[v.astype("<f8").tobytes() for v in out])[names]
 
-    return images.mapInPandas(run, images.schema)
+def packed(img: np.ndarray) -> bytes:
+    return img.astype(PACKED).tobytes()
 
 
 def unpacked(data: bytes, width: int, height: int) -> np.ndarray:
-    return np.frombuffer(data, "<f8").reshape(height, width, 4).copy()
+    return _from_buffer(data, width, height)
 
 
 def to_pixels(images: DataFrame) -> DataFrame:
@@ -110,7 +132,7 @@ def to_images(pixels: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         img = _image(pdf)
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "width": [img.shape[1]], "height": [img.shape[0]], "data": [img.astype("<f8").tobytes()]})
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "width": [img.shape[1]], "height": [img.shape[0]], "data": [packed(img)]})
 
     return pixels.select(*PIXEL).groupBy("image_id").applyInPandas(run, IMAGE_SCHEMA)
 

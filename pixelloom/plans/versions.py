@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.plans.run import unpacked
+from pixelloom.plans.run import PACKED, unpacked
+from pixelloom.plans.run import packed as packed_row
 
 TILES = "image_id long, version long, tile_y int, tile_x int, width long, height long, data binary"
 
@@ -30,7 +31,7 @@ def cut(images: DataFrame, version: int, side: int = 256) -> DataFrame:
                 for ty in range(-(-img.shape[0] // side)):
                     for tx in range(-(-img.shape[1] // side)):
                         part = img[ty * side : (ty + 1) * side, tx * side : (tx + 1) * side]
-                        rows.append((i, version, ty, tx, w, h, np.ascontiguousarray(part).tobytes()))
+                        rows.append((i, version, ty, tx, w, h, packed_row(part)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TILES.split(", ")])
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, TILES)
@@ -58,8 +59,8 @@ def joined(tiles: DataFrame, side: int = 256) -> DataFrame:
         out = np.zeros((h, w, 4))
         for ty, tx, d in zip(pdf["tile_y"], pdf["tile_x"], pdf["data"], strict=True):
             part = out[ty * side : (ty + 1) * side, tx * side : (tx + 1) * side]
-            part[:] = np.frombuffer(d, "<f8").reshape(part.shape)
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "width": [w], "height": [h], "data": [out.tobytes()]})
+            part[:] = np.frombuffer(d, PACKED).reshape(part.shape)
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "width": [w], "height": [h], "data": [packed_row(out)]})
 
     return tiles.groupBy("image_id").applyInPandas(run, "image_id long, width long, height long, data binary")
 
@@ -70,7 +71,7 @@ def packed(images: DataFrame, bits: int = 16) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(data=[(np.clip(np.frombuffer(d, "<f8"), 0, 1) * top + 0.5).astype(kind).tobytes() for d in pdf["data"]])
+            yield pdf.assign(data=[(np.clip(np.frombuffer(d, PACKED), 0, 1) * top + 0.5).astype(kind).tobytes() for d in pdf["data"]])
 
     return images.mapInPandas(run, images.schema)
 
@@ -80,6 +81,6 @@ def restored(images: DataFrame, bits: int = 16) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(data=[(np.frombuffer(d, kind).astype("<f8") / top).tobytes() for d in pdf["data"]])
+            yield pdf.assign(data=[(np.frombuffer(d, kind).astype(float) / top).astype(PACKED).tobytes() for d in pdf["data"]])
 
     return images.mapInPandas(run, images.schema)

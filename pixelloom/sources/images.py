@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from pixelloom.plans.run import unpacked
+from pixelloom.plans.run import packed, unpacked
 from pixelloom.sources import codecs, metadata
 
 FRAME_SCHEMA = (
@@ -52,7 +52,7 @@ def decoded(contents: DataFrame, frames: str | Sequence[int] | range = "first")
                 for k in wanted(len(got.frames)):
                     f = got.frames[k]
                     delay = got.delays[k] if k < len(got.delays) else 0
-                    rows.append((i, path, codecs.detect(content) or "tga", k, len(got.frames), delay, f.shape[1], f.shape[0], "linear", notes, np.ascontiguousarray(f, "<f8").tobytes()))
+                    rows.append((i, path, codecs.detect(content) or "tga", k, len(got.frames), delay, f.shape[1], f.shape[0], "linear", notes, packed(f)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAME_SCHEMA.split(", ")])
 
     return contents.select("image_id", "path", "content").mapInPandas(run, FRAME_SCHEMA)
@@ -73,7 +73,7 @@ def from_raw(rows: DataFrame, layout: str = "rgba8") -> DataFrame:
                 img = codecs.rgba(np.frombuffer(content, kind).reshape(h, w, 4), top)
                 if layout == "rgba8":
                     img[..., :3] = codecs.to_linear(img[..., :3])
-                out.append(img.astype("<f8").tobytes())
+                out.append(packed(img))
             yield pd.DataFrame({"image_id": pdf["image_id"], "width": pdf["width"], "height": pdf["height"], "data": out})
 
     return rows.select("image_id", "width", "height", "content").mapInPandas(run, "image_id long, width long, height long, data binary")
@@ -198,4 +198,4 @@ class _FileReader(DataSourceReader):
                 content = f.read()
             got = codecs.decode(content, path.rpartition(".")[2].lower())
             for k, img in enumerate(got.frames if self.all else got.frames[:1]):
-                yield path, codecs.detect(content) or "tga", k, img.shape[1], img.shape[0], np.ascontiguousarray(img, "<f8").tobytes()
+                yield path, codecs.detect(content) or "tga", k, img.shape[1], img.shape[0], packed(img)
