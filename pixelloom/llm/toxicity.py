@@ -49,7 +49,9 @@ PATTERNS = ("insult", "insult_at_target", "insult_negated", "insult_reported", "
 #: Prior weights: of no match, of a unit of each of PATTERNS, and of the logarithm of a text's words.
 PRIOR = np.array([-4.0, 1.2, 1.4, 0.1, 0.15, 0.1, 1.5, 0.0])
 #: Weights of the words of the seed list, and the most that the words of a pattern add up to.
-SEED_WEIGHT, THREAT_WEIGHT, MOST = 4.0, 2.0, 16.0
+SEED_WEIGHT, THREAT_WEIGHT, MOST = 4.0, 2.0, 24.0
+#: A learned word weighs its squared log-odds over this: one certain word says more than several that chance puts into clean texts.
+SHARPNESS = 8.0
 CLAUSE_END = np.zeros(256, bool)
 CLAUSE_END[[ord(c) for c in ".!?;:\n"]] = True
 #: Words after a negation, and between a target and what is said of it.
@@ -204,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 8_000, least: int = 5,
     toxic, clean = (max(1, x or 0) for x in total.agg(F.sum("toxic"), F.sum("clean")).first())
     ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * F.lit(clean / toxic)
     # each learned word has `least` contexts of its own in the sample, so there are few
-    found = {r.word: float(min(5.0, max(1.0, math.log(r.ratio)))) for r in total.withColumn("ratio", ratio).where((F.col("toxic") >= least) & (F.col("ratio") >= odds)).collect()}
+    found = {r.word: min(9.0, math.log(r.ratio)) ** 2 / SHARPNESS for r in total.withColumn("ratio", ratio).where((F.col("toxic") >= least) & (F.col("ratio") >= odds)).collect()}
     grammar = Grammar(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
