@@ -78,9 +78,19 @@ def fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
 WIDE = 6
 
 
-def wide_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
-    """SimHash of each document, of 64 * WIDE bits: each word votes with the shingles' hashes mixed anew."""
+def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes() without repeats in a document, sorted in each."""
     hashes, first = shingle_hashes(data, at, shingle)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[fresh], np.searchsorted(doc[fresh], np.arange(len(first)))
+
+
+def wide_fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of each document's set of shingles, of 64 * WIDE bits: each word votes with the hashes mixed anew."""
     return np.stack([majority(tx.mix(hashes + _U(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) if k else hashes, first) for k in range(WIDE)], 1)
 
 
@@ -332,22 +342,24 @@ BANDS, BAND_BUDGET = 12, 3
 
 
 def most_bits(similarity: float) -> int:
-    """Bits of wide prints by which two texts of a Jaccard similarity differ, plus one and a half standard deviations."""
+    """Bits of wide prints by which two texts of a Jaccard similarity differ, plus three standard deviations: candidates are verified."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * WIDE
-    return int(n * share + 1.5 * np.sqrt(n * share * (1 - share)))
+    return int(n * share + 3 * np.sqrt(n * share * (1 - share)))
 
 
 def _wide_documents(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows of docs (text, and columns of type long) with print, and fp, a hash of the text's set of shingles, in place of text."""
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
-            found = wide_fingerprints(*tx.bytes_of(chunk.column(0)), shingle)
-            rows = [r.tobytes() for r in found]
-            yield pa.RecordBatch.from_arrays([*(chunk.column(i + 1) for i in range(len(names))), pa.array(rows, pa.binary())], [*names, "print"])
+            hashes, first = shingle_sets(*tx.bytes_of(chunk.column(0)), shingle)
+            rows = [r.tobytes() for r in wide_fingerprints(hashes, first)]
+            fps = tx.sums(tx.mix(hashes + _U(1)).view(np.int64), first)
+            yield pa.RecordBatch.from_arrays([*(chunk.column(i + 1) for i in range(len(names))), pa.array(rows, pa.binary()), pa.array(fps)], [*names, "print", "fp"])
 
-    return docs.select("text", *names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "print binary"]))
+    return docs.select("text", *names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "print binary", "fp long"]))
 
 
 def _banded(nodes: DataFrame, heads_only: bool = False) -> DataFrame:
@@ -379,8 +391,6 @@ def _join_bands(limit: int):
     left = 32 - 32 // (BAND_BUDGET + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
         def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             rows = rows.combine_chunks()
             heads, keys, parts, fps = (rows.column(i).to_numpy() for i in range(4))
@@ -402,22 +412,28 @@ def _join_bands(limit: int):
             if child.any():
                 yield pa.RecordBatch.from_arrays([pa.array(fps[root[child]]), pa.array(fps[child])], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            heads = batch.column(0).to_numpy()
-            last = int(np.searchsorted(heads, heads[-1]))
-            if last or (kept and kept[-1].column(0)[-1].as_py() != heads[0]):
-                done = [*kept, batch.slice(0, last)] if last else kept
-                yield from links(pa.Table.from_batches(done))
-                kept = []
-            kept.append(batch.slice(last))
-        if kept:
-            yield from links(pa.Table.from_batches(kept))
+        for rows in _whole_heads(batches):
+            yield from links(rows)
 
     return run
 
 
+def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by head (column 0), in tables that hold all rows of their heads."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = batch.column(0).to_numpy()
+        last = int(np.searchsorted(heads, heads[-1]))
+        if last or (kept and kept[-1].column(0)[-1].as_py() != heads[0]):
+            yield pa.Table.from_batches([*kept, batch.slice(0, last)] if last else kept)
+            kept = []
+        kept.append(batch.slice(last))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def cut_rows(rows: DataFrame, size: DataFrame) -> DataFrame:
     """Rows with the number of pieces of their subtree and their own piece."""
     return rows.join(size, "head").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
@@ -440,13 +456,96 @@ def similar_forest(nodes: DataFrame, limit: int, hot: int = 50_000) -> DataFrame
     return rows.repartition("head").sortWithinPartitions("head", "key").mapInArrow(_join_bands(limit), "a long, b long")
 
 
+def jaccard_forest(flat: np.ndarray, at: np.ndarray, parts: np.ndarray, similarity: float) -> Forest:
+    """Forest of the sets flat[at[i]:at[i + 1]] in which each pair of at least the similarity is linked; of a pair of pieces, pairs across.
+
+    Common shingles are counted exactly, over lists of the sets that hold a shingle; sets that are together already are not compared.
+    """
+    n = len(at) - 1
+    size = np.diff(at)
+    _, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(n), size)[np.argsort(ids, kind="stable")]
+    stop = np.cumsum(count)
+    forest, every = Forest(n), np.arange(n)
+    for i in range(n - 1):
+        roots = forest.roots(every)
+        low, high = np.minimum(size, size[i]), np.maximum(size, size[i])
+        other = (every > i) & (roots != roots[i]) & (low >= similarity * high - 1e-9)
+        if parts[i] >= 0:
+            other &= parts != parts[i]
+        other = np.flatnonzero(other)
+        if not len(other):
+            continue
+        own = ids[at[i] : at[i + 1]]
+        many = count[own]
+        place = np.arange(many.sum()) + np.repeat(stop[own] - np.cumsum(many), many)
+        common = np.bincount(holders[place], minlength=n)[other]
+        near = other[common >= similarity * (size[i] + size[other] - common) - 1e-9]
+        forest.add(np.full(len(near), i), near)
+    return forest
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_heads(batches):
+            rows = rows.combine_chunks()
+            heads, parts, fps = (rows.column(i).to_numpy() for i in range(3))
+            begin = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(heads)], strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in rows.column(3).slice(a, b - a).to_pylist()]
+                at = np.cumsum([0, *map(len, sets)])
+                root = jaccard_forest(np.concatenate(sets), at, parts[a:b], similarity).roots(np.arange(b - a))
+                child = root != np.arange(b - a)
+                if child.any():
+                    own = fps[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[root[child]]), pa.array(own[child])], ["a", "b"])
+
+    return run
+
+
+def _set_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """(root, fp, shingles) of rows (text, root, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.chunks(batches):
+            hashes, first = shingle_sets(*tx.bytes_of(chunk.column(0)), shingle)
+            rows = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([chunk.column(1), chunk.column(2), pa.array(rows, pa.binary())], ["root", "fp", "shingles"])
 
-def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int) -> DataFrame:
-    """Rows of docs (text and columns of type long) with component_id, the least doc_id of the row's group."""
-    prints = cut(_wide_documents(docs, shingle).withColumn("fp", F.xxhash64("print")))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("print").alias("print"))
-    roots = components(similar_forest(nodes, most_bits(similarity), hot))
-    named = nodes.select("fp", "low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    return docs.select("text", "root", "fp").mapInArrow(run, "root long, fp long, shingles binary")
+
+
+#: Texts of a candidate group that one task takes, and the most pieces of a group.
+GROUP, PIECES = 250, 64
+
+
+def verified_forest(sets: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) that connect the nodes (root, fp, shingles) of equal root which have at least the similarity.
+
+    All pairs of a root are covered: a root of more than `group` nodes is cut into pieces by hash, and each pair of
+    pieces is a task of its own.
+    """
+    size = sets.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    size = size.select("root", F.least(F.ceil(F.col("n") / group), F.lit(PIECES)).cast("int").alias("pieces"))
+    # roots of more than `group` nodes only
+    dealt = sets.join(F.broadcast(cut(size)), "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    head = F.when(F.col("pieces") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("piece", "other"), F.greatest("piece", "other")))
+    part = F.when(F.col("piece") == F.col("other"), -1).otherwise(F.col("piece"))
+    rows = dealt.select(head.alias("head"), part.alias("part"), "fp", "shingles")
+    return rows.repartition("head").sortWithinPartitions("head").mapInArrow(_verify(similarity), "a long, b long")
+
+
+def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int, group: int = GROUP) -> DataFrame:
+    """Rows of docs (doc_id, digest, text) with component_id, the least doc_id of the row's group."""
+    prints = cut(_wide_documents(docs, shingle))
+    # texts of equal sets are one node, and one of its rows stands for it
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("low"), F.first("print").alias("print")))
+    loose = components(similar_forest(nodes.select("fp", "print"), most_bits(similarity), hot))
+    members = nodes.join(loose.withColumnRenamed("node", "fp"), "fp").select("low.doc_id", "low.digest", "fp", "root")
+    texts = docs.join(members, ["doc_id", "digest"]).dropDuplicates(["fp"])
+    roots = components(verified_forest(cut(_set_rows(texts, shingle)), similarity, group))
+    named = nodes.selectExpr("fp", "low.doc_id low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     named = cut(named)
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.drop("print").join(named.join(least, "root").select("fp", "component_id"), "fp")
@@ -455,9 +554,11 @@ def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int) -> DataFr
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = 50_000) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the least doc_id (of the least hash of its text where ids repeat); all columns stay.
 
-    Texts of a similarity on shingles link by wide fingerprints: the similarity stands for a number of bits, and the trie
-    is joined in BANDS bands of 32 bits. A pair at the similarity meets in some band with a probability of about 0.97,
-    one of 0.9 or more with over 0.9999; equal texts always do. A row without a doc_id counts with a negative number made
+    Two texts link if the Jaccard similarity of their sets of shingles is at least `similarity`, and links are closed
+    transitively. Candidates come from wide fingerprints: the similarity stands for a number of bits, and the trie is
+    joined in BANDS bands of 32 bits. Every pair of a group of candidates is then verified exactly on its shingles. A
+    pair at the similarity becomes a candidate by itself with a probability of about 0.97, one of 0.9 or more with over
+    0.9999; equal texts always do. A row without a doc_id counts with a negative number made
     of its text.
     """
     digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))

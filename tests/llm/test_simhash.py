@@ -107,3 +107,40 @@ def test_wide_prints_differ_as_similarity_says():
             gaps.append(int(simhash.popcount(prints[0] ^ prints[1]).sum()))
         limit = simhash.most_bits(similarity)
         assert np.mean(np.array(gaps) <= limit) > 0.7 and np.mean(gaps) < limit < np.mean(gaps) + 25
+
+
+def _jaccard(a, b, n=5):
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("group", [250, 30])
+def test_texts_of_one_template_stay(spark, group, monkeypatch):
+    """Many texts below the similarity share a long passage: all stay, while a copy at the similarity goes."""
+    monkeypatch.setattr(simhash._alike, "__defaults__", (group,))
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    shared = words(246)
+    texts = [" ".join(shared + words(44)) for _ in range(100)]
+    assert 0.7 < _jaccard(texts[0], texts[1]) < 0.8
+    near = " ".join([*texts[7].split()[:-20], *words(20)])
+    assert _jaccard(texts[7], near) >= 0.8
+    docs = spark.createDataFrame([*enumerate(texts), (500, near)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(100))
+
+
+def test_jaccard_forest_links_all_pairs():
+    rng = np.random.default_rng(22)
+    sets = [np.unique(rng.choice(60, 40 + int(rng.integers(8)), replace=False)).astype(np.uint64) for _ in range(30)]
+    sets += [np.append(s, np.uint64(100 + i)) for i, s in enumerate(sets[:8])] + [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    at = np.cumsum([0, *map(len, sets)])
+    for parts in (np.full(len(sets), -1), np.arange(len(sets)) % 2):
+        want = simhash.Forest(len(sets))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if (parts[i] < 0 or parts[i] != parts[j]) and (both >= 0.7 * (len(a) + len(b) - both)):
+                    want.add(np.array([i]), np.array([j]))
+        got = simhash.jaccard_forest(np.concatenate(sets), at, parts, 0.7)
+        every = np.arange(len(sets))
+        assert np.array_equal(got.roots(every), want.roots(every))
