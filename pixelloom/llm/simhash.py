@@ -537,7 +537,7 @@ def verified_forest(sets: DataFrame, similarity: float, group: int = GROUP) -> D
 
 
 def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int, group: int = GROUP) -> DataFrame:
-    """Rows of docs (doc_id, digest, text) with component_id, the least doc_id of the row's group."""
+    """(doc_id, digest, n) of the least (doc_id, digest) of each group of docs (doc_id, digest, text), and how many rows have it."""
     prints = cut(_wide_documents(docs, shingle))
     # texts of equal sets are one node, and one of its rows stands for it
     nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("low"), F.first("print").alias("print")))
@@ -545,10 +545,10 @@ def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int, group: in
     members = nodes.join(loose.withColumnRenamed("node", "fp"), "fp").select("low.doc_id", "low.digest", "fp", "root")
     texts = docs.join(members, ["doc_id", "digest"]).dropDuplicates(["fp"])
     roots = components(verified_forest(cut(_set_rows(texts, shingle)), similarity, group))
-    named = nodes.selectExpr("fp", "low.doc_id low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.drop("print").join(named.join(least, "root").select("fp", "component_id"), "fp")
+    named = nodes.select("fp", "low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "low")
+    least = named.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.digest")
+    repeats = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    return least.join(repeats, ["doc_id", "digest"])
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = 50_000) -> DataFrame:
@@ -564,9 +564,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: in
     digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     number = F.coalesce(F.col("doc_id").cast("long"), -F.shiftrightunsigned(digest, 1) - 1)
     rows = _alike(docs.select(number.alias("doc_id"), digest.alias("digest"), "text"), shingle, similarity, hot)
-    kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    repeats = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    kept = cut(kept.join(repeats, ["doc_id", "digest"]).selectExpr("doc_id number", "digest", "n"))
+    kept = cut(rows.selectExpr("doc_id number", "digest", "n"))
     # the row is packed, so that its columns may have any names
     packed = docs.select(number.alias("number"), digest.alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     found = packed.join(kept, ["number", "digest"])

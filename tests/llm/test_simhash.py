@@ -144,3 +144,10 @@ def test_jaccard_forest_links_all_pairs():
         got = simhash.jaccard_forest(np.concatenate(sets), at, parts, 0.7)
         every = np.arange(len(sets))
         assert np.array_equal(got.roots(every), want.roots(every))
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """An id that stands on two texts doesn't make one group of them."""
+    a, b = ("first text of its own " * 3).strip(), ("wholly other words stand here now " * 3).strip()
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(5, a), (5, b)]
