@@ -16,7 +16,9 @@ on those places. Benchmark shingles are broadcast in blocks of at most
 Defined cases: a null text has no words; an item without words never occurs; an
 item of fewer words than a window is one window, and its shingles are as long as
 it is where it has fewer words than a shingle; rows that repeat, in either table,
-are judged each on its own and items of equal text are all reported; an empty
+are judged each on its own and items of equal text are all reported; items
+without an item_id are searched like any other and count as one item of null id,
+which the digest of the ids leaves out; an empty
 benchmark leaves all documents clean; only doc_id, text, item_id and text are
 read.
 """
@@ -52,11 +54,11 @@ class Index:
     size: np.ndarray
     flat: np.ndarray
     at: np.ndarray
-    items: list[list[str]]
+    items: list[list[str | None]]
     lengths: list[int] = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple[str, str]], window: int, shingle: int) -> Index:
+    def build(cls, items: list[tuple[str | None, str]], window: int, shingle: int) -> Index:
         texts = pa.array([t or "" for _, t in items], pa.large_string())
         words, first = words_of(*tx.bytes_of(texts))
         sizes, parts, owners, known, lengths = [], [], [], {}, set()
@@ -200,14 +202,18 @@ def _join_windows(hits: DataFrame, shared) -> DataFrame:
                 pa.array(np.searchsorted(own[head], np.arange(n + 1)), pa.int32()),
                 pa.StructArray.from_arrays([pa.array(start[head], pa.int32()), pa.array(far[last] & 0xFFFFFFFF, pa.int32())], ["start", "stop"]),
             )
-            items: list[list[str]] = [[] for _ in range(n)]
+            items: list[list[str | None]] = [[] for _ in range(n)]
             for d, w in np.unique(np.stack([own, window], 1), axis=0).tolist():
                 items[d] += index.items[w]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), spans, pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], ["doc_id", "key", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), spans, pa.array([sorted(set(x), key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string()))], ["doc_id", "key", "n_words", "spans", "items"])
 
     return hits.mapInArrow(run, MATCHES)
 
 
+def _null_last(row: tuple[str | None, str]) -> tuple[bool, str, str]:
+    return row[0] is None, row[0] or "", row[1]
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> int:
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     return max(1, -(-int(size) // (2 * block_words)))  # a word and what parts it have two characters at least
@@ -218,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
 
     key stands for the row's text (0 for all rows where the benchmark is one block).
     """
-    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("text is not null and item_id is not null")
+    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("text is not null")
     blocks = _blocks(items, block_words)
     key = F.lit(0).cast("long") if blocks == 1 else F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
@@ -226,7 +232,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     found = None
     for block in range(blocks):
         # bounded by block_words
-        rows = sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())
+        rows = sorted(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()), key=_null_last)
         index = Index.build(rows, window, shingle)
         hits = cut(_find_shingles(docs, context.broadcast((index.lengths, Members(index.flat)))))
         counts = hits.where("size(shingle) > 0").select(F.explode("shingle").alias("s")).groupBy("s").count()
@@ -267,12 +273,12 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 200_000) -> DataFrame:
     """docs without the rows in which a window of the benchmark occurs; all columns stay. Reads the texts twice: for the counts, then for the join."""
-    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("text is not null and item_id is not null")
+    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("text is not null")
     context = docs.sparkSession.sparkContext
     place = docs.columns.index("text")
     blocks = _blocks(items, block_words)
     for block in range(blocks):
-        rows = sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())  # bounded by block_words
+        rows = sorted(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()), key=_null_last)  # bounded by block_words
         index = Index.build(rows, window, shingle)
         members = Members(index.flat)
         hits = _find_shingles(docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key")), context.broadcast((index.lengths, members)))

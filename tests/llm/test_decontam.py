@@ -46,3 +46,17 @@ def test_matches(spark, block_words, monkeypatch):
     if block_words > 40:
         assert decontam.report(frame, bench.limit(0)).where("contaminated").count() == 0
         assert decontam.report(frame.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [200_000, 5])
+def test_items_without_an_id(spark, block_words, monkeypatch):
+    """They are hits, and one item of null id, as in the SQL."""
+    named, bare, other = ("alpha beta gamma delta", "eins zwei drei vier", "uno due tre quattro")
+    docs = spark.createDataFrame([(1, f"{named} x {bare} y {other}"), (2, f"x {bare} y"), (3, "clean words only")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, named), (None, bare), (None, other)], "item_id long, text string")
+    real = decontam.matches
+    monkeypatch.setattr(decontam, "matches", lambda *a: real(*a, block_words=block_words))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted(map(tuple, decontam.report(docs, bench).collect()))
+    assert got == [(1, 14, 12, 2, sha("7"), True), (2, 6, 4, 1, sha(""), True), (3, 3, 0, 0, sha(""), False)]
+    assert [r.doc_id for r in decontam.clean_documents(docs, bench, block_words=block_words).collect()] == [3]
