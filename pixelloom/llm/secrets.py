@@ -2,8 +2,13 @@
 
 Three patterns give the base spans. Beyond them, long tokens are compared under
 two first-order Markov models of their characters, one of random strings and one
-of ordinary identifiers: a token whose log-likelihood ratio is high enough for
-each character is a secret of kind `random`.
+of ordinary identifiers: a token is a secret of kind `random` if its mean
+log-likelihood ratio is high enough. So that ordinary words joined to a key don't
+average it away, the same holds for each part of 20 characters or more between
+/ _ -, and for each stretch of parts of 24 characters or more (a short word that
+the models don't know weighs less in those). The span is the whole token. Equal
+neighbouring characters say nothing for a secret (they are rulers and fillings),
+and a token without a letter is a number and no secret.
 
 The models are trained from labelled samples: random strings over the usual
 alphabets of keys, and ordinary identifiers made of words of a sample of about
@@ -30,6 +35,9 @@ ASSIGN_HINT = r"(?i)(?:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+PART = "[A-Za-z0-9+]{20,}"
+#: Least characters of a stretch of parts, and what joins the parts.
+STRETCH, JOINTS = 24, "/_-"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -37,7 +45,7 @@ SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 @dataclass(frozen=True)
 class Models:
-    """Log-likelihood ratio of each pair of neighbouring characters (row-major over ALPHABET), and the least mean ratio of a secret."""
+    """Log-likelihood ratio of each pair of neighbouring characters (row-major over ALPHABET), and the least mean ratio of a secret's stretch."""
 
     ratio: tuple[float, ...]
     least: float = 0.35
@@ -123,20 +131,56 @@ def _spans(text: Column, hint: Column, pattern: str, kind: int, good, group: int
 
 
 def mean_ratio(token: Column, models: Models) -> Column:
-    """Mean log-likelihood ratio of the token's character pairs."""
+    """Mean log-likelihood ratio of the token's character pairs; a pair of equal ones has none."""
     size = len(ALPHABET)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in models.ratio)), ",").cast("array<double>")  # folded to a constant
     start = F.named_struct(F.lit("at"), F.lit(0), F.lit("sum"), F.lit(0.0))
 
     def step(acc: Column, c: Column) -> Column:
         at = F.instr(F.lit(ALPHABET), c)
-        gain = F.when((acc["at"] > 0) & (at > 0), F.element_at(table, (acc["at"] - 1) * size + at)).otherwise(F.lit(0.0))
+        gain = F.when((acc["at"] > 0) & (at > 0) & (acc["at"] != at), F.element_at(table, (acc["at"] - 1) * size + at)).otherwise(F.lit(0.0))
         return F.named_struct(F.lit("at"), at, F.lit("sum"), acc["sum"] + gain)
 
     total = F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"])
     return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
+def stretch_ratio(token: Column, models: Models) -> Column:
+    """Greatest sum, over stretches of at least STRETCH characters between JOINTS or ends, of what each pair's log-likelihood ratio is above models.least; null for a shorter token.
+
+    Sums of pairs up to a character are kept beside those up to the character STRETCH - 1 before it, whose least so far
+    is where the best stretch begins.
+    """
+    size = len(ALPHABET)
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in models.ratio)), ",").cast("array<double>")  # folded to a constant
+    none = F.lit(None).cast("double")
+    joints = [ALPHABET.index(c) + 1 for c in JOINTS]
+    start = F.named_struct(F.lit("at"), F.lit(0), F.lit("sum"), F.lit(0.0), F.lit("late_at"), F.lit(0), F.lit("late"), F.lit(0.0), F.lit("low"), none, F.lit("best"), none)
+
+    def gain(a: Column, b: Column) -> Column:
+        known = F.when(a == b, F.lit(-models.least)).otherwise(F.element_at(table, (a - 1) * size + b) - models.least)
+        return F.when((a > 0) & (b > 0), known).otherwise(F.lit(0.0))
+
+    def step(acc: Column, c: Column) -> Column:
+        at, late_at = F.instr(F.lit(ALPHABET), c["c"]), F.instr(F.lit(ALPHABET), c["late"])
+        total, late = acc["sum"] + gain(acc["at"], at), acc["late"] + gain(acc["late_at"], late_at)
+        # a stretch begins at the first character or after a joint, and ends before a joint or with the token
+        begins = (late_at > 0) & ((acc["late_at"] == 0) | acc["late_at"].isin(joints))
+        low = F.when(begins, F.least(acc["low"], late)).otherwise(acc["low"])
+        best = F.when(at.isin(joints), F.greatest(acc["best"], acc["sum"] - acc["low"])).otherwise(acc["best"])
+        return F.named_struct(F.lit("at"), at, F.lit("sum"), total, F.lit("late_at"), late_at, F.lit("late"), late, F.lit("low"), low, F.lit("best"), best)
+
+    chars = F.split(token, "")
+    late = F.slice(F.split(F.concat(F.lit(" " * (STRETCH - 1)), token), ""), F.lit(1), F.size(chars))
+    return F.aggregate(F.arrays_zip(chars.alias("c"), late.alias("late")), start, step, lambda acc: F.greatest(acc["best"], acc["sum"] - acc["low"]))
+
+
+def is_random(token: Column, models: Models) -> Column:
+    """Whether the token as a whole, one of its parts or a stretch of them is a random string."""
+    parts = F.exists(F.regexp_extract_all(token, F.lit(PART), 0), lambda p: mean_ratio(p, models) >= models.least)
+    return token.rlike("[A-Za-z]") & ((mean_ratio(token, models) >= models.least) | parts | F.coalesce(stretch_ratio(token, models) >= 0, F.lit(False)))
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -146,14 +190,13 @@ def scan(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, assign, access, hex, random) of each row of docs (doc_id, text): the spans of each kind."""
     text = F.coalesce("text", F.lit(""))
     always = F.lit(True)
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         _spans(text, text.rlike(ASSIGN_HINT), ASSIGN, 0, lambda v: F.length(v) >= 6, 2).alias("assign"),
         _spans(text, text.contains("AKIA"), ACCESS, 1, lambda v: always).alias("access"),
         _spans(text, text.rlike(HEX), HEX, 2, lambda v: always).alias("hex"),
-        _spans(text, text.rlike(CANDIDATE), CANDIDATE, 3, lambda v: mixed(v) & (mean_ratio(v, models) >= models.least)).alias("random"),
+        _spans(text, text.rlike(CANDIDATE), CANDIDATE, 3, lambda v: is_random(v, models)).alias("random"),
     )
     known = F.concat("assign", "access", "hex")
     free = F.filter("random", lambda r: ~F.exists(known, lambda b: (b["start"] < r["stop"]) & (b["stop"] > r["start"])))

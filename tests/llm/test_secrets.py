@@ -49,3 +49,43 @@ def test_models_separate_held_out_strings(spark):
     frame = spark.createDataFrame(held, "text string, label int")
     rows = frame.select("label", (secrets.mean_ratio(frame.text, models) >= models.least).alias("hit")).collect()
     assert sum(r.hit == bool(r.label) for r in rows) / len(rows) > 0.95
+
+
+def _models(spark):
+    words = "reason water paper house number window garden system people question service config local shared deploy account".split()
+    train = [(t, 1) for t in secrets.random_strings(5000, 1)] + [(t, 0) for t in secrets.ordinary_identifiers(words, 5000, 2)]
+    return words, secrets.train(spark.createDataFrame(train, "text string, label int"))
+
+
+def test_secrets_joined_to_words_and_of_letters_only(spark):
+    words, models = _models(spark)
+    rng = random.Random(6)
+    key = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    alnum, lower = secrets.ALPHABET[:62], secrets.ALPHABET[26:52]
+    found = ["/".join([*rng.choices(words, k=n), key(alnum, 24), *rng.choices(words, k=n)]) for n in (1, 2, 4, 8) for _ in range(10)]
+    found += ["/".join([*rng.choices(words, k=6), key(alnum + "_-", 32)]) for _ in range(10)]
+    found += [key(lower, 24) for _ in range(10)] + [key(secrets.ALPHABET[:52], 40) for _ in range(10)]
+    clean = ["-" * 40, "_" * 25 + "section", "a" * 5000, "20230101123456789012345", "report_20230101", *("/".join(rng.choices(words, k=12)) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate([*found, *clean])), "doc_id long, text string")
+    rows = {r.doc_id: [tuple(s) for s in r.random] for r in secrets.scan(docs, models).collect()}
+    caught = [rows[i] == [(0, 3, len(t))] for i, t in enumerate(found)]
+    assert sum(caught) >= 0.97 * len(found)
+    assert not [t for i, t in enumerate(clean, len(found)) if rows[i]]
+
+
+def test_stretch_ratio(spark):
+    words, models = _models(spark)
+    size, least = len(secrets.ALPHABET), models.least
+
+    def brute(t):
+        at = [secrets.ALPHABET.index(c) for c in t]
+        gain = [-least if a == b else models.ratio[a * size + b] - least for a, b in zip(at, at[1:])]
+        starts = [i for i in range(len(t)) if i == 0 or t[i - 1] in "/_-"]
+        stops = [j for j in range(len(t)) if j == len(t) - 1 or t[j + 1] in "/_-"]
+        return max((sum(gain[i:j]) for i in starts for j in stops if j >= i + 23), default=None)
+
+    texts = [*secrets.random_strings(30, 7), *secrets.ordinary_identifiers(words, 30, 8), "a" * 23, "a" * 24, "ab" * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in docs.select("text", secrets.stretch_ratio(docs.text, models).alias("x")).collect():
+        want = brute(r.text)
+        assert r.x is None if want is None else abs(r.x - want) < 1e-3, r.text
