@@ -11,8 +11,9 @@ neighbouring characters say nothing for a secret (they are rulers and fillings),
 and a token without a letter is a number and no secret.
 
 The models are trained from labelled samples: random strings over the usual
-alphabets of keys, and ordinary identifiers made of words of a sample of about
-`sample` documents (a parameter; scanning covers all documents and whole texts).
+alphabets of keys, and ordinary identifiers made of all words of a sample of about
+`sample` documents, drawn by how often they occur (a parameter; scanning covers all
+documents and whole texts).
 
 Defined cases: a null text is an empty text and has no spans; a text or token of
 any length is scanned whole; rows that repeat are scanned each on its own; an
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,14 +61,14 @@ def random_strings(n: int, seed: int = 11) -> list[str]:
     return ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))) for _ in range(n)]
 
 
-def ordinary_identifiers(words: list[str], n: int, seed: int = 12) -> list[str]:
-    """Samples labelled ordinary: words as they are joined in identifiers, paths and file names, with numbers now and then."""
+def ordinary_identifiers(words: list[str], n: int, seed: int = 12, counts: list[int] | None = None) -> list[str]:
+    """Samples labelled ordinary: words, drawn by their counts, as they are joined in identifiers, paths and file names, with numbers now and then."""
     rng = random.Random(seed)
     if not words:
         return []
-    out = []
+    out, upto = [], list(accumulate(counts or [1] * len(words)))
     for _ in range(n):
-        parts = [rng.choice(words) for _ in range(rng.randint(1, 5))]
+        parts = rng.choices(words, cum_weights=upto, k=rng.randint(1, 5))
         style = rng.randrange(6)
         if style == 1:
             parts = [p.upper() for p in parts]
@@ -102,9 +104,10 @@ def fit(docs: DataFrame, sample: int = 2000, strings: int = 20_000) -> Models:
     n = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
     words = part.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,12}(?![A-Za-z0-9])"), 0)).alias("w"))
-    # the most frequent words of the sample, at most 5,000 of them
-    top = [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(5000).collect()]
-    rows = [(t, 1) for t in random_strings(strings)] + [(t, 0) for t in ordinary_identifiers(top, strings)]
+    # all words of the sample, whose size is bounded
+    found = sorted((r["w"], r["count"]) for r in words.groupBy("w").count().collect())
+    ordinary = ordinary_identifiers([w for w, _ in found], strings, counts=[n for _, n in found])
+    rows = [(t, 1) for t in random_strings(strings)] + [(t, 0) for t in ordinary]
     return train(docs.sparkSession.createDataFrame(rows, "text string, label int"))
 
 

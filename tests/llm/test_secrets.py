@@ -89,3 +89,14 @@ def test_stretch_ratio(spark):
     for r in docs.select("text", secrets.stretch_ratio(docs.text, models).alias("x")).collect():
         want = brute(r.text)
         assert r.x is None if want is None else abs(r.x - want) < 1e-3, r.text
+
+
+def test_all_words_of_the_sample_teach_by_their_counts(spark, monkeypatch):
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, f"{' '.join(names[i::4])} {'often ' * 500}") for i in range(4)], "doc_id long, text string")
+    seen = {}
+    real = secrets.ordinary_identifiers
+    monkeypatch.setattr(secrets, "ordinary_identifiers", lambda words, n, counts: seen.update(zip(words, counts, strict=True)) or real(words, n, counts=counts))
+    secrets.fit(docs, strings=100)
+    assert seen == dict.fromkeys(names, 1) | {"often": 2000}
+    assert sum("often" in t for t in real(["often", "seldom"], 100, counts=[1000, 1])) > 60
