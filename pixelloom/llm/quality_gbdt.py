@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import _text as tx
-from pixelloom.llm._sample import chosen_texts, fold, thinned
+from pixelloom.llm._sample import chosen_texts, fold
 
 FEATURES = (
     "words", "chars_per_word", "upper", "digit", "hash_star_dollar", "percent_amp", "bar_angle", "other_punct", "high_bytes", "space",
@@ -164,7 +164,7 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
     """Trees for labels (doc_id, quality)."""
     rows = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    picked = chosen_texts(docs, thinned(rows, most))
+    picked = chosen_texts(docs, rows, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches, "text"):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import _text as tx
 from pixelloom.llm._graph import cut
-from pixelloom.llm._sample import chosen_texts, fold, thinned
+from pixelloom.llm._sample import chosen_texts, fold
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SEEDS = {
@@ -181,7 +181,7 @@ def fit_weights(counts: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int
 def learn(docs: DataFrame, labels: DataFrame, most: int = 8_000, least: int = 5, odds: float = 12.0) -> Grammar:
     """Grammar for labels (doc_id, toxic). A word of `least` contexts in toxic texts, `odds` times the share in others, is learned as an insult."""
     rows = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    picked = chosen_texts(docs, thinned(rows, most)).select("doc_id", "text", "label")
+    picked = chosen_texts(docs, rows, most)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
