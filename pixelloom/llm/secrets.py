@@ -4,7 +4,7 @@ Three patterns give the base spans. Beyond them, long tokens are compared under
 two first-order Markov models of their characters, one of random strings and one
 of ordinary identifiers: a token is a secret of kind `random` if its mean
 log-likelihood ratio is high enough. So that ordinary words joined to a key don't
-average it away, the same holds for each part of 20 characters or more between
+average it away, the same holds for each part of 16 characters or more between
 / _ -, and for each stretch of parts of 24 characters or more (a short word that
 the models don't know weighs less in those). The span is the whole token. Equal
 neighbouring characters say nothing for a secret (they are rulers and fillings),
@@ -36,8 +36,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_HINT = r"(?i)(?:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
-PART = "[A-Za-z0-9+]{20,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
+PART = "[A-Za-z0-9+]{16,}"
 #: Least characters of a stretch of parts, and what joins the parts.
 STRETCH, JOINTS = 24, "/_-"
 KINDS = ("assign", "access", "hex", "random")
@@ -111,20 +111,53 @@ def fit(docs: DataFrame, sample: int = 2000, strings: int = 20_000) -> Models:
     return train(docs.sparkSession.createDataFrame(rows, "text string, label int"))
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value), where value is computed once however often then() names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _blocks(values: Column) -> Column:
+    """A non-empty array as about as many arrays as each of them has entries."""
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    return _bound(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / w).cast("int")), lambda b: F.slice(values, b * w + 1, w)))
+
+
 def _located(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """(start, stop, kind, value) of the pattern's matches; value is the group.
 
-    split() gives what lies between the matches, so lengths add up to offsets: a match starts a gap after the one before it.
+    split() gives what lies between the matches, so lengths add up to offsets: a match starts a gap after the one before
+    it. The sums run within blocks of matches, and over the blocks, so the work is the number of matches to the power 1.5.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    empty = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int,value:string>>)")
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.length)
-    zipped = F.arrays_zip(sizes.alias("m"), F.slice(gaps, 1, F.size(sizes)).alias("g"), F.regexp_extract_all(text, F.lit(pattern), group).alias("v"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    zipped = _bound(sizes, lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("g"), F.regexp_extract_all(text, F.lit(pattern), group).alias("v")))
 
     def add(done: Column, x: Column) -> Column:
         start = F.coalesce(F.try_element_at(done, F.lit(-1))["stop"], F.lit(0)) + x["g"]
         return F.concat(done, F.array(F.named_struct(F.lit("start"), start, F.lit("kind"), F.lit(kind), F.lit("stop"), start + x["m"], F.lit("value"), x["v"])))
 
-    return F.aggregate(zipped, F.expr("cast(array() as array<struct<start:int,kind:int,stop:int,value:string>>)"), add)
+    def shifted(part: Column) -> Column:
+        return F.transform(part["rows"], lambda s: F.named_struct(F.lit("start"), s["start"] + part["first"], F.lit("kind"), s["kind"], F.lit("stop"), s["stop"] + part["first"], F.lit("value"), s["value"]))
+
+    def joined(parts: Column) -> Column:
+        firsts = F.aggregate(parts, F.array(F.lit(0)), lambda done, rows: F.concat(done, F.array(F.element_at(done, -1) + F.element_at(rows, -1)["stop"])))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("rows"), F.slice(firsts, 1, F.size(parts)).alias("first")), shifted))
+
+    return _bound(zipped, lambda z: F.when(F.size(z) > 0, _bound(F.transform(_blocks(z), lambda rows: F.aggregate(rows, empty, add)), joined)).otherwise(empty))
+
+
+def _apart(spans: Column, known: Column) -> Column:
+    """The spans that share no character with the known ones, which are looked up by blocks."""
+
+    def block(rows: Column) -> Column:
+        return F.named_struct(F.lit("low"), F.array_min(F.transform(rows, lambda s: s["start"])), F.lit("high"), F.array_max(F.transform(rows, lambda s: s["stop"])), F.lit("rows"), rows)
+
+    def meets(r: Column, b: Column) -> Column:
+        return (b["low"] < r["stop"]) & (b["high"] > r["start"]) & F.exists(b["rows"], lambda s: (s["start"] < r["stop"]) & (s["stop"] > r["start"]))
+
+    free = _bound(F.array_sort(known), lambda k: _bound(F.transform(_blocks(k), block), lambda blocks: F.filter(spans, lambda r: ~F.exists(blocks, lambda b: meets(r, b)))))
+    return F.when((F.size(spans) > 0) & (F.size(known) > 0), free).otherwise(spans)
 
 
 def _spans(text: Column, hint: Column, pattern: str, kind: int, good, group: int = 0) -> Column:
@@ -133,6 +166,11 @@ def _spans(text: Column, hint: Column, pattern: str, kind: int, good, group: int
     return F.when(hint, found).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
+def _pieces(token: Column) -> Column:
+    """The token cut into pieces of 4,096 characters, so that a long token's characters aren't held one by one all at once."""
+    return F.regexp_extract_all(token, F.lit(".{1,4096}"), 0)
+
+
 def mean_ratio(token: Column, models: Models) -> Column:
     """Mean log-likelihood ratio of the token's character pairs; a pair of equal ones has none."""
     size = len(ALPHABET)
@@ -144,7 +182,7 @@ def mean_ratio(token: Column, models: Models) -> Column:
         gain = F.when((acc["at"] > 0) & (at > 0) & (acc["at"] != at), F.element_at(table, (acc["at"] - 1) * size + at)).otherwise(F.lit(0.0))
         return F.named_struct(F.lit("at"), at, F.lit("sum"), acc["sum"] + gain)
 
-    total = F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"])
+    total = F.aggregate(_pieces(token), start, lambda acc, piece: F.aggregate(F.split(piece, ""), acc, step), lambda acc: acc["sum"])
     return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
@@ -173,9 +211,13 @@ def stretch_ratio(token: Column, models: Models) -> Column:
         best = F.when(at.isin(joints), F.greatest(acc["best"], acc["sum"] - acc["low"])).otherwise(acc["best"])
         return F.named_struct(F.lit("at"), at, F.lit("sum"), total, F.lit("late_at"), late_at, F.lit("late"), late, F.lit("low"), low, F.lit("best"), best)
 
-    chars = F.split(token, "")
-    late = F.slice(F.split(F.concat(F.lit(" " * (STRETCH - 1)), token), ""), F.lit(1), F.size(chars))
-    return F.aggregate(F.arrays_zip(chars.alias("c"), late.alias("late")), start, step, lambda acc: F.greatest(acc["best"], acc["sum"] - acc["low"]))
+    def both(piece: Column) -> Column:
+        chars = F.split(piece["now"], "")
+        return F.arrays_zip(chars.alias("c"), F.slice(F.split(piece["late"], ""), F.lit(1), F.size(chars)).alias("late"))
+
+    late = _pieces(F.concat(F.lit(" " * (STRETCH - 1)), token))
+    paired = F.arrays_zip(_pieces(token).alias("now"), F.slice(late, F.lit(1), F.size(_pieces(token))).alias("late"))
+    return F.aggregate(paired, start, lambda acc, piece: F.aggregate(both(piece), acc, step), lambda acc: F.greatest(acc["best"], acc["sum"] - acc["low"]))
 
 
 def is_random(token: Column, models: Models) -> Column:
@@ -201,9 +243,7 @@ def scan(docs: DataFrame, models: Models) -> DataFrame:
         _spans(text, text.rlike(HEX), HEX, 2, lambda v: always).alias("hex"),
         _spans(text, text.rlike(CANDIDATE), CANDIDATE, 3, lambda v: is_random(v, models)).alias("random"),
     )
-    known = F.concat("assign", "access", "hex")
-    free = F.filter("random", lambda r: ~F.exists(known, lambda b: (b["start"] < r["stop"]) & (b["stop"] > r["start"])))
-    return base.select("doc_id", "assign", "access", "hex", F.when(F.size("random") > 0, free).otherwise(F.col("random")).alias("random"))
+    return base.select("doc_id", "assign", "access", "hex", _apart(F.col("random"), F.concat("assign", "access", "hex")).alias("random"))
 
 
 def report(docs: DataFrame, models: Models) -> DataFrame:

@@ -100,3 +100,57 @@ def test_all_words_of_the_sample_teach_by_their_counts(spark, monkeypatch):
     secrets.fit(docs, strings=100)
     assert seen == dict.fromkeys(names, 1) | {"often": 2000}
     assert sum("often" in t for t in real(["often", "seldom"], 100, counts=[1000, 1])) > 60
+
+
+def test_mean_ratio(spark):
+    words, models = _models(spark)
+    size = len(secrets.ALPHABET)
+
+    def brute(t):
+        at = [secrets.ALPHABET.find(c) for c in t]
+        return sum(models.ratio[a * size + b] for a, b in zip(at, at[1:]) if a >= 0 and b >= 0 and a != b) / max(len(t) - 1, 1)
+
+    texts = [*secrets.random_strings(40, 9), *secrets.ordinary_identifiers(words, 40, 10), "", "a", "aaaa", "a.b c", *("".join(secrets.random_strings(300, 9))[:n] for n in (4095, 4096, 4097, 9000))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in docs.select("text", secrets.mean_ratio(docs.text, models).alias("x")).collect():
+        assert abs(r.x - brute(r.text)) < 1e-5, r.text
+
+
+def test_stretches_of_long_tokens_cross_pieces(spark):
+    words, models = _models(spark)
+    path = "/".join(random.Random(2).choices(words, k=1500))
+    docs = spark.createDataFrame([(i, path[:n].rstrip("/") + ("/" + RANDOM + RANDOM + "/" if key else "/") + path) for i, (n, key) in enumerate((n, key) for n in (4080, 4096, 8190) for key in (True, False))], "doc_id long, text string")
+    rows = {r.doc_id: len(r.random) for r in secrets.scan(docs, models).collect()}
+    assert rows == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_many_matches_take_little_time(spark):
+    """200,000 matches of one text, and as many random tokens among base spans, as located by re."""
+    _, models = _models(spark)
+    texts = ["token=abcdef " * 200_000, f"token=abcdef {RANDOM} " * 20_000, f"token={RANDOM} x{RANDOM} " * 3_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(docs, models).collect()}
+    for i, t in enumerate(texts):
+        base = [(m.start(), 0, m.end()) for m in re.finditer(PATTERNS[0][1], t)]
+        assert [tuple(s) for s in rows[i].assign] == base
+    want = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<=f )\S+", texts[1])]
+    assert [tuple(s) for s in rows[1].random] == want
+    want = [(m.start(), 3, m.end()) for m in re.finditer(r"\bx\S+", texts[2])]
+    assert [tuple(s) for s in rows[2].random] == want
+
+
+def test_planted_keys_in_documents(spark):
+    """Keys of 16 to 64 characters in real texts: nearly all are found, at their place, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    models = secrets.fit(docs, sample=500)
+    rng = random.Random(15)
+    alphabets = [secrets.ALPHABET[:62], secrets.ALPHABET[26:62], secrets.ALPHABET[:64], secrets.ALPHABET[:52]]
+    rows, places = [], {}
+    for i, r in enumerate(docs.orderBy("doc_id").collect()):
+        cut = rng.choice([m.end() for m in re.finditer(r"^|\s", r.text)])
+        key = "".join(rng.choices(rng.choice(alphabets), k=rng.choice([16, 20, 24, 32, 48, 64])))
+        rows.append((i, f"{r.text[:cut]}{key} {r.text[cut:]}"))
+        places[i] = (cut, 3, cut + len(key))
+    found = {r.doc_id: [tuple(s) for s in r.random] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    assert sum(places[i] in spans for i, spans in found.items()) >= 0.99 * len(rows)
+    assert sum(len(spans) for spans in found.values()) <= 1.01 * len(rows)
