@@ -5,27 +5,35 @@ The unit that is placed is a group of rows of equal text. Groups are placed by
 falling size, each into the shard where the dot product of its vector with the
 shard's residual capacity is highest among the shards that it fits.
 
+Only a group above an even shard in some dimension is cut, by a hash of its rows'
+ids, and its pieces are placed one by one; every other group has one home.
+
 The driver packs a number of items that the data's size does not change. A group
 that is more than 1 / (shards * parts) of the whole in any dimension stands for
-itself: there are at most 3 * shards * parts of those. Such a group is cut into
-pieces of that size, for a group may be a third of all rows. All other groups are
-dealt by hash into shards * parts bundles, and a bundle is one item.
+itself: there are at most 3 * shards * parts of those, and at most 3 * shards that
+are cut. All other groups are dealt by hash into shards * parts bundles, and a
+bundle is one item.
 
 Defined cases: a null text has no bytes, counts as the empty text in its CRC and
-is a group with empty texts; rows that repeat are separate rows of one group; with fewer rows
-than shards some shards stay empty; an empty table gives an empty result; other
-columns are not read.
+is a group with empty texts; rows that repeat are separate rows of one group; items
+of equal vectors are placed in the order of their hashes, and of shards that are as
+good the first one is taken; with fewer rows than shards some shards stay empty; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm._graph import cut
 
 
+#: Pieces of a group that is cut.
+PIECES = 2048
+
+
 def pack(vectors: np.ndarray, shards: int, slack: float = 1.002) -> np.ndarray:
     """Shard of each item (row of vectors, in any units)."""
     total = vectors.sum(0).astype(float)
@@ -57,37 +65,44 @@ def assign_shards(docs: DataFrame, shards: int = 40, parts: int = 256, rows_per_
         )
     )
     group = ["g1", "g2", "size", "text_crc32"]
-    groups = rows.groupBy(*group, "words").agg(F.count("*").alias("n"))
     total = rows.agg(F.sum("size"), F.sum("words"), F.count("*")).first()
-    least = [max(1, (x or 0) / (shards * parts)) for x in total]
-    heavy = groups.where((F.col("n") * F.col("size") > least[0]) | (F.col("n") * F.col("words") > least[1]) | (F.col("n") > least[2])).where("n > 1 or size > 16")
-    pieces = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") * F.col("size") / least[0], F.col("n") * F.col("words") / least[1], F.col("n") / least[2])))
-    # at most 3 * shards * parts rows, see above
-    heavy = heavy.select(*group, F.when(F.col("n") == 1, 1).otherwise(pieces).cast("long").alias("pieces"))
+    whole = [max(1, x or 0) for x in total]
+    share = F.greatest(F.col("n") * F.col("size") / whole[0], F.col("n") * F.col("words") / whole[1], F.col("n") / whole[2])
+    groups = rows.groupBy(*group, "words").agg(F.count("*").alias("n")).withColumn("share", share)
+    own = F.col("share") * shards * parts > 1
     bundle = F.pmod("g1", F.lit(shards * parts))
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("pieces"))
-    # an item is a bundle of light groups (h = 0), or a piece of a heavy one
-    item = rows.join(F.broadcast(heavy), group, "left").select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        "words",
-        F.when(F.col("pieces").isNull(), bundle).otherwise(F.xxhash64("g1", "g2", piece)).alias("item"),
-        F.col("pieces").isNotNull().alias("own"),
-    )
-    loads = item.groupBy("own", "item").agg(F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("n")).collect()
-    loads.sort(key=lambda r: (r.own, r.item))
-    chosen = pack(np.array([(r["size"], r["words"], r["n"]) for r in loads], float).reshape(-1, 3), shards)
+    sums = [F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum(F.col("n") * F.col("words")).alias("words"), F.sum("n").alias("n")]
+    # at most shards * parts bundles, and 3 * shards * parts groups that stand for themselves
+    light = groups.where(~own).groupBy(bundle.alias("bundle")).agg(*sums).orderBy("bundle").collect()
+    heavy = groups.where(own).orderBy("g1", "g2", "size", "text_crc32").collect()
     spark = docs.sparkSession
-    # as many rows as items, which are bounded
-    plan = spark.createDataFrame([(r.own, r.item, int(k)) for r, k in zip(loads, chosen, strict=True)], "own boolean, item long, shard int")
-    placed = item.join(F.broadcast(plan), ["own", "item"]).select("doc_id", "size", "text_crc32", "shard")
+    kinds = "g1 long, g2 long, size long, text_crc32 long"
+    deal = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PIECES)).cast("int")
+    large = [tuple(r[c] for c in group) for r in heavy if r["share"] * shards > 1]
+    pieces = []
+    if large:  # at most PIECES for each of 3 * shards groups
+        cut_up = rows.join(F.broadcast(spark.createDataFrame(large, kinds)), group, "left_semi").groupBy(*group, "words", deal.alias("piece")).agg(F.count("*").alias("n"))
+        pieces = cut_up.orderBy(*group, "piece").collect()
+    items = [(None, r["bundle"], r["bytes"], r["words"], r["n"]) for r in light]
+    items += [(key, 0, r["n"] * r["size"], r["n"] * r["words"], r["n"]) for r in heavy if (key := tuple(r[c] for c in group)) not in set(large)]
+    items += [(tuple(r[c] for c in group), r["piece"], r["n"] * r["size"], r["n"] * r["words"], r["n"]) for r in pieces]
+    chosen = pack(np.array([x[2:] for x in items], float).reshape(-1, 3), shards).tolist()
+    of_bundle, of_group = [0] * (shards * parts), {}
+    for (key, piece, *_), k in zip(items, chosen, strict=True):
+        if key is None:
+            of_bundle[piece] = k
+        else:
+            of_group.setdefault(key, {})[piece] = k
+    plan = [(*key, [own.get(i, 0) for i in range(PIECES)] if key in set(large) else [own[0]]) for key, own in of_group.items()]
+    # as many rows as groups that stand for themselves, which are bounded
+    placed = rows.join(F.broadcast(spark.createDataFrame(plan, f"{kinds}, homes array<int>")), group, "left")
+    bundles = F.broadcast(spark.createDataFrame([(of_bundle,)], "bundles array<int>"))
+    home = F.coalesce(F.element_at("homes", F.pmod(deal, F.size("homes")) + 1), F.element_at("bundles", bundle.cast("int") + 1))
+    placed = placed.join(bundles).select("doc_id", "size", "text_crc32", home.alias("shard"))
     # slots: rows are numbered within runs of a shard, and a run starts where the one before it ends
     runs = max(1, -(-int(total[2] or 0) // (shards * rows_per_run)))
     placed = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(runs)).cast("int"))
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("shard", "run", F.coalesce("before", F.lit(0)).alias("before"))
     numbered = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")) - 1)
