@@ -1,18 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause's words become classes (insult, threat, target, negation, reported
-speech, other). Small transducers for negation, reported speech and targets are
-composed into one machine, which reads a clause once and writes the patterns that
-it matches: a bare insult, an insult at a target, a negated or a reported one, a
-threat, a threat at a target. Each word carries a weight into the pattern that it
-makes. A document's score is a logistic function of the sums by pattern and of its
-length, so a word counts by the clause in which it stands.
+speech, other). Five weighted transducers read them, each what the one before it
+writes: insults and threats become marks, marks after a negation are negated, marks
+after a word of reported speech are reported, and the last one writes a pattern for
+each mark: a bare insult, one at a target near it (before or after), a negated or
+reported one, a threat, a threat at a target, or nothing. Their arcs are tables;
+compose() makes one transducer of them, whose weights are the sums of theirs, and a
+clause is read once. A document's score is a logistic function of what its words of
+each pattern weigh, of its clauses' path weights and of its length, so a word counts
+by the clause in which it stands.
 
 Words of insult come from a seed list and from at most about `most` labelled rows
 (a parameter): a word is learned if it stands in many different contexts in toxic
-texts and in few in others, which copies of one text can't bring about. The
-weights of patterns are learned from the same rows, pulled towards prior weights
-where a pattern is rare. Statistics and scores cover whole texts.
+texts and in few in others, which copies of one text can't bring about. A context is
+the words beside it in its document. All words beyond the limits are learned, so
+there are no ties to break. The weights of patterns are learned from the same rows,
+in an order of their own, pulled towards prior weights where a pattern is rare.
+Statistics and scores cover whole texts and don't depend on how rows are dealt out.
 
 Defined cases: null and empty texts match nothing and get the score of a text
 without matches; a clause of any length is read once; repeated rows are scored
@@ -25,8 +30,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +51,10 @@ SEEDS = {
     REPORT: "said says say called calls wrote writes quoted quotes claimed claims alleged reported sagte sagt nannte schrieb dit appelé écrit dijo dice llamó escribió",
 }
 PATTERNS = ("insult", "insult_at_target", "insult_negated", "insult_reported", "threat", "threat_at_target")
-#: Prior weights: of no match, of a unit of each of PATTERNS, and of the logarithm of a text's words.
-PRIOR = np.array([-4.0, 1.2, 1.4, 0.1, 0.15, 0.1, 1.5, 0.0])
+#: What a mark is that a negation or a report takes away.
+NOTHING = "nothing"
+#: Prior weights: of no match, of a unit of each of PATTERNS, of a unit of path weight, and of the logarithm of a text's words.
+PRIOR = np.array([-4.0, 1.2, 1.4, 0.1, 0.15, 0.1, 1.5, 0.1, 0.0])
 #: Weights of the words of the seed list, and the most that the words of a pattern add up to.
 SEED_WEIGHT, THREAT_WEIGHT, MOST = 4.0, 2.0, 24.0
 #: A learned word weighs its squared log-odds over this: one certain word says more than several that chance puts into clean texts.
@@ -58,65 +65,131 @@ CLAUSE_END[[ord(c) for c in ".!?;:\n"]] = True
 REACH = 4
 
 
-@dataclass
-class Machine:
-    """Composition of the negation, report and target transducers; the states of the composed machine are found as they are reached."""
-
-    states: dict[tuple[int, int, int, int], int] = field(default_factory=dict)
-    table: list[dict[int, tuple[int, int | None, int | None]]] = field(default_factory=list)
-
-    def __post_init__(self):
-        self._state((0, 0, 0, 0))
-
-    def _state(self, parts: tuple[int, int, int, int]) -> int:
-        if parts not in self.states:
-            self.states[parts] = len(self.table)
-            self.table.append({})
-        return self.states[parts]
-
-    def step(self, state: int, word: int) -> tuple[int, int | None, int | None]:
-        """(next state, pattern written, pattern taken back): a target right after an insult or threat turns it into one at a target."""
-        row = self.table[state]
-        if word not in row:
-            negated, reported, target, open_ = next(k for k, v in self.states.items() if v == state)
-            wrote = undo = None
-            if word in (INSULT, THREAT):
-                if word == INSULT:
-                    wrote = 2 if negated else 3 if reported else 1 if target else 0
-                else:
-                    wrote = None if negated or reported else 5 if target else 4
-                open_ = {0: REACH, 4: 10 + REACH}.get(wrote, 0)  # above 10: of a threat
-            elif word == TARGET and open_:
-                undo, wrote = (4, 5) if open_ > 10 else (0, 1)
-                open_ = 0
-            else:
-                open_ = open_ - 1 if open_ not in (0, 11) else 0
-            after = (
-                REACH if word == NEGATION else max(0, negated - 1),
-                1 if word == REPORT else reported,
-                REACH if word == TARGET else max(0, target - 1),
-                open_,
-            )
-            row[word] = (self._state(after), wrote, undo)
-        return row[word]
-
-    def read(self, words: list[int], weights: list[float]) -> list[float]:
-        """What each pattern's words weigh in a clause."""
-        out, state, last = [0.0] * len(PATTERNS), 0, 0.0
-        for w, weight in zip(words, weights, strict=True):
-            state, wrote, undo = self.step(state, w)
-            if undo is not None:
-                out[undo] -= last
-                out[wrote] += last
-            elif wrote is not None:
-                out[wrote] += weight
-                last = weight
-        return out
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs by state and symbol read, as (next state, symbols written, weight), and what each state writes and weighs at the end of a clause. State 0 is the start."""
+
+    arcs: list[dict[object, tuple[int, tuple, float]]]
+    ends: list[tuple[tuple, float]]
+
+    def read(self, symbols) -> tuple[list, float]:
+        """(symbols written, path weight) of a clause."""
+        state, out, weight = 0, [], 0.0
+        for x in symbols:
+            state, wrote, w = self.arcs[state][x]
+            out += wrote
+            weight += w
+        wrote, w = self.ends[state]
+        return [*out, *wrote], weight + w
+
+
+def transducer(alphabet, start, step, end) -> Transducer:
+    """Arc tables of the rules step(state, symbol) -> (state, written, weight) and end(state) -> (written, weight) over all states that can be reached."""
+    states, arcs = {start: 0}, []
+    for state in (order := [start]):
+        row = {}
+        for x in alphabet:
+            after, wrote, weight = step(state, x)
+            if after not in states:
+                states[after] = len(states)
+                order.append(after)
+            row[x] = (states[after], tuple(wrote), weight)
+        arcs.append(row)
+    return Transducer(arcs, [(tuple(w), x) for w, x in map(end, order)])
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads what `first` reads and writes what `second` writes on reading what `first` writes; weights add up."""
+
+    def through(state: int, symbols) -> tuple[int, list, float]:
+        out, weight = [], 0.0
+        for x in symbols:
+            state, wrote, w = second.arcs[state][x]
+            out += wrote
+            weight += w
+        return state, out, weight
+
+    def step(pair, x):
+        a, wrote, w = first.arcs[pair[0]][x]
+        b, out, v = through(pair[1], wrote)
+        return (a, b), out, w + v
+
+    def end(pair):
+        wrote, w = first.ends[pair[0]]
+        b, out, v = through(pair[1], wrote)
+        last, u = second.ends[b]
+        return [*out, *last], w + v + u
+
+    return transducer(first.arcs[0], (0, 0), step, end)
+
+
+def _silent(_):
+    return (), 0.0
+
+
+def insults() -> Transducer:
+    """Insults become marks; each one after the first of a clause weighs more."""
+    return transducer(range(6), 0, lambda n, x: (min(n + 1, 2), ("slur",), 0.5 * (n > 0)) if x == INSULT else (n, (x,), 0.0), _silent)
+
+
+def threats() -> Transducer:
+    """Words of threat become marks."""
+    return transducer(("slur", *(x for x in range(6) if x != INSULT)), 0, lambda n, x: (0, ("harm",) if x == THREAT else (x,), 0.0), _silent)
+
+
+def negations() -> Transducer:
+    """Up to REACH words after a negation a slur is negated and a threat is none."""
+
+    def step(left, x):
+        if x == NEGATION:
+            return REACH, (OTHER,), 0.0
+        if left and x in ("slur", "harm"):
+            return left - 1, ("slur_negated" if x == "slur" else NOTHING,), -1.0
+        return max(0, left - 1), (x,), 0.0
+
+    return transducer(("slur", "harm", OTHER, TARGET, NEGATION, REPORT), 0, step, _silent)
+
+
+def reports() -> Transducer:
+    """In the rest of a clause with a word of reported speech a slur is reported and a threat is none."""
+
+    def step(told, x):
+        if x == REPORT:
+            return 1, (OTHER,), 0.0
+        if told and x in ("slur", "harm"):
+            return 1, ("slur_reported" if x == "slur" else NOTHING,), -1.0
+        return told, (x,), 0.0
+
+    return transducer(("slur", "slur_negated", "harm", NOTHING, OTHER, TARGET, REPORT), 0, step, _silent)
+
+
+def targets() -> Transducer:
+    """One pattern for each mark, in the order of the marks. A mark without a target before it waits up to REACH words for one after it; near targets weigh more."""
+    bare = {"slur": "insult", "harm": "threat"}
+    fixed = {"slur_negated": "insult_negated", "slur_reported": "insult_reported", NOTHING: NOTHING}
+
+    def step(state, x):
+        near, waits, left = state  # words that the last target still reaches, the mark that waits, and how long
+        flushed = (bare[waits],) if waits else ()
+        if x in bare:
+            if near:
+                return (near - 1, None, 0), (*flushed, f"{bare[x]}_at_target"), near / REACH
+            return (0, x, REACH), flushed, 0.0
+        if x in fixed:
+            return (max(0, near - 1), None, 0), (*flushed, fixed[x]), 0.0
+        if x == TARGET:
+            return (REACH, None, 0), (f"{bare[waits]}_at_target",) if waits else (), left / REACH
+        if left > 1:
+            return (max(0, near - 1), waits, left - 1), (), 0.0
+        return (max(0, near - 1), None, 0), flushed, 0.0
+
+    return transducer(("slur", "slur_negated", "slur_reported", "harm", NOTHING, OTHER, TARGET), (0, None, 0), step, lambda state: ((bare[state[1]],) if state[1] else (), 0.0))
 
 
 @cache
-def machine() -> Machine:
-    return Machine()
+def machine() -> Transducer:
+    """The composition of the five."""
+    return reduce(compose, (insults(), threats(), negations(), reports(), targets()))
 
 
 def word_keys(words: list[str]) -> np.ndarray:
@@ -141,8 +214,8 @@ class Grammar:
         return np.where(known, self.kinds[k], OTHER), np.where(known, self.sizes[k], 0.0)
 
     def counts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each document the weight of each pattern, and the logarithm of its words."""
-        out = np.zeros((len(at) - 1, len(PATTERNS) + 1))
+        """For each document the weight of each pattern, the path weights of its clauses, and the logarithm of its words."""
+        out = np.zeros((len(at) - 1, len(PATTERNS) + 2))
         starts, ends, first = tx.runs(tx.ALNUM[data], at)
         out[:, -1] = np.log1p(np.diff(first))
         if not len(starts):
@@ -151,12 +224,19 @@ class Grammar:
         kinds, sizes = self.classify(tx.span_hashes(tx.prefix_hashes(data, tx.BYTE_VALUES_LOWER), starts, ends))
         # a clause: words with the same number of clause ends before them, in one document
         clause = np.cumsum(CLAUSE_END[data])[starts] + owner
-        hits = np.unique(clause[(kinds == INSULT) | (kinds == THREAT)])
+        marks = (kinds == INSULT) | (kinds == THREAT)
+        hits = np.unique(clause[marks])
         lo, hi = np.searchsorted(clause, hits, "left"), np.searchsorted(clause, hits, "right")
         read = machine().read
         for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-            out[owner[a], :-1] += read(kinds[a:b].tolist(), sizes[a:b].tolist())
-        out[:, :-1] = np.minimum(out[:, :-1], MOST)
+            patterns, weight = read(kinds[a:b].tolist())
+            row = out[owner[a]]
+            # one pattern for each mark, in their order
+            for p, size in zip(patterns, sizes[a:b][marks[a:b]].tolist(), strict=True):
+                if p != NOTHING:
+                    row[PATTERNS.index(p)] += size
+            row[-2] += weight
+        out[:, :-1] = np.clip(out[:, :-1], -MOST, MOST)
         return out
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -193,7 +273,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 8_000, least: int = 5,
             low = tx.LOWER[data]
             owner = tx.owners(first, len(starts))
             keys = tx.span_hashes(tx.prefix_hashes(low), starts, ends)
-            before, after = np.roll(keys, 1), np.roll(keys, -1)
+            # the words beside it in its document; zero beyond the ends
+            before, after = np.zeros_like(keys), np.zeros_like(keys)
+            same = owner[1:] == owner[:-1]
+            before[1:][same] = keys[:-1][same]
+            after[:-1][same] = keys[1:][same]
             place = tx.mix(before * np.uint64(3) + after)
             once = np.flatnonzero(~tx.later(tx.mix(keys + place) ^ label[owner].astype(np.uint64)))
             raw = low.tobytes()
@@ -215,13 +299,15 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 8_000, least: int = 5,
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32()), pa.array(got.ravel())), chunk.column(2)], ["x", "label"])
 
     rows = picked.mapInArrow(count, "x array<double>, label int").toArrow()  # bounded by `most`
-    x = np.array(rows.column(0).to_pylist(), float).reshape(-1, len(PATTERNS) + 1)
+    x = np.array(rows.column(0).to_pylist(), float).reshape(-1, len(PATTERNS) + 2)
     y = rows.column(1).to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))  # the same sums however rows arrive
+    x, y = x[order], y[order]
     return Grammar(found, fit_weights(x, y) if len(y) else PRIOR)
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """(doc_id, score, matches) of each row of docs (doc_id, text); matches holds the weight of each of PATTERNS and the logarithm of the words."""
+    """(doc_id, score, matches) of each row of docs (doc_id, text); matches holds the weight of each of PATTERNS, the path weight and the logarithm of the words."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # a word list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

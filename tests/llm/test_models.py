@@ -1,12 +1,15 @@
 """Held-out accuracy and defined cases of the learned operators."""
 
+import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import _text as tx
 from pixelloom.llm import langid, quality_gbdt, toxicity
@@ -138,3 +141,108 @@ def test_grammar(clause, pattern):
     assert [p for p, v in zip(toxicity.PATTERNS, found, strict=False) if v] == [pattern]
     plain, negated = (grammar.score(grammar.counts(*tx.bytes_of(pa.array([t]))))[0] for t in ("such an idiot", "not an idiot"))
     assert plain > negated
+
+
+def _in_turn(symbols):
+    """What the five transducers write and weigh, one after the other."""
+    total = 0.0
+    for t in (toxicity.insults(), toxicity.threats(), toxicity.negations(), toxicity.reports(), toxicity.targets()):
+        symbols, weight = t.read(symbols)
+        total += weight
+    return symbols, total
+
+
+def test_composition_is_reading_in_turn():
+    """All clauses of up to five words, and random longer ones; one pattern for each mark."""
+    rng = random.Random(2)
+    clauses = [c for n in range(6) for c in itertools.product(range(6), repeat=n)]
+    clauses += [tuple(rng.choices(range(6), k=rng.randint(6, 40))) for _ in range(500)]
+    for c in clauses:
+        patterns, weight = toxicity.machine().read(c)
+        want, total = _in_turn(c)
+        assert patterns == want and abs(weight - total) < 1e-9, c
+        assert len(patterns) == sum(k in (toxicity.INSULT, toxicity.THREAT) for k in c)
+
+
+def _brute_patterns(kinds):
+    """The pattern of each mark of a clause, said word by word."""
+    t, out = toxicity, []
+    for i, k in enumerate(kinds):
+        if k not in (t.INSULT, t.THREAT):
+            continue
+        before = kinds[:i]
+        negated = t.NEGATION in before[-t.REACH :]
+        reported = t.REPORT in before
+        at = t.TARGET in before[-t.REACH :]
+        if not at:  # a target after it, before any other mark
+            for later in kinds[i + 1 : i + 1 + t.REACH]:
+                if later in (t.INSULT, t.THREAT):
+                    break
+                if later == t.TARGET:
+                    at = True
+                    break
+        kind = "insult" if k == t.INSULT else "threat"
+        if negated or reported:
+            out.append(t.NOTHING if k == t.THREAT else "insult_negated" if negated else "insult_reported")
+        else:
+            out.append(f"{kind}_at_target" if at else kind)
+    return out
+
+
+def test_grammar_against_words_said_one_by_one():
+    rng = random.Random(4)
+    clauses = [c for n in range(6) for c in itertools.product(range(6), repeat=n)] + [tuple(rng.choices(range(6), k=rng.randint(6, 30))) for _ in range(2000)]
+    for c in clauses:
+        assert toxicity.machine().read(c)[0] == _brute_patterns(c), c
+
+
+def test_learned_words_and_layout(corpus, spark):
+    """The learned words as counted one by one, and the same scores however rows are dealt out."""
+    docs, marks, rows, labels = corpus
+    train = marks.where("doc_id < 1000")
+    grammar = toxicity.learn(docs.where("doc_id < 1000"), train)
+    places = {0: {}, 1: {}}
+    for r in docs.where("doc_id < 1000").collect():
+        for label in {m.toxic for m in train.where(f"doc_id = {r.doc_id}").collect()} if r.doc_id in (5, 7) else {labels[r.doc_id][2]}:
+            words = [""] + re.findall(r"[0-9a-z\u0080-\U0010ffff]+", r.text.lower()) + [""]
+            for a, w, b in zip(words, words[1:], words[2:]) if label is not None else ():
+                places[label].setdefault(w, set()).add((a, b))
+    count = {label: {w: len(p) for w, p in own.items()} for label, own in places.items()}
+    toxic, clean = (sum(count[k].values()) for k in (1, 0))
+    want = {w for w, n in count[1].items() if n >= 5 and (n + 0.5) / (count[0].get(w, 0) + 0.5) * clean / toxic >= 12.0}
+    assert want and set(grammar.insults) == want | set(toxicity.SEEDS[toxicity.INSULT].split())
+    got = [sorted((r.doc_id or -1, r.score, r.held_out) for r in toxicity.report(docs.repartition(n), marks).collect()) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_long_texts(corpus, spark):
+    """Half a million words of one text are scored whole by the learned operators."""
+    docs, marks, *_ = corpus
+    clean = "the andly wh ing " * 150_000
+    rows = spark.createDataFrame([(1, clean + "you are an idiot"), (2, clean), (3, "x" * 3_000_000)], "doc_id long, text string")
+    grammar = toxicity.Grammar({})
+    scores = {r.doc_id: r.matches for r in toxicity.score(rows, grammar).collect()}
+    assert scores[1][1] > 0 and not any(scores[2][:-1]) and not any(scores[3][:-1])
+    trees = quality_gbdt.learn(docs, marks)
+    assert len(quality_gbdt.score(rows, trees).collect()) == 3
+    got = {r.doc_id: r.lang_pred for r in langid.report(docs.select("doc_id", "text", "lang").union(rows.selectExpr("doc_id + 5000", "text", "cast(null as string)")), per_lang=60).where("doc_id > 5000").collect()}
+    assert got[5001] == got[5002] == "en" and len(got) == 3
+
+
+def test_repeated_and_null_ids_in_training(corpus, spark):
+    """Ids that repeat give a row for each, null ids teach nothing, and samples stay bounded."""
+    from pixelloom.llm import _sample
+
+    docs, marks, *_ = corpus
+    many = docs.where("doc_id = 7").crossJoin(spark.range(500)).drop("id")
+    both = docs.union(many).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = marks.where("quality is not null").select("doc_id", F.col("quality").alias("label"))
+    picked = _sample.chosen_texts(both, labels, 10_000)
+    assert picked.where("doc_id is null").count() == 0 and picked.where("doc_id = 7").count() >= 501
+    assert _sample.chosen_texts(both, labels, 100).count() <= 200
+    same = spark.range(5000).selectExpr("cast(1 as long) doc_id", "'x' text")
+    assert _sample.thinned(same, 100, "doc_id", "text").count() <= 200
+    assert _sample.thinned(same.limit(0), 100, "doc_id").count() == 0
+    assert 60 <= _sample.thinned(spark.range(5000), 100, "id").count() <= 150
+    assert len(quality_gbdt.report(both, marks).collect()) == both.count()
+    assert len(toxicity.report(both, marks).collect()) == both.count()
