@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import _text as tx
-from pixelloom.llm._graph import components, cut
+from pixelloom.llm._graph import checked_join, components, cut, spread_join
 
 _U = np.uint64
 #: The bits of a byte as eight counters of eight bits.
@@ -327,12 +327,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, hot: int
 def _grouped(docs: DataFrame, shingle: int, budget: int, hot: int) -> DataFrame:
     prints = cut(fingerprint_documents(docs, shingle))
     # equal fingerprints are one node, however many rows have them
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(link_forest(nodes.select("fp"), budget, hot))
-    labelled = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
-    least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp")
+    labelled = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", F.col("n").alias("rows")))
+    least = cut(labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
+    named = cut(spread_join(labelled, least, "root").select("fp", "component_id", F.col("rows").alias("n")))
+    return spread_join(prints, named, "fp")
 
 
 # groups by similarity, over wide fingerprints
@@ -362,45 +362,79 @@ def _wide_documents(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text", *names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "print binary", "fp long"]))
 
 
-def _banded(nodes: DataFrame, heads_only: bool = False) -> DataFrame:
-    """(head, key, fp, print) for each band and block of each node (fp, print), or the heads alone."""
+#: Bits of the blocks by which a band is dealt, level by level. Two words of a band that differ in BAND_BUDGET bits at the most agree in a block of each level.
+LEVELS = ((8, 8, 8, 8), (6, 6, 6, 6), (5, 5, 4, 4))
+
+
+def heads_of(words: np.ndarray, band: int, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(parent heads, heads) of the words of a band, for each choice of blocks down to the level. The lowest four bits of a head are its band."""
+
+    def down(head: np.ndarray, rest: np.ndarray, bits: int, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        turn = 0
+        for k, size in enumerate(LEVELS[at]):
+            spun = ((rest << _U(turn)) | (rest >> _U(bits - turn))) & _U((1 << bits) - 1) if turn else rest
+            turn += size
+            value = tx.mix(head + _U(k + 1) + (spun >> _U(bits - size) << _U(8)))
+            value = value & ~_U(15) | _U(band)
+            if at == level:
+                yield head, value
+            else:
+                yield from down(value, spun & _U((1 << bits - size) - 1), bits - size, at + 1)
+
+    yield from down(np.full(len(words), band, np.uint64), words, 32, 0)
+
+
+def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
+def _dealt(nodes: DataFrame, level: int, parents, crowded, want: str) -> DataFrame:
+    """Rows of the nodes (fp, print) at a level, below the heads that are crowded one level up.
+
+    parents and crowded are broadcast arrays (parents None: all). want: "heads" gives (head); "rows" gives (head, fp,
+    print) of heads that aren't crowded; "crowds" gives (head, fp) of those that are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, size = BAND_BUDGET + 1, 32 // (BAND_BUDGET + 1)
-        for batch in batches:
-            n = batch.num_rows
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, 2 * WIDE)[:, :BANDS].astype(np.uint64)
-            head, key = np.empty((n, BANDS, blocks), np.uint64), np.empty((n, BANDS, blocks), np.int64)
-            for b in range(BANDS):
-                for k in range(blocks):
-                    turn = _U(k * size)
-                    spun = ((words[:, b] << turn) | (words[:, b] >> (_U(32) - turn))) & _U(0xFFFFFFFF) if k else words[:, b]
-                    key[:, b, k] = spun.view(np.int64)
-                    head[:, b, k] = _U(b * blocks + k) << _U(32) | spun >> _U(32 - size)
-            each = BANDS * blocks
-            if heads_only:
-                yield pa.RecordBatch.from_arrays([pa.array(head.ravel().view(np.int64))], ["head"])
-                continue
-            take = pa.array(np.repeat(np.arange(n), each))
-            yield pa.RecordBatch.from_arrays([pa.array(head.ravel().view(np.int64)), pa.array(key.ravel()), batch.column(0).take(take), batch.column(1).take(take)], ["head", "key", "fp", "print"])
-
-    return nodes.select("fp", "print").mapInArrow(run, "head long" if heads_only else "head long, key long, fp long, print binary")
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
+                n = batch.num_rows
+                words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, 2 * WIDE).astype(np.uint64)
+                heads, take = [], []
+                for band in range(BANDS):
+                    for parent, head in heads_of(words[:, band], band, level):
+                        keep = np.ones(n, bool) if parents is None else _member(parent, parents.value)
+                        if want != "heads":
+                            keep &= _member(head, crowded.value) == (want == "crowds")
+                        heads.append(head[keep])
+                        take.append(np.flatnonzero(keep))
+                head = pa.array(np.concatenate(heads).view(np.int64))
+                take = pa.array(np.concatenate(take))
+                if want == "heads":
+                    yield pa.RecordBatch.from_arrays([head], ["head"])
+                elif want == "crowds":
+                    yield pa.RecordBatch.from_arrays([head, batch.column(0).take(take)], ["head", "fp"])
+                else:
+                    yield pa.RecordBatch.from_arrays([head, batch.column(0).take(take), batch.column(1).take(take)], ["head", "fp", "print"])
+
+    return nodes.select("fp", "print").mapInArrow(run, {"heads": "head long", "crowds": "head long, fp long", "rows": "head long, fp long, print binary"}[want])
 
 
 def _join_bands(limit: int):
-    left = 32 - 32 // (BAND_BUDGET + 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_heads(batches):
             rows = rows.combine_chunks()
-            heads, keys, parts, fps = (rows.column(i).to_numpy() for i in range(4))
-            prints = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(heads), WIDE)
+            heads, fps = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            prints = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(len(heads), WIDE)
+            keys = prints.view(np.uint32)[np.arange(len(heads)), heads & 15].astype(np.uint64)
+            order = np.lexsort((keys, heads))
+            heads, fps, prints, keys = heads[order], fps[order], prints[order], keys[order]
             begin = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
             forest = Forest(len(keys))
-            for a, b in trie_links(keys.view(np.uint64), begin, np.append(begin[1:], len(heads)), BAND_BUDGET, np.full(len(begin), left - 1, np.int64)):
-                # of a pair of pieces only pairs across count
-                across = (parts[a] < 0) | (parts[a] != parts[b])
-                a, b = a[across], b[across]
+            for a, b in trie_links(keys, begin, np.append(begin[1:], len(heads)), BAND_BUDGET, np.full(len(begin), 31, np.int64)):
                 # those that are together already need no comparison
                 apart = forest.roots(a) != forest.roots(b)
                 a, b = a[apart], b[apart]
@@ -412,9 +446,6 @@ def _join_bands(limit: int):
             if child.any():
                 yield pa.RecordBatch.from_arrays([pa.array(fps[root[child]]), pa.array(fps[child])], ["a", "b"])
 
-        for rows in _whole_heads(batches):
-            yield from links(rows)
-
     return run
 
 
@@ -434,31 +465,48 @@ def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def cut_rows(rows: DataFrame, size: DataFrame) -> DataFrame:
-    """Rows with the number of pieces of their subtree and their own piece."""
-    return rows.join(size, "head").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+#: Crowded heads that the driver takes of a level; where there are more, all heads of the level are dealt further.
+CROWDS = 2_000_000
 
 
 def similar_forest(nodes: DataFrame, limit: int, hot: int = 50_000) -> DataFrame:
     """Edges (a, b) that connect the nodes (fp, print) whose prints differ in at most `limit` bits and in at most BAND_BUDGET bits of some band.
 
-    A subtree of more than `hot` prints is cut into pieces by hash, and each pair of pieces is a task of its own, so many
-    near copies of one text don't meet in one task.
+    Each band's trie is dealt by blocks of LEVELS: a node goes to the subtree of each of its blocks, and a subtree of
+    more than `hot` nodes is dealt further by blocks of its remaining bits, so that subtrees become narrower as the data
+    grows and no row is repeated for pairs of pieces. What is still crowded at the last level are prints that agree in 18
+    bits of a band and more: they are linked without a comparison, for links are candidates that are verified.
     """
     nodes = cut(nodes)
-    size = _banded(nodes, heads_only=True).groupBy("head").agg(F.count("*").alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / hot).cast("int"))
-    # there are at most BANDS * (BAND_BUDGET + 1) * 256 heads, whatever the data
-    dealt = cut_rows(_banded(nodes), F.broadcast(cut(size)))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    pair = F.xxhash64("head", F.least("piece", "other"), F.greatest("piece", "other"))
-    part = F.when(F.col("piece") == F.col("other"), -1).otherwise(F.col("piece"))
-    rows = spread.select(F.when(F.col("pieces") == 1, F.col("head")).otherwise(pair).alias("head"), "key", part.alias("part"), "fp", "print")
-    return rows.repartition("head").sortWithinPartitions("head", "key").mapInArrow(_join_bands(limit), "a long, b long")
+    spark = nodes.sparkSession
+    rows, edges, parents = None, None, None
+    for level in range(len(LEVELS)):
+        sizes = cut(_dealt(nodes, level, parents, None, "heads").groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+        n = sizes.count()
+        last = level == len(LEVELS) - 1
+        if n > CROWDS and not last:
+            parents = None
+            continue
+        found = np.sort(np.array([r["head"] for r in sizes.select("head").collect()] if n <= CROWDS else [], np.int64).view(np.uint64))
+        crowded = spark.sparkContext.broadcast(found)
+        own = _dealt(nodes, level, parents, crowded, "rows")
+        rows = own if rows is None else rows.union(own)
+        if not n:
+            break
+        if last:
+            crowds = cut(_dealt(nodes, level, parents, crowded, "crowds"))
+            # as many rows as crowded heads
+            edges = crowds.join(F.broadcast(cut(crowds.groupBy("head").agg(F.min("fp").alias("a")))), "head").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+        parents = crowded
+    links = rows.repartition("head").sortWithinPartitions("head").mapInArrow(_join_bands(limit), "a long, b long")
+    return links if edges is None else links.union(edges)
 
 
-def jaccard_forest(flat: np.ndarray, at: np.ndarray, parts: np.ndarray, similarity: float) -> Forest:
+def jaccard_forest(flat: np.ndarray, at: np.ndarray, parts: np.ndarray, similarity: float, known: np.ndarray | None = None, pivots: np.ndarray | None = None) -> Forest:
     """Forest of the sets flat[at[i]:at[i + 1]] in which each pair of at least the similarity is linked; of a pair of pieces, pairs across.
 
+    known: labels of sets that are together already where they are equal. pivots: only pairs with these sets are wanted.
+
     Common shingles are counted exactly, over lists of the sets that hold a shingle; sets that are together already are not compared.
     """
     n = len(at) - 1
@@ -467,10 +515,14 @@ def jaccard_forest(flat: np.ndarray, at: np.ndarray, parts: np.ndarray, similari
     holders = np.repeat(np.arange(n), size)[np.argsort(ids, kind="stable")]
     stop = np.cumsum(count)
     forest, every = Forest(n), np.arange(n)
-    for i in range(n - 1):
+    if known is not None:
+        order = np.argsort(known, kind="stable")
+        same = known[order[1:]] == known[order[:-1]]
+        forest.add(order[1:][same], order[:-1][same])
+    for i in range(n - 1) if pivots is None else np.flatnonzero(pivots).tolist():
         roots = forest.roots(every)
         low, high = np.minimum(size, size[i]), np.maximum(size, size[i])
-        other = (every > i) & (roots != roots[i]) & (low >= similarity * high - 1e-9)
+        other = ((every > i) if pivots is None else (every != i)) & (roots != roots[i]) & (low >= similarity * high - 1e-9)
         if parts[i] >= 0:
             other &= parts != parts[i]
         other = np.flatnonzero(other)
@@ -486,15 +538,18 @@ def jaccard_forest(flat: np.ndarray, at: np.ndarray, parts: np.ndarray, similari
 
 
 def _verify(similarity: float):
+    """Edges of rows (head, part, fp, known, pivot, shingles) by heads; see jaccard_forest()."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_heads(batches):
             rows = rows.combine_chunks()
-            heads, parts, fps = (rows.column(i).to_numpy() for i in range(3))
+            heads, parts, fps, known, pivots = (rows.column(i).to_numpy() for i in range(5))
             begin = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(heads)], strict=True):
-                sets = [np.frombuffer(x, np.uint64) for x in rows.column(3).slice(a, b - a).to_pylist()]
+                sets = [np.frombuffer(x, np.uint64) for x in rows.column(5).slice(a, b - a).to_pylist()]
                 at = np.cumsum([0, *map(len, sets)])
-                root = jaccard_forest(np.concatenate(sets), at, parts[a:b], similarity).roots(np.arange(b - a))
+                only = pivots[a:b] > 0
+                root = jaccard_forest(np.concatenate(sets), at, parts[a:b], similarity, known[a:b], only if only.any() else None).roots(np.arange(b - a))
                 child = root != np.arange(b - a)
                 if child.any():
                     own = fps[a:b]
@@ -515,40 +570,77 @@ def _set_rows(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text", "root", "fp").mapInArrow(run, "root long, fp long, shingles binary")
 
 
-#: Texts of a candidate group that one task takes, and the most pieces of a group.
-GROUP, PIECES = 250, 64
+#: Texts of a candidate group that one task takes, and pieces of a larger group before its pieces grow to LARGEST texts.
+GROUP, PIECES, LARGEST = 250, 64, 20_000
+#: Pivots of a larger group, about.
+PIVOTS = 12
+
+
+def _pieces(n, group: int):
+    return F.ceil(n / F.least(F.greatest(F.lit(group), n / PIECES), F.greatest(F.lit(group), F.lit(LARGEST)))).cast("int")
+
+
+def _verified(rows: DataFrame, similarity: float) -> DataFrame:
+    rows = rows.select("head", F.col("part").cast("int").alias("part"), "fp", "known", F.col("pivot").cast("int").alias("pivot"), "shingles")
+    return rows.repartition("head").sortWithinPartitions("head").mapInArrow(_verify(similarity), "a long, b long")
 
 
 def verified_forest(sets: DataFrame, similarity: float, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that connect the nodes (root, fp, shingles) of equal root which have at least the similarity.
 
-    All pairs of a root are covered: a root of more than `group` nodes is cut into pieces by hash, and each pair of
-    pieces is a task of its own.
+    All pairs of a root are covered. A root of more than `group` nodes is first compared with some pivots of it, which
+    brings most nodes of a true group together in time with its size. Its largest part is then one: only pairs with a
+    node that isn't in it are left, and they are dealt out by pairs of pieces, each a task of its own.
     """
-    size = sets.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group)
-    size = size.select("root", F.least(F.ceil(F.col("n") / group), F.lit(PIECES)).cast("int").alias("pieces"))
+    sets = cut(sets)
+    size = cut(sets.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    plain = (F.lit(-1).alias("part"), "fp", F.col("fp").alias("known"), F.lit(0).alias("pivot"), "shingles")
+    if size.limit(1).count() == 0:
+        return _verified(sets.select(F.col("root").alias("head"), *plain), similarity)
     # roots of more than `group` nodes only
-    dealt = sets.join(F.broadcast(cut(size)), "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    head = F.when(F.col("pieces") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("piece", "other"), F.greatest("piece", "other")))
+    small = sets.join(F.broadcast(size), "root", "left_anti").select(F.col("root").alias("head"), *plain)
+    large = sets.join(F.broadcast(size), "root").withColumn("pieces", _pieces(F.col("n"), group))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("pieces")).cast("int")
+    pivots = F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("n") / PIVOTS)) == 0
+    stars = large.where(~pivots).withColumn("piece", own).withColumn("pivot", F.lit(0))
+    stars = stars.unionByName(large.where(pivots).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("pivot", F.lit(1)))
+    near = cut(_verified(stars.select(F.xxhash64("root", "piece").alias("head"), F.lit(-1).alias("part"), "fp", F.col("fp").alias("known"), "pivot", "shingles"), similarity))
+    linked = components(near).withColumnRenamed("node", "fp").withColumnRenamed("root", "known")
+    labelled = cut(large.select("root", "fp", "n").join(linked, "fp", "left").select("root", "fp", "n", F.coalesce("known", "fp").alias("known")))
+    parts = labelled.groupBy("root", "known").agg(F.count("*").alias("in_part"))
+    most = cut(parts.groupBy("root").agg(F.max_by("known", "in_part").alias("main"), F.max("in_part").alias("in_main")))
+    rest = labelled.join(F.broadcast(most), "root").where("n > in_main")
+    rest = rest.select("root", "fp", "known", "main", _pieces(F.col("n") - F.col("in_main"), group).alias("r"), _pieces(F.col("in_main"), group).alias("c"))
+    # pieces 0 to r - 1 are of nodes outside the main part, r to r + c - 1 of those in it, which need no comparison among themselves
+    outside = F.col("known") != F.col("main")
+    piece = F.when(outside, F.pmod(F.xxhash64("fp", F.lit(3)), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("fp", F.lit(3)), F.col("c")))
+    rest = rest.withColumn("piece", piece.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("r") + F.col("c")).otherwise(F.col("r")) - 1)))
+    rest = rest.join(sets.select("fp", "shingles"), "fp")
+    head = F.xxhash64("root", F.least("piece", "other"), F.greatest("piece", "other"))
     part = F.when(F.col("piece") == F.col("other"), -1).otherwise(F.col("piece"))
-    rows = dealt.select(head.alias("head"), part.alias("part"), "fp", "shingles")
-    return rows.repartition("head").sortWithinPartitions("head").mapInArrow(_verify(similarity), "a long, b long")
+    pairs = rest.select(head.alias("head"), part.alias("part"), "fp", "known", F.lit(0).alias("pivot"), "shingles")
+    return _verified(small.unionByName(pairs), similarity).union(near)
 
 
-def _alike(docs: DataFrame, shingle: int, similarity: float, hot: int, group: int = GROUP) -> DataFrame:
-    """(doc_id, digest, n) of the least (doc_id, digest) of each group of docs (doc_id, digest, text), and how many rows have it."""
+def _gone(docs: DataFrame, shingle: int, similarity: float, hot: int, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, digest, text): (doc_id, digest) of those that stand for no group, and of those on several rows."""
     prints = cut(_wide_documents(docs, shingle))
     # texts of equal sets are one node, and one of its rows stands for it
-    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("low"), F.first("print").alias("print")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("low"), F.first("print").alias("print"), F.count("*").alias("n")))
     loose = components(similar_forest(nodes.select("fp", "print"), most_bits(similarity), hot))
-    members = nodes.join(loose.withColumnRenamed("node", "fp"), "fp").select("low.doc_id", "low.digest", "fp", "root")
-    texts = docs.join(members, ["doc_id", "digest"]).dropDuplicates(["fp"])
-    roots = components(verified_forest(cut(_set_rows(texts, shingle)), similarity, group))
-    named = nodes.select("fp", "low").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "low")
-    least = named.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.digest")
-    repeats = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    return least.join(repeats, ["doc_id", "digest"])
+    members = cut(nodes.join(loose.withColumnRenamed("node", "fp"), "fp").select("low.doc_id", "low.digest", "fp", "root"))
+    doubled = cut(prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"))
+    texts = checked_join(docs, members, ["doc_id", "digest"], "inner")
+    if doubled.limit(1).count():  # rows that repeat
+        texts = texts.dropDuplicates(["fp"])
+    roots = components(verified_forest(_set_rows(texts, shingle), similarity, group))
+    # nodes that stand alone, on one row, stay and need no name
+    named = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").where("root is not null or n > 1").select(F.coalesce("root", "fp").alias("root"), "fp", "low", F.col("n").alias("rows")))
+    least = cut(named.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("n")))
+    named = cut(spread_join(named, least, "root").select("fp", "least", F.col("rows").alias("n")))
+    rows = cut(spread_join(prints.select("doc_id", "digest", "fp"), named, "fp"))
+    stays = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    return cut(rows.where(~stays).select("doc_id", "digest").distinct()), doubled
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = 50_000) -> DataFrame:
@@ -563,13 +655,14 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: in
     """
     digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     number = F.coalesce(F.col("doc_id").cast("long"), -F.shiftrightunsigned(digest, 1) - 1)
-    rows = _alike(docs.select(number.alias("doc_id"), digest.alias("digest"), "text"), shingle, similarity, hot)
-    kept = cut(rows.selectExpr("doc_id number", "digest", "n"))
-    # the row is packed, so that its columns may have any names
+    gone, repeated = _gone(docs.select(number.alias("doc_id"), digest.alias("digest"), "text"), shingle, similarity, hot)
+    keys = ["number", "digest"]
+    # the row is packed, so that its columns may have any names; texts are not shuffled as long as the list of those that go can be broadcast
     packed = docs.select(number.alias("number"), digest.alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    found = packed.join(kept, ["number", "digest"])
-    once = found.where("n = 1").select("row.*")
-    if kept.where("n > 1").limit(1).count() == 0:
-        return once
+    kept = checked_join(packed, gone.toDF(*keys), keys, "left_anti")
+    if repeated.limit(1).count() == 0:
+        return kept.select("row.*")
     # equal rows: one of each stays
-    return once.unionByName(found.where("n > 1").dropDuplicates(["number", "digest"]).select("row.*"))
+    once = checked_join(kept, repeated.toDF(*keys), keys, "left_anti")
+    again = checked_join(kept, repeated.toDF(*keys), keys, "left_semi").dropDuplicates(keys)
+    return once.select("row.*").unionByName(again.select("row.*"))

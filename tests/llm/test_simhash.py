@@ -117,7 +117,7 @@ def _jaccard(a, b, n=5):
 @pytest.mark.parametrize("group", [250, 30])
 def test_texts_of_one_template_stay(spark, group, monkeypatch):
     """Many texts below the similarity share a long passage: all stay, while a copy at the similarity goes."""
-    monkeypatch.setattr(simhash._alike, "__defaults__", (group,))
+    monkeypatch.setattr(simhash._gone, "__defaults__", (group,))
     rng = np.random.default_rng(21)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
     shared = words(246)
@@ -151,3 +151,87 @@ def test_repeated_ids_with_other_texts(spark):
     a, b = ("first text of its own " * 3).strip(), ("wholly other words stand here now " * 3).strip()
     docs = spark.createDataFrame([(5, a), (5, b), (7, b)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(5, a), (5, b)]
+
+
+def _linked(texts, similarity=0.8, n=5):
+    """Pairs of texts (id, text) of at least the similarity, by counting the shingles that they share."""
+    sets, holders, shared = {}, {}, {}
+    for i, t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+        for g in sets[i]:
+            for j in holders.setdefault(g, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[g].append(i)
+    pairs = {(a, b) for (a, b), k in shared.items() if k >= similarity * (len(sets[a]) + len(sets[b]) - k) - 1e-9}
+    empty = [i for i, s in sets.items() if not s]
+    return pairs | set(zip(empty, empty[1:], strict=False))
+
+
+def test_documents_against_all_pairs(spark):
+    """On real documents: nothing goes that has no text of the similarity, and 0.9 of those that should go do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    forest = simhash.Forest(len(texts))
+    place = {d: k for k, (d, _) in enumerate(texts)}
+    pairs = _linked(texts)
+    for a, b in pairs:
+        forest.add(np.array([place[a]]), np.array([place[b]]))
+    roots = forest.roots(np.arange(len(texts)))
+    should = {texts[k][0] for k in range(len(texts)) if roots[k] != k}
+    gone = {d for d, _ in texts} - {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
+    assert gone <= should and len(gone) >= 0.9 * len(should) > 20
+
+
+@pytest.mark.parametrize(("hot", "group"), [(50_000, 250), (15, 20)])
+def test_large_group_of_near_copies(spark, hot, group, monkeypatch):
+    """A third of the rows are near copies of one text, unlike each other by parts: pivots and pairs of pieces find what all pairs find."""
+    monkeypatch.setattr(simhash._gone, "__defaults__", (group,))
+    rng = np.random.default_rng(31)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    base = word(200)
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for k in rng.choice(200, int(rng.integers(0, 7)), replace=False):
+            own[int(k)] = word(1)[0]
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(word(100))) for i in range(200)] + [(3000, ""), (3001, None), (3002, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forest, pairs = simhash.Forest(len(rows)), _linked(rows)
+    place = {d: k for k, (d, _) in enumerate(rows)}
+    for a, b in pairs:
+        forest.add(np.array([place[a]]), np.array([place[b]]))
+    roots = forest.roots(np.arange(len(rows)))
+    want = [rows[k][0] for k in range(len(rows)) if roots[k] == k]
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, hot=hot).collect())
+    assert got == want and len(want) < 310
+
+
+def test_heads_meet():
+    """Words of a band that differ in three bits at the most share a head at every level; parents are those of the level above."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 32, 300, dtype=np.uint64)
+    for bits in range(4):
+        other = words.copy()
+        for i in range(len(other)):
+            for b in rng.choice(32, bits, replace=False):
+                other[i] ^= np.uint64(1) << np.uint64(b)
+        for level in range(3):
+            a, b = (np.stack([h for _, h in simhash.heads_of(w, 5, level)]) for w in (words, other))
+            assert (a == b).any(0).all() and (a & np.uint64(15) == 5).all()
+    parents = np.concatenate([p for p, _ in simhash.heads_of(words, 5, 1)])
+    assert set(parents.tolist()) == set(np.concatenate([h for _, h in simhash.heads_of(words, 5, 0)]).tolist())
+
+
+def test_no_links_take_no_rounds(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert simhash.components(none).count() == 0
+
+
+def test_a_long_text(spark):
+    rows = [(1, "a b c d e f " * 300_000), (2, "A b c d e f " * 300_000), (3, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()) == [1, 3]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got[1] == got[2] == 1
