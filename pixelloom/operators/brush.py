@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 FIELDS = ["x", "y", "pressure", "tilt_x", "tilt_y", "rotation", "velocity", "ts"]
 DABS = "stroke_id long, dab long, x double, y double, size double, opacity double, angle double, roundness double, hardness double"
 #: Side of the cells by which dabs and pixels are dealt to tasks.
+#: Dabs (by the cells that they touch) of a stamp for all images at the most.
+STAMP = 200_000
 CELL = 64
 
 
@@ -103,25 +105,37 @@ def dabs_of(points: np.ndarray, brush: Brush) -> pd.DataFrame:
 
 
 def dabs(strokes: DataFrame, brush: Brush) -> DataFrame:
-    """Dabs of every stroke, in order of time."""
+    """Dabs of every stroke, in order of time. Strokes may have an image_id, which their dabs then have too."""
+    keys = [c for c in ("image_id", "stroke_id") if c in strokes.columns]
+    names = [c.split()[0] for c in DABS.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         points = pdf.sort_values("ts", kind="stable")[FIELDS].to_numpy(float)
-        return dabs_of(points, brush).assign(stroke_id=pdf["stroke_id"].iloc[0])[["stroke_id", "dab", "x", "y", "size", "opacity", "angle", "roundness", "hardness"]]
+        return dabs_of(points, brush).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys[:-1], *names]]
 
-    return strokes.groupBy("stroke_id").applyInPandas(run, DABS)
+    return strokes.groupBy(*keys).applyInPandas(run, ("image_id long, " if len(keys) > 1 else "") + DABS)
 
 
 def paint(layer: DataFrame, strokes: DataFrame, brush: Brush, color: tuple[float, float, float]) -> DataFrame:
-    """The layer's pixels with the strokes on it. Of the dabs over a pixel the most opaque counts, the first on ties."""
+    """The layer's pixels with the strokes on it. Of the dabs over a pixel the most opaque counts, the first on ties.
+
+    Strokes with an image_id are painted on that image. Strokes without one are a stamp for every image of the layer; a
+    stamp is broadcast and may have `STAMP` dabs at the most.
+    """
+    keys = ["image_id"] if "image_id" in strokes.columns else []
     d = dabs(strokes, brush).withColumn("n", F.greatest(F.round("size"), F.lit(1.0)))
     d = d.withColumns({"x0": F.floor(F.col("x") - F.col("n") / 2), "y0": F.floor(F.col("y") - F.col("n") / 2)})
     cell = lambda c, last=0: F.floor((F.col(c) + last) / CELL)
     d = d.withColumn("cy", F.explode(F.sequence(cell("y0"), F.floor((F.col("y0") + F.col("n") - 1) / CELL))))
     d = d.withColumn("cx", F.explode(F.sequence(cell("x0"), F.floor((F.col("x0") + F.col("n") - 1) / CELL))))
-    d = d.select("stroke_id", "dab", *(F.col(c).alias(f"d_{c}") for c in ("n", "x0", "y0", "opacity", "angle", "roundness", "hardness")), "cy", "cx")
+    d = d.select(*keys, "stroke_id", "dab", *(F.col(c).alias(f"d_{c}") for c in ("n", "x0", "y0", "opacity", "angle", "roundness", "hardness")), "cy", "cx")
     pixels = layer.withColumns({"cy": F.floor(F.col("y") / CELL), "cx": F.floor(F.col("x") / CELL)})
-    met = pixels.select("image_id", "y", "x", "cy", "cx").join(d, ["cy", "cx"]).where("x >= d_x0 AND x < d_x0 + d_n AND y >= d_y0 AND y < d_y0 + d_n")
+    if not keys:
+        d = d.persist()
+        if d.count() > STAMP:
+            raise ValueError(f"a stamp for all images has at most {STAMP} dabs; give the strokes an image_id")
+        d = F.broadcast(d)
+    met = pixels.select("image_id", "y", "x", "cy", "cx").join(d, [*keys, "cy", "cx"]).where("x >= d_x0 AND x < d_x0 + d_n AND y >= d_y0 AND y < d_y0 + d_n")
     u, v = F.col("x") - F.col("d_x0") + 0.5 - F.col("d_n") / 2, F.col("y") - F.col("d_y0") + 0.5 - F.col("d_n") / 2
     along = u * F.cos("d_angle") + v * F.sin("d_angle")
     across = (v * F.cos("d_angle") - u * F.sin("d_angle")) * F.when(F.col("d_roundness") > 1e-6, 1 / F.greatest(F.col("d_roundness"), F.lit(1e-6))).otherwise(100.0)

@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,21 @@ assert geometry and kernels and looks and points and stats and text and warps an
 BY_VALUE = {"adjustment", "evaluate", "color", "grading", "alpha", "colour management"}
 
 
+def _digest(value: Any) -> str:
+    """A parameter of any type as text that tells it from every other."""
+    if isinstance(value, np.ndarray):
+        whole = np.ascontiguousarray(value)
+        return f"{whole.dtype.str}{whole.shape}{hashlib.sha256(whole.tobytes()).hexdigest()}"
+    if isinstance(value, np.generic):
+        return f"{value.dtype.str}{value.item()!r}"
+    return f"{type(value).__qualname__}{hashlib.sha256(pickle.dumps(value)).hexdigest()}"
+
+
+def _plan_of(df: DataFrame) -> str:
+    """What a DataFrame computes: its canonical plan, and the hash of it that knows its leaves."""
+    return f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}#{df.semanticHash()}"
+
+
 @dataclass(frozen=True)
 class Step:
     op: Operator
@@ -39,7 +56,7 @@ class Step:
     others: tuple[Any, ...] = ()
 
     def key(self) -> str:
-        return f"{self.op.name}{json.dumps(self.params, sort_keys=True, default=str)}"
+        return f"{self.op.name}{json.dumps(self.params, sort_keys=True, default=_digest)}"
 
 
 @dataclass(frozen=True)
@@ -91,11 +108,15 @@ class Pipeline:
 
     def hash(self) -> str:
         """Key of the result: of the source's plan and of all steps."""
-        text = self.source._jdf.queryExecution().analyzed().canonicalized().toString()
+        text = _plan_of(self.source) + self.space
         for s in self.steps:
-            text = hashlib.sha256((text + s.key() + "".join(o.hash() if isinstance(o, Pipeline) else str(id(o)) for o in s.others)).encode()).hexdigest()
+            text = hashlib.sha256((text + s.key() + "".join(o.hash() if isinstance(o, Pipeline) else _plan_of(o) for o in s.others)).encode()).hexdigest()
         return text
 
+    def sources(self) -> list[DataFrame]:
+        """All DataFrames that the pipeline reads, in order."""
+        return [self.source, *(d for s in self.steps for o in s.others for d in (o.sources() if isinstance(o, Pipeline) else [o]))]
+
     def planned(self) -> list[Step]:
         """Steps with colour conversions put in, inverse pairs and identities left out, and crops moved forward."""
         convert = OPERATORS["convert_color_space"]
@@ -214,9 +235,11 @@ class Cache:
 
     def get(self, pipeline: Pipeline) -> DataFrame:
         key = pipeline.hash()
+        if key in self.held and not all(a.sameSemantics(b) for a, b in zip(pipeline.sources(), self.held[key][0].sources(), strict=True)):
+            self.held.pop(key)[1].unpersist()
         if key not in self.held:
             while len(self.held) >= self.most:
-                self.held.pop(next(iter(self.held))).unpersist()
-            self.held[key] = pipeline.frame().persist()
+                self.held.pop(next(iter(self.held)))[1].unpersist()
+            self.held[key] = pipeline, pipeline.frame().persist()
         self.held[key] = self.held.pop(key)
-        return self.held[key]
+        return self.held[key][1]

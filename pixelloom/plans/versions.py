@@ -1,8 +1,9 @@
 """Versions of images as tables of tiles, for undo and redo.
 
 Every change appends the tiles that it touched under the next version; nothing is
-overwritten. An image as of a version is, for each tile, the row of the latest
-version up to it, which is one aggregate.
+overwritten; a tile that goes is a row without data. An image as of a version is, for
+each tile, the row of the latest version up to it, which is one aggregate, and has the
+size of its latest version.
 """
 
 from __future__ import annotations
@@ -38,17 +39,24 @@ def cut(images: DataFrame, version: int, side: int = 256) -> DataFrame:
 
 
 def changed(history: DataFrame, images: DataFrame, version: int, side: int = 256) -> DataFrame:
-    """The tiles of images that differ from the history's latest: what a new version has to append."""
+    """The tiles of images that differ from the history's latest: what a new version has to append. A tile that an image no longer has is appended without data."""
+    keys = ["image_id", "tile_y", "tile_x"]
     now = cut(images, version, side)
-    before = as_of(history, version - 1).select("image_id", "tile_y", "tile_x", F.sha2("data", 256).alias("old"))
-    both = now.join(before, ["image_id", "tile_y", "tile_x"], "left")
-    return both.where(F.col("old").isNull() | (F.sha2("data", 256) != F.col("old"))).select(*history.columns)
+    before = as_of(history, version - 1).select(*keys, F.sha2("data", 256).alias("old"), F.col("width").alias("old_w"), F.col("height").alias("old_h"))
+    before = before.join(images.select("image_id").distinct(), "image_id", "left_semi")
+    both = now.join(before, keys, "full").withColumns({"version": F.lit(version).cast("long"), "width": F.coalesce("width", "old_w"), "height": F.coalesce("height", "old_h")})
+    other = F.col("old").isNull() | F.col("data").isNull() | (F.sha2("data", 256) != F.col("old"))
+    # the first tile tells of another size even if its own pixels stay
+    sized = (F.col("tile_y") == 0) & (F.col("tile_x") == 0) & ((F.col("width") != F.col("old_w")) | (F.col("height") != F.col("old_h")))
+    return both.where(other | sized).select(*history.columns)
 
 
 def as_of(history: DataFrame, version: int) -> DataFrame:
-    """The tiles of all images at a version."""
-    latest = history.where(F.col("version") <= version).groupBy("image_id", "tile_y", "tile_x")
-    return latest.agg(F.max("version").alias("version"), F.max_by(F.struct("width", "height", "data"), "version").alias("t")).select("image_id", "version", "tile_y", "tile_x", "t.width", "t.height", "t.data")
+    """The tiles of all images at a version, with the size that the image has then."""
+    upto = history.where(F.col("version") <= version)
+    latest = upto.groupBy("image_id", "tile_y", "tile_x").agg(F.max("version").alias("version"), F.max_by(F.struct("data"), "version").alias("t"))
+    sizes = upto.where("data is not null").groupBy("image_id").agg(F.max_by(F.struct("width", "height"), "version").alias("s"))
+    return latest.where("t.data is not null").join(sizes, "image_id").select("image_id", "version", "tile_y", "tile_x", "s.width", "s.height", "t.data")
 
 
 def joined(tiles: DataFrame, side: int = 256) -> DataFrame:

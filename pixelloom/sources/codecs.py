@@ -653,6 +653,8 @@ def decode_gif(data: bytes) -> Decoded:
         elif dispose == 3:
             canvas = before
         delay, clear, dispose = 0, None, 0
+    if not frames:
+        raise ValueError("broken gif data: no frame")
     return Decoded(frames, delays)
 
 

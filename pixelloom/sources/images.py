@@ -99,16 +99,75 @@ def size_of(content: bytes) -> tuple[str | None, int | None, int | None]:
         if name == "pnm" and content[1:2] != b"7":
             head, _ = codecs._pnm_tokens(content, 3)
             return name, int(head[1]), int(head[2])
-        if name:
-            f = codecs.decode(content).frames[0]
-            return name, f.shape[1], f.shape[0]
+        if name in HEADERS:
+            return name, *HEADERS[name](content)
     except (ValueError, IndexError, struct.error):
         pass
     return name, None, None
 
 
+def _jpeg_size(data: bytes) -> tuple[int, int]:
+    at = 2
+    while True:
+        while data[at + 1] == 0xFF:
+            at += 1
+        kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack_from(">HH", data, at + 5)
+            return w, h
+        at += 2 + size
+
+
+def _tiff_size(data: bytes) -> tuple[int, int]:
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    found = {}
+    for k in range(struct.unpack_from(order + "H", data, at)[0]):
+        tag, kind = struct.unpack_from(order + "HH", data, at + 2 + 12 * k)
+        if tag in (256, 257):
+            found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, at + 10 + 12 * k)[0]
+    if len(found) < 2:
+        raise ValueError("no size")
+    return found[256], found[257]
+
+
+def _exr_size(data: bytes) -> tuple[int, int]:
+    at = 8
+    while data[at]:
+        name_end = data.index(0, at)
+        kind_end = data.index(0, name_end + 1)
+        size = struct.unpack_from("<i", data, kind_end + 1)[0]
+        if data[at:name_end] == b"dataWindow":
+            x0, y0, x1, y1 = struct.unpack_from("<4i", data, kind_end + 5)
+            return x1 - x0 + 1, y1 - y0 + 1
+        at = kind_end + 5 + size
+    raise ValueError("no size")
+
+
+def _hdr_size(data: bytes) -> tuple[int, int]:
+    words = data[data.index(b"\n\n") + 2 :].split(b"\n", 1)[0].split()
+    sizes = {w[1:]: int(n) for w, n in zip(words[::2], words[1::2], strict=True)}
+    return sizes[b"X"], sizes[b"Y"]
+
+
+def _fits_size(data: bytes) -> tuple[int, int]:
+    cards = {data[k : k + 8].strip(): data[k + 10 : k + 30] for k in range(0, min(len(data), 28_800), 80)}
+    if b"NAXIS1" not in cards or b"NAXIS2" not in cards:
+        raise ValueError("no size")
+    return int(cards[b"NAXIS1"]), int(cards[b"NAXIS2"])
+
+
+def _pam_size(data: bytes) -> tuple[int, int]:
+    fields = dict(line.split(None, 1) for line in data[: data.index(b"ENDHDR")].split(b"\n")[1:] if line and line[:1] != b"#")
+    return int(fields[b"WIDTH"]), int(fields[b"HEIGHT"])
+
+
+#: Sizes from headers that take more than a look at a fixed place.
+HEADERS = {"jpeg": _jpeg_size, "tiff": _tiff_size, "dds": lambda d: struct.unpack_from("<II", d, 12)[::-1], "exr": _exr_size, "hdr": _hdr_size, "fits": _fits_size, "pnm": _pam_size}
+
+
 def probe(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Format and size of files; pixels aren't decoded."""
+    """Format and size of files from their headers; no pixel is decoded. Spark's reader hands over whole files, of which only the head is looked at."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -196,6 +255,10 @@ class _FileReader(DataSourceReader):
         for path in partition.value if partition else []:
             with store.open_input_stream(path) as f:
                 content = f.read()
-            got = codecs.decode(content, path.rpartition(".")[2].lower())
+            try:
+                got = codecs.decode(content, path.rpartition(".")[2].lower())
+            except ValueError:  # a row without data, as of decoded()
+                yield path, None, None, None, None, None
+                continue
             for k, img in enumerate(got.frames if self.all else got.frames[:1]):
                 yield path, codecs.detect(content) or "tga", k, img.shape[1], img.shape[0], packed(img)

@@ -39,6 +39,8 @@ class Bits:
         self.word, self.have, self.at = 0, 0, 0
 
     def fill(self, n: int) -> None:
+        if self.at > len(self.data) + 16:
+            raise ValueError("the data ends before the image")
         while self.have < n:
             self.word = (self.word << 8 | (self.data[self.at] if self.at < len(self.data) else 0)) & (1 << 40) - 1
             self.at += 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators import brush, inference, looks
 from pixelloom.plans import run, versions
-from pixelloom.plans.pipeline import Cache, Pipeline, crop_boxes
+from pixelloom.plans.pipeline import Cache, Pipeline, Step, crop_boxes
 from pixelloom.plans.registry import OPERATORS
 from pixelloom.sources import codecs, images, metadata
 from pixelloom.sources import looks as texts
@@ -288,3 +288,77 @@ def test_proxies_and_traces(pictures):
     assert [s.params for s in half.steps] == [{"radius": 2.0}, {"radius": 2}, {"amount": 0.1}]
     assert p.trace() == [("images", "gaussian_blur, box_blur, convert_color_space, brightness, convert_color_space")]
     assert Pipeline(run.to_pixels(pictures)).median().invert().trace() == [("tiles", "median"), ("plan", "invert")]
+
+
+def _images(spark, arrays_):
+    return spark.createDataFrame([(i, v.shape[1], v.shape[0], bytearray(run.packed(v))) for i, v in arrays_.items()], run.IMAGE_SCHEMA)
+
+
+def test_cache_tells_large_arrays_and_inputs_apart(spark, pictures):
+    one, two = np.zeros((50, 50)), np.zeros((50, 50))
+    two[25, 25] = 1
+    step = lambda v: Step(OPERATORS["brightness"], {"amount": v})
+    assert step(one).key() != step(two).key() and step(one).key() == step(one.copy()).key()
+    assert step(np.float32(1)).key() != step(np.float64(1)).key()
+    base = Pipeline(run.to_pixels(pictures))
+    fronts = [run.to_pixels(_images(spark, {0: np.full((4, 4, 4), c)})) for c in (0.1, 0.2)]
+    cache = Cache()
+    got = [cache.get(base.then("blend_dual", f)) for f in fronts]
+    assert got[0] is not got[1] and cache.get(base.then("blend_dual", fronts[0])) is got[0]
+    assert cache.get(Pipeline(fronts[0])) is not cache.get(Pipeline(fronts[1]))
+
+
+def test_versions_of_images_that_change_size(spark):
+    """Shrinking to whole tiles, growing, and going back."""
+    rng = np.random.default_rng(4)
+    large = rng.random((8, 12, 4)).astype(np.float32).astype(float)
+    sizes = [large, large[:4, :8], large[:4, :4], large[:6, :9], large]
+    history = versions.cut(_images(spark, {7: sizes[0]}), 1, side=4)
+    for k, img in enumerate(sizes[1:], 2):
+        history = spark.createDataFrame(history.union(versions.changed(history, _images(spark, {7: img}), k, side=4)).collect(), versions.TILES)
+    for k, img in enumerate(sizes, 1):
+        (got,) = arrays(versions.joined(versions.as_of(history, k), side=4)).values()
+        assert got.shape == img.shape and (got == img).all(), k
+    untouched = versions.changed(history, _images(spark, {8: large}), 9, side=4)
+    assert {r.image_id for r in untouched.collect()} == {8}
+
+
+def test_strokes_on_their_own_image(spark):
+    cols = "image_id long, stroke_id long, ts double, x double, y double, pressure double, tilt_x double, tilt_y double, rotation double, velocity double"
+    strokes = spark.createDataFrame([(i, 1, float(t), 2.0 + 2 * t + 3 * i, 4.0 + i, 1.0, 0.0, 0.0, 0.0, 0.0) for i in (0, 2) for t in range(4)], cols)
+    layer = run.to_pixels(_images(spark, {i: np.ones((12, 24, 4)) for i in range(3)}))
+    tip = brush.Brush(diameter=4, spacing=0.3, hardness=1.0, smoothing=0.0)
+    out = arrays(run.to_images(brush.paint(layer, strokes, tip, (0.0, 0.0, 0.0))))
+    for i in (0, 2):
+        alone = arrays(run.to_images(brush.paint(layer.where(f"image_id = {i}"), strokes.where(f"image_id = {i}").drop("image_id"), tip, (0.0, 0.0, 0.0))))
+        assert (out[i] == alone[i]).all() and (out[i] == 0).any()
+    assert (out[1] == 1).all()
+    assert not (out[0] == out[2]).all()
+
+
+def test_sizes_from_headers_alone():
+    """The header's size, with the pixels cut off, for every format that is written."""
+    img = np.random.default_rng(1).random((13, 21, 4))
+    img[..., 3] = 1
+    for name in codecs.ENCODERS:
+        data = codecs.encode(img, name)
+        head = data if name == "tiff" else data[: min(len(data), 700 if name in ("jpeg", "exr") else 2900 if name == "fits" else 120)]
+        assert images.size_of(head)[1:] == (21, 13) or name == "tga" and images.size_of(data)[1:] == (21, 13), name
+
+
+def test_cut_files_are_errors():
+    img = np.random.default_rng(1).random((64, 64, 4))
+    for name in ("jpeg", "png", "gif", "qoi", "bmp", "tiff"):
+        data = codecs.encode(img, name)
+        for part in (len(data) // 2, len(data) // 8, 12):
+            with pytest.raises(ValueError):
+                codecs.decode(data[:part], name)
+
+
+def test_a_broken_file_is_a_row(spark, tmp_path):
+    img = np.random.default_rng(1).random((8, 8, 4))
+    (tmp_path / "a.png").write_bytes(codecs.encode(img, "png"))
+    (tmp_path / "b.png").write_bytes(codecs.encode(img, "png")[:40])
+    spark.dataSource.register(images.ImageFiles)
+    got = {r.path.rpartition("/")[2]: r for r in spark.read.format("pixelloom").option("path", str(tmp_path)).load().collect()}
+    assert got["a.png"].width == 8 and got["b.png"].data is None and got["b.png"].format is None
