@@ -416,3 +416,146 @@ def _(rel, ratio):
     kept = rel.join(best, ["image_id"]).where("y >= _y0 AND y < _y0 + _ch AND x >= _x0 AND x < _x0 + _cw")
     return tidy(kept.let(y="y - _y0", x="x - _x0", width="_cw", height="_ch"))
 
+
+# looked up at computed places
+
+
+def with_places(rel: Rel, source: Rel) -> Rel:
+    """rel joined with the channels _r, _g, _b, _a of source at its places _sy, _sx."""
+    return rel.let(_sy="cast(_sy as bigint)", _sx="cast(_sx as bigint)").join(source.pick("image_id", _sy="y", _sx="x", **{f"_{c}": c for c in RGBA}), ["image_id", "_sy", "_sx"])
+
+
+def averaged(rel: Rel, source: Rel) -> Rel:
+    """The mean of the channels of source at the places (_px, _py), nearest pixel inside the image, of each pixel's rows in rel."""
+    inside = lambda e, size: f"least(greatest({half_up(e)}, 0e0), {size} - 1e0)"
+    found = with_places(rel.let(_sx=inside("_px", "width"), _sy=inside("_py", "height")), source)
+    return tidy(found.agg([*PLACE, "width", "height"], **{c: f"avg(_{c})" for c in RGBA}))
+
+
+@form("spin_blur")
+def _(rel, center_x, center_y, angle):
+    if abs(angle) < 1e-6:
+        return rel
+    turn = math.radians(angle)
+    out = rel.let(_dx=f"x - {n(center_x)} * width", _dy=f"y - {n(center_y)} * height", _n=f"cast(ceil({n(abs(turn))} * sqrt(cast(width * width + height * height as double))) as bigint) + 2")
+    out = out.let(_n="least(greatest(_n + 1 - _n % 2, 3), 129)").series("_i", "0", "_n - 1").let(_t=f"{n(turn)} * (_i - floor(_n / 2e0)) / _n")
+    return averaged(out.let(_px=f"{n(center_x)} * width + _dx * cos(_t) - _dy * sin(_t)", _py=f"{n(center_y)} * height + _dx * sin(_t) + _dy * cos(_t)"), rel)
+
+
+@form("zoom_blur")
+def _(rel, center_x, center_y, factor):
+    if abs(factor) < 1e-6:
+        return rel
+    out = rel.let(_dx=f"{n(center_x)} * width - x", _dy=f"{n(center_y)} * height - y")
+    out = out.let(_n=f"least(greatest(ceil(sqrt(_dx * _dx + _dy * _dy) * {n(abs(factor))}), 3), 64)").series("_i", "0", "_n - 1").let(_t=f"_i * {n(factor)} / _n")
+    return averaged(out.let(_px="x + _dx * _t", _py="y + _dy * _t"), rel)
+
+
+@form("mirror_kaleidoscope")
+def _(rel, segments, angle, mode):
+    if mode < 2:
+        at, size = ("y", "height") if mode else ("x", "width")
+        out = rel.let(_part=f"floor({size} / {n(segments)})").let(_k=f"floor({at} / greatest(_part, 1e0))").let(_in=f"{at} - _k * _part")
+        place = f"CASE WHEN _part < 1e0 THEN {at} WHEN _k - 2e0 * floor(_k / 2e0) = 0e0 THEN _in ELSE _part - 1e0 - _in END"
+        out = out.let(_sy=place if mode else "y", _sx="x" if mode else place)
+    else:
+        base, part = math.radians(angle), 2 * math.pi / segments
+        out = rel.let(_dx="x - width / 2e0", _dy="y - height / 2e0").let(_turn=f"atan2(_dy, _dx) - {n(base)}", _far="sqrt(_dx * _dx + _dy * _dy)")
+        out = out.let(_turn=f"CASE WHEN _turn < 0e0 THEN _turn + {n(2 * math.pi)} ELSE _turn END").let(_k=f"greatest(floor(_turn / {n(part)}), 0e0)").let(_in=f"_turn - _k * {n(part)}")
+        out = out.let(_to=f"CASE WHEN _k - 2e0 * floor(_k / 2e0) = 0e0 THEN _in ELSE {n(part)} - _in END + {n(base)}")
+        out = out.let(_sx=half_up("(width / 2e0 + _far * cos(_to))"), _sy=half_up("(height / 2e0 + _far * sin(_to))"))
+        fold = lambda v, size: f"CASE WHEN {v} < 0e0 THEN least(-{v}, {size} - 1e0) WHEN {v} >= {size} THEN greatest(2e0 * {size} - {v} - 2e0, 0e0) ELSE {v} END"
+        out = out.let(_sx=fold("_sx", "width"), _sy=fold("_sy", "height"))
+    return tidy(with_places(out, rel).let(**{c: f"_{c}" for c in RGBA}))
+
+
+@form("oil_paint")
+def _(rel, radius):
+    level = "least(greatest(0.212656e0 * r + 0.715158e0 * g + 0.072186e0 * b, 0e0) * 255e0 + 0.5e0, 255e0)"
+    side = 2 * radius + 1
+    near = neighbours(rel.let(_level=f"floor({level})"), [(dy, dx, float((dy + radius) * side + dx + radius)) for dy, dx, _ in square(radius)], ["r", "g", "b", "_level"], "edge")
+    # the level that a pixel's neighbours reach the most often, at the neighbour that brings it there first
+    near = near.let(_seen="row_number() OVER (PARTITION BY image_id, y, x, __level ORDER BY _k)").let(_rank=f"_seen * {side * side} - _k")
+    best = near.agg(PLACE, **{f"_o{c}": f"max_by(_{c}, _rank)" for c in RGB})
+    return tidy(rel.join(best, PLACE).let(**{c: f"_o{c}" for c in RGB}))
+
+
+@form("clahe")
+def _(rel, tile_grid, clip_limit):
+    g = tile_grid
+    y = clamp(LUMA)
+    out = rel.let(_y=y, _th=f"floor(height / {n(g)})", _tw=f"floor(width / {n(g)})").let(_level="cast(floor(least(_y * 255e0 + 0.5e0, 255e0)) as bigint)")
+    out = out.where("_th > 0e0 AND _tw > 0e0")
+    sizes = ["image_id", "_th", "_tw"]
+    tiled = out.where(f"y < _th * {g} AND x < _tw * {g}").let(_ty="cast(floor(y / _th) as bigint)", _tx="cast(floor(x / _tw) as bigint)")
+    found = tiled.agg([*sizes, "_ty", "_tx", "_level"], _n="count(*)")
+    full = out.agg(sizes, _one="count(*)").series("_ty", "0", str(g - 1)).series("_tx", "0", str(g - 1)).series("_level", "0", "255")
+    full = full.join(found, [*sizes, "_ty", "_tx", "_level"], "left").let(_n="coalesce(_n, 0)", _clip=f"floor(greatest({n(clip_limit)} * _th * _tw / 256e0, 1e0))")
+    tile = "PARTITION BY image_id, _ty, _tx"
+    full = full.let(_over=f"sum(greatest(_n - _clip, 0e0)) OVER ({tile})").let(_rest="_over - 256e0 * floor(_over / 256e0)")
+    full = full.let(_step="greatest(floor(256e0 / greatest(_rest, 1e0)), 1e0)")
+    extra = "CASE WHEN _rest > 0e0 AND _level - _step * floor(_level / _step) = 0e0 AND _level / _step < _rest THEN 1e0 ELSE 0e0 END"
+    full = full.let(_n=f"least(_n, _clip) + floor(_over / 256e0) + {extra}")
+    full = full.let(_sum=f"sum(_n) OVER ({tile} ORDER BY _level ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    table = full.pick("image_id", "_ty", "_tx", "_level", _v=clamp(half_up("(_sum * (255e0 / (_th * _tw)))"), 0, 255))
+    low = lambda at: f"cast(least(greatest(floor({at}), 0e0), {n(g - 1)}) as bigint)"
+    out = out.let(_py="y / _th - 0.5e0", _px="x / _tw - 0.5e0").let(_y0=low("_py"), _x0=low("_px"))
+    out = out.let(_y1=f"least(_y0 + 1, {g - 1})", _x1=f"least(_x0 + 1, {g - 1})", _fv=clamp("(_py - _y0)"), _fu=clamp("(_px - _x0)"))
+    for a in "01":
+        for b in "01":
+            out = out.join(table.pick("image_id", "_level", **{f"_y{a}": "_ty", f"_x{b}": "_tx", f"_t{a}{b}": "_v"}), ["image_id", f"_y{a}", f"_x{b}", "_level"])
+    new = "((_t00 * (1e0 - _fu) + _t01 * _fu) * (1e0 - _fv) + (_t10 * (1e0 - _fu) + _t11 * _fu) * _fv)"
+    return tidy(out.let(_gain=f"{new} / 255e0 / greatest(_y, 1e-10)").let(**{c: f"{c} * _gain" for c in RGB}))
+
+
+# scopes: dots that add up on a square of their own
+
+
+def scope_of(rel: Rel, size: int, dots: Rel) -> Rel:
+    """A picture of each image, `size` by `size`, of the light (r, g, b) of the dots (image_id, y, x) on black."""
+    light = dots.where(f"x >= 0 AND y >= 0 AND x < {size} AND y < {size}").agg(PLACE, **{f"_{c}": f"sum({c})" for c in RGB})
+    grid = rel.agg(["image_id"], _one="count(*)").series("y", "0", str(size - 1)).series("x", "0", str(size - 1))
+    lit = {c: clamp(f"coalesce(_{c}, 0e0)") for c in RGB}
+    return tidy(grid.join(light, PLACE, "left").let(width=f"cast({size} as bigint)", height=f"cast({size} as bigint)", a="1e0", **lit))
+
+
+def _dots(rel: Rel, x: str, y: str, rgb: Sequence[float], light: str) -> Rel:
+    return rel.pick("image_id", _x=f"cast({x} as bigint)", _y=f"cast({y} as bigint)", **{c: f"{n(v)} * {light}" for c, v in zip(RGB, rgb, strict=True)}).pick("image_id", "r", "g", "b", y="_y", x="_x")
+
+
+_FAINT = "least(greatest(4e0 / height, 0.02e0), 0.5e0)"
+
+
+@form("scope_waveform")
+def _(rel, scope_size, log_scale):
+    return scope_of(rel, scope_size, _dots(rel, f"floor(x / cast(width as double) * {n(scope_size - 1)})", f"floor((1e0 - {clamp(LUMA)}) * {n(scope_size - 1)})", (0.2, 0.8, 0.2), _FAINT))
+
+
+@form("scope_parade")
+def _(rel, scope_size, log_scale):
+    third = scope_size // 3
+    dots = None
+    for k, c in enumerate(RGB):
+        own = _dots(rel, f"floor(x / cast(width as double) * {n(third - 2)}) + {k * third}", f"floor((1e0 - {clamp(c)}) * {n(scope_size - 1)})", [0.9 if c == o else 0.15 for o in RGB], _FAINT)
+        dots = own if dots is None else dots.union(own)
+    column = rel.agg(["image_id"], _one="count(*)").series("_row", "0", str(scope_size - 1))
+    for k in (1, 2):
+        dots = dots.union(_dots(column, str(k * third), "_row", (0.3, 0.3, 0.3), "1e0"))
+    return scope_of(rel, scope_size, dots)
+
+
+@form("scope_histogram")
+def _(rel, scope_size, log_scale):
+    top = n(scope_size - 1)
+    bins = None
+    for k, e in enumerate((*RGB, LUMA)):
+        own = rel.pick("image_id", _c=f"cast({k} as bigint)", _k=f"cast(floor(least({clamp(e)} * 255e0, 255e0)) as bigint)").agg(["image_id", "_c", "_k"], _n="count(*)")
+        bins = own if bins is None else bins.union(own)
+    most = bins.where("_c < 3").agg(["image_id"], _most="max(_n)")
+    size = "ln(_n + 1e0) / ln(_most + 1e0)" if log_scale else "_n / cast(_most as double)"
+    bins = bins.join(most, ["image_id"]).let(_x=f"floor(_k / 255e0 * {top})", _size=f"cast(floor({size} * {top}) as bigint)").where("_size > 0")
+    bars = bins.where("_c < 3").series("_up", "1", "_size")
+    light = lambda k: f"CASE WHEN _c = {k} THEN 0.9e0 ELSE 0.1e0 END * 0.5e0"
+    dots = bars.pick("image_id", _px="cast(_x as bigint)", _py=f"{scope_size} - _up", **{c: light(k) for k, c in enumerate(RGB)}).pick("image_id", "r", "g", "b", y="_py", x="_px")
+    marks = _dots(bins.where("_c = 3"), "_x", f"{scope_size - 1} - _size", (0.7, 0.7, 0.7), "0.6e0")
+    return scope_of(rel, scope_size, dots.union(marks))
