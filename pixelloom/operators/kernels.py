@@ -79,10 +79,10 @@ def along_columns(img: np.ndarray, k: np.ndarray, border: str) -> np.ndarray:
     flat = np.ascontiguousarray(img).reshape(n, -1)
     big = flat[places_] if r else flat
     size = min(BLOCK, n)
-    band = np.zeros((size, size + 2 * r))
+    band = np.zeros((size, size + 2 * r), flat.dtype)
     for i in range(size):
         band[i, i : i + len(k)] = k
-    out = np.empty(flat.shape, np.result_type(flat, k))
+    out = np.empty(flat.shape, flat.dtype)
     for y in range(0, n, size):
         rows = min(size, n - y)
         np.matmul(band[:rows, : rows + 2 * r], big[y : y + rows + 2 * r], out=out[y : y + rows])
@@ -122,32 +122,32 @@ def stretched(v: np.ndarray) -> np.ndarray:
 # spatial
 
 
-@kernel("gaussian_blur", "spatial", {"radius": 0.8}, halo=lambda radius: reach(radius), radius=(1.0, 0.0, 100.0))
+@kernel("gaussian_blur", "spatial", {"radius": 0.8}, single=True, halo=lambda radius: reach(radius), radius=(1.0, 0.0, 100.0))
 def gaussian_blur(img, radius):
     return gauss(img, radius)
 
 
-@kernel("box_blur", "spatial", {"radius": 2}, halo=lambda radius: radius, radius=(1, 0, 100))
+@kernel("box_blur", "spatial", {"radius": 2}, single=True, halo=lambda radius: radius, radius=(1, 0, 100))
 def box_blur(img, radius):
     return separable(img, np.full(2 * radius + 1, 1 / (2 * radius + 1)))
 
 
-@kernel("high_pass", "spatial", {"radius": 0.8}, halo=lambda radius: reach(radius), radius=(3.0, 0.0, 100.0))
+@kernel("high_pass", "spatial", {"radius": 0.8}, single=True, halo=lambda radius: reach(radius), radius=(3.0, 0.0, 100.0))
 def high_pass(img, radius):
     return painted(img, (img - gauss(img, radius))[..., :3] + 0.5)
 
 
-@kernel("frequency_high", "enhancement", {"sigma": 0.8}, halo=lambda sigma: reach(sigma), sigma=(3.0, 0.0, 100.0))
+@kernel("frequency_high", "enhancement", {"sigma": 0.8}, single=True, halo=lambda sigma: reach(sigma), sigma=(3.0, 0.0, 100.0))
 def frequency_high(img, sigma):
     return high_pass(img, sigma)
 
 
-@kernel("frequency_low", "enhancement", {"sigma": 0.8}, halo=lambda sigma: reach(sigma), sigma=(3.0, 0.0, 100.0))
+@kernel("frequency_low", "enhancement", {"sigma": 0.8}, single=True, halo=lambda sigma: reach(sigma), sigma=(3.0, 0.0, 100.0))
 def frequency_low(img, sigma):
     return gauss(img, sigma)
 
 
-@kernel("sharpen", "spatial", {"radius": 0.8, "amount": 1.5}, halo=lambda radius, amount: reach(radius), radius=(1.0, 0.0, 100.0), amount=(1.0, 0.0, 10.0))
+@kernel("sharpen", "spatial", {"radius": 0.8, "amount": 1.5}, single=True, halo=lambda radius, amount: reach(radius), radius=(1.0, 0.0, 100.0), amount=(1.0, 0.0, 10.0))
 def sharpen(img, radius, amount):
     return painted(img, (img + amount * (img - gauss(img, radius)))[..., :3])
 
@@ -1061,8 +1061,8 @@ def scope_parade(img, scope_size, log_scale):
     return scope.done()
 
 
-@_scope("scope_vectorscope")
-def scope_vectorscope(img, scope_size, log_scale):
+def vectorscope_grid(scope_size: int) -> Scope:
+    """The scope without an image: its circle, axes, line of skin and boxes of the colours."""
     scope, mid = Scope(scope_size), scope_size / 2
     r = mid - 2
     turn = np.arange(int(scope_size * math.pi)) / int(scope_size * math.pi) * 2 * np.pi
@@ -1075,6 +1075,13 @@ def scope_vectorscope(img, scope_size, log_scale):
         x, y = int(mid + r * 0.75 * math.cos(math.radians(degrees))), int(mid - r * 0.75 * math.sin(math.radians(degrees)))
         dx, dy = np.meshgrid(np.arange(-2, 3), np.arange(-2, 3))
         scope.dots(x + dx, y + dy, np.array(rgb, float), 0.7)
+    return scope
+
+
+@_scope("scope_vectorscope")
+def scope_vectorscope(img, scope_size, log_scale):
+    scope, mid = vectorscope_grid(scope_size), scope_size / 2
+    r = mid - 2
     rgb = np.clip(img[..., :3], 0, 1).reshape(-1, 3)
     hls = np.array([colorsys.rgb_to_hls(*p) for p in rgb.tolist()])
     some = hls[:, 2] >= 0.001
@@ -1086,33 +1093,91 @@ def scope_vectorscope(img, scope_size, log_scale):
 # repair
 
 
-@kernel("inpaint", "repair", {"radius": 2}, radius=(3, 1, 50))
-def inpaint(img, radius):
-    """Pixels of alpha zero are filled inwards from the border in order of distance, each by the known pixels around it weighted by nearness; they become opaque."""
-    h, w = img.shape[:2]
+def _slopes(v, known, axis, both, one):
+    """Slope of v along an axis: both(before, here, after) where both neighbours are known, one(low, high) where one is, else zero. v and known have a ring of one around the result."""
+    take = lambda a, k: a[tuple(slice(1 + k * (i == axis), a.shape[i] - 1 + k * (i == axis)) for i in range(2))]
+    before, here, after = (take(v, k) for k in (-1, 0, 1))
+    low, high = (take(known, k)[..., None] for k in (-1, 1))
+    return np.where(low & high, both(before, here, after), np.where(high, one(here, after), np.where(low, one(before, here), 0.0)))
+
+
+def _arrival(t, known, y, x):
+    """Time at which a front of unit speed reaches a place from its known neighbours, the least over the four quadrants."""
+    best = np.inf
+    for a in ((y - 1, x), (y + 1, x)):
+        for b in ((y, x - 1), (y, x + 1)):
+            ta, tb = (t[p] if known[p] else np.inf for p in (a, b))
+            if abs(ta - tb) < 1:
+                best = min(best, (ta + tb + math.sqrt(2 - (ta - tb) ** 2)) / 2)
+            else:
+                best = min(best, 1 + min(ta, tb))
+    return best
+
+
+def marched(level: np.ndarray, hole: np.ndarray, radius: int, flow: bool) -> np.ndarray:
+    """Levels (h, w, channels) with the hole filled from its border inwards, in the order of a front of unit speed.
+
+    A place is a weighted mean of the known places within the radius. By the fast marching method of Telea they weigh by
+    nearness, by the front's time, and by the front's direction, and their gradient is added as one step of a level. By the
+    method of Navier-Stokes (flow) they weigh by nearness and by how far along their lines of equal level they lie.
+    """
+    pad = radius + 1
+    v = np.pad(level.astype(float), ((pad, pad), (pad, pad), (0, 0)))
+    todo = np.pad(hole, pad)
+    known = np.pad(~hole, pad)
+    t = np.where(todo, 1e6, 0.0)
+    dy, dx = np.mgrid[-radius : radius + 1, -radius : radius + 1].astype(float)
+    r2 = dy * dy + dx * dx
+    inside = (r2 > 0) & (r2 <= radius * radius)
+    r2 = np.where(r2 > 0, r2, 1.0)
+    four = ((-1, 0), (0, -1), (1, 0), (0, 1))
+    border = [(y, x) for y, x in zip(*np.nonzero(known), strict=True) if any(todo[y + a, x + b] for a, b in four)]
+    heap = [(0.0, k, int(y), int(x)) for k, (y, x) in enumerate(border)]
+    count = len(heap)
+    while heap:
+        _, _, y, x = heapq.heappop(heap)
+        for a, b in four:
+            ny, nx = y + a, x + b
+            if not todo[ny, nx]:
+                continue
+            todo[ny, nx] = False
+            t[ny, nx] = _arrival(t, known, ny, nx)
+            box = slice(ny - radius, ny + radius + 1), slice(nx - radius, nx + radius + 1)
+            ring = slice(ny - radius - 1, ny + radius + 2), slice(nx - radius - 1, nx + radius + 2)
+            near, sure = v[ring], known[ring]
+            if flow:
+                spread = [lambda p, c, n: np.abs(n - c) + np.abs(c - p), lambda p, n: 2 * np.abs(n - p)]
+                up, across = (_slopes(near, sure, axis, *spread) for axis in (0, 1))
+                along = dx[..., None] * up - dy[..., None] * across
+                size = np.sqrt(r2[..., None] * (up * up + across * across))
+                turn = np.where(np.abs(along) > 0.01, np.abs(along) / np.where(size > 0, size, 1), 1e-6)
+                weight = turn * ((inside & known[box]) / (r2 * r2 + 1))[..., None]
+                v[ny, nx] = (weight * v[box]).sum((0, 1)) / np.maximum(weight.sum((0, 1)), 1e-300)
+            else:
+                # the place itself counts as reached for the front's own slope
+                own = known[ny - 1 : ny + 2, nx - 1 : nx + 2]
+                front = [float(_slopes(t[ny - 1 : ny + 2, nx - 1 : nx + 2, None], own, axis, lambda p, c, n: (n - p) / 2, lambda p, n: n - p)[0, 0, 0]) for axis in (0, 1)]
+                turn = dy * front[0] + dx * front[1]
+                turn = np.where(np.abs(turn) > 0.01, np.abs(turn), 1e-6)
+                weight = (turn * inside * known[box] / (r2 * np.sqrt(r2) * (1 + np.abs(t[box] - t[ny, nx]))))[..., None]
+                step = [lambda p, c, n: 2 * (n - p), lambda p, n: n - p]
+                jy, jx = ((weight * _slopes(near, sure, axis, *step) * d[..., None]).sum((0, 1)) for axis, d in ((0, dy), (1, dx)))
+                v[ny, nx] = (weight * v[box]).sum((0, 1)) / (weight.sum((0, 1)) + 1e-20) + (jx + jy) / (np.sqrt(jx * jx + jy * jy) + 1e-20)
+            v[ny, nx] = np.floor(np.clip(v[ny, nx], 0, 255) + 0.5)
+            known[ny, nx] = True
+            heapq.heappush(heap, (t[ny, nx], count, ny, nx))
+            count += 1
+    return v[pad:-pad, pad:-pad]
+
+
+@kernel("inpaint", "repair", {"radius": 2}, radius=(3, 1, 50), method=(0, 0, 1))
+def inpaint(img, radius, method):
+    """Pixels of alpha zero are filled in 8-bit levels from the border of the known ones and become opaque; method 0 is Telea's, 1 that of Navier-Stokes."""
+    hole = ~(img[..., 3] > 0)
     out = img.copy()
-    known = img[..., 3] > 0
-    if known.all() or not known.any():
+    if hole.all() or not hole.any():
         return out
-    dist = np.where(known, 0.0, np.inf)
-    heap = [(0.0, int(y), int(x)) for y, x in zip(*np.nonzero(known), strict=True)]
-    heapq.heapify(heap)
-    done = known.copy()
-    near = [(dy, dx, 1 / (dy * dy + dx * dx)) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if 0 < dy * dy + dx * dx <= radius * radius]
-    while heap:
-        d, y, x = heapq.heappop(heap)
-        if d > dist[y, x]:
-            continue
-        if not done[y, x]:
-            total, weight = np.zeros(3), 0.0
-            for dy, dx, k in near:
-                if 0 <= y + dy < h and 0 <= x + dx < w and done[y + dy, x + dx]:
-                    total += k * out[y + dy, x + dx, :3]
-                    weight += k
-            out[y, x, :3], out[y, x, 3] = total / weight, 1.0
-            done[y, x] = True
-        for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-            if 0 <= y + dy < h and 0 <= x + dx < w and d + 1 < dist[y + dy, x + dx]:
-                dist[y + dy, x + dx] = d + 1
-                heapq.heappush(heap, (d + 1, y + dy, x + dx))
+    levels = np.floor(np.clip(img[..., :3], 0, 1) * 255 + 0.5)
+    out[hole, :3] = marched(levels, hole, radius, bool(method))[hole] / 255
+    out[hole, 3] = 1.0
     return out

@@ -181,12 +181,54 @@ def metrics(a: Rel, b: Rel) -> Rel:
     return sums.pick("image_id", "mae", rmse="sqrt(_mse)", psnr="CASE WHEN _mse > 0e0 THEN 10e0 * ln(65025e0 / nullif(_mse, 0e0)) / ln(10e0) ELSE NULL END")
 
 
-def delta_e(a: Rel, b: Rel) -> Rel:
-    """(image_id, delta_e): mean distance in Lab."""
-    both = _compared(a, b).steps(*to_lab()).let(_l1="_ll", _a1="_aa", _b1="_bb", r="_r", g="_g", b="_b").steps(*to_lab())
-    return both.agg(["image_id"], delta_e="avg(sqrt((_l1 - _ll) * (_l1 - _ll) + (_a1 - _aa) * (_a1 - _aa) + (_b1 - _bb) * (_b1 - _bb)))")
+def _labs(a: Rel, b: Rel) -> Rel:
+    """(image_id, y, x, l1, a1, b1, l2, a2, b2): both images' pixels in Lab."""
+    both = _compared(a, b).steps(*to_lab()).let(l1="_ll", a1="_aa", b1="_bb", r="_r", g="_g", b="_b").steps(*to_lab())
+    return both.pick("image_id", "y", "x", "l1", "a1", "b1", l2="_ll", a2="_aa", b2="_bb")
 
 
+def delta_e(a: Rel, b: Rel) -> Rel:
+    """(image_id, delta_e): mean distance in Lab."""
+    return _labs(a, b).agg(["image_id"], delta_e="avg(sqrt((l1 - l2) * (l1 - l2) + (a1 - a2) * (a1 - a2) + (b1 - b2) * (b1 - b2)))")
+
+
+def delta_e_94(a: Rel, b: Rel) -> Rel:
+    """(image_id, delta_e): mean CIE 1994 difference, for graphic arts."""
+    from pixelloom.operators.looks import delta_e_94 as difference
+
+    return _labs(a, b).agg(["image_id"], delta_e=f"avg({difference('l1', 'a1', 'b1', 'l2', 'a2', 'b2')})")
+
+
+def delta_e_2000(a: Rel, b: Rel) -> Rel:
+    """(image_id, delta_e): mean CIEDE2000 difference."""
+    seventh = lambda e: f"sqrt(pow({e}, 7e0) / (pow({e}, 7e0) + {n(25.0**7)}))"
+    out = _labs(a, b).let(_cm="(sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2e0").let(_g=f"1e0 + 0.5e0 * (1e0 - {seventh('_cm')})")
+    out = out.let(a1="a1 * _g", a2="a2 * _g").let(**{f"c{i}": f"sqrt(a{i} * a{i} + b{i} * b{i})" for i in (1, 2)})
+    out = out.let(**{f"h{i}": f"CASE WHEN atan2(b{i}, a{i}) < 0e0 THEN degrees(atan2(b{i}, a{i})) + 360e0 ELSE degrees(atan2(b{i}, a{i})) END" for i in (1, 2)})
+    turn = "CASE WHEN abs(h2 - h1) <= 180e0 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360e0 ELSE h2 - h1 + 360e0 END"
+    mean = "CASE WHEN abs(h1 - h2) <= 180e0 THEN (h1 + h2) / 2e0 WHEN h1 + h2 < 360e0 THEN (h1 + h2 + 360e0) / 2e0 ELSE (h1 + h2 - 360e0) / 2e0 END"
+    out = out.let(_turn=f"CASE WHEN c1 * c2 = 0e0 THEN 0e0 ELSE {turn} END", _hm=f"CASE WHEN c1 * c2 = 0e0 THEN h1 + h2 ELSE {mean} END", _lm="(l1 + l2) / 2e0 - 50e0", _cm="(c1 + c2) / 2e0")
+    cosine = lambda k, shift: f"cos(radians({n(k)} * _hm + {n(shift)}))"
+    out = out.let(_t=f"1e0 - 0.17e0 * {cosine(1, -30)} + 0.24e0 * {cosine(2, 0)} + 0.32e0 * {cosine(3, 6)} - 0.2e0 * {cosine(4, -63)}")
+    out = out.let(
+        _l="(l2 - l1) / (1e0 + 0.015e0 * _lm * _lm / sqrt(20e0 + _lm * _lm))",
+        _c="(c2 - c1) / (1e0 + 0.045e0 * _cm)",
+        _h="2e0 * sqrt(c1 * c2) * sin(radians(_turn) / 2e0) / (1e0 + 0.015e0 * _cm * _t)",
+        _r=f"-2e0 * {seventh('_cm')} * sin(radians(60e0 * exp(-(_hm - 275e0) * (_hm - 275e0) / 625e0)))",
+    )
+    return out.agg(["image_id"], delta_e="avg(sqrt(greatest(_l * _l + _c * _c + _h * _h + _r * _c * _h, 0e0)))")
+
+
+def prefix_sums(rel: Rel) -> Rel:
+    """Each channel's sum over all pixels above and to the left, its own included (a summed-area table)."""
+    across = rel.let(**{f"_{c}": f"sum({c}) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for c in "rgba"})
+    down = across.let(**{c: f"sum(_{c}) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for c in "rgba"})
+    return down.drop("_r", "_g", "_b", "_a")
+
+
+def statistics_u16(rel: Rel) -> Rel:
+    """(image_id, channel, low, high, mean, deviation) of 16-bit levels."""
+    return statistics(rel.let(**{c: half_up(clamp(c) + " * 65535e0") for c in "rgba"}))
 
 
 def ssim(a: Rel, b: Rel, size: int = 11, sigma: float = 1.5) -> Rel:

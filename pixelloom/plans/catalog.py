@@ -55,6 +55,10 @@ def _reports() -> dict[str, Callable[[Tables], Rel]]:
         "metrics": lambda t: six(stats.metrics(events(t), orders(t)), "mae", "rmse", "psnr"),
         "ssim": lambda t: six(stats.ssim(events(t), orders(t)), "ssim"),
         "delta_e": lambda t: six(stats.delta_e(events(t), orders(t)), "delta_e"),
+        "delta_e_94": lambda t: six(stats.delta_e_94(events(t), orders(t)), "delta_e"),
+        "delta_e_2000": lambda t: six(stats.delta_e_2000(events(t), orders(t)), "delta_e"),
+        "prefix_sums": lambda t: rounded(stats.prefix_sums(events(t))),
+        "statistics_u16": lambda t: six(stats.statistics_u16(events(t)), "low", "high", "mean", "deviation"),
         "histogram_match": lambda t: rounded(stats.histogram_match(events(t), orders(t))),
         "concat_horizontal": lambda t: rounded(geometry.concat([events(t), geometry.crop(orders(t), 0, 0, 9, 7)], gap=2)),
         "concat_vertical": lambda t: rounded(geometry.concat([events(t), geometry.crop(orders(t), 0, 0, 9, 7)], columns=1, gap=1)),
@@ -69,7 +73,7 @@ def _reports() -> dict[str, Callable[[Tables], Rel]]:
         **{f"resize_{m}": lambda t, m=m: rounded(geometry.resize(events(t), 7, 21, m)) for m in ("nearest", "bilinear", "bicubic", "lanczos3")},
         **{f"to_{s}": lambda t, s=s: rounded(events(t).steps(*points.conversion("linear", s))) for s in ("srgb", "acescg", "acescct", "acescc", "aces2065_1")},
         **{f"from_{s}": lambda t, s=s: rounded(events(t).steps(*points.conversion(s, "linear"))) for s in ("acescg", "acescct", "aces2065_1")},
-        **{f"idt_{c.replace('-', '_')}": lambda t, c=c: rounded(OPERATORS["camera_idt"].plan(events(t), camera=c)) for c in ("arri-logc3", "arri-logc4", "red-ipp2", "bmd-gen5")},
+        **{f"idt_{c.replace('-', '_')}": lambda t, c=c: rounded(OPERATORS["camera_idt"].plan(events(t), camera=c)) for c in ("arri-logc3", "arri-logc4", "red-ipp2", "bmd-gen5", "sony-slog3")},
     }
 
 

@@ -480,6 +480,11 @@ def _(rel, radius):
     return tidy(rel.join(best, PLACE).let(**{c: f"_o{c}" for c in RGB}))
 
 
+def half_even(e: str) -> str:
+    """Nearest integer, halves to the even one, of a value that isn't negative."""
+    return f"CASE WHEN {e} - floor({e}) = 0.5e0 THEN 2e0 * floor({e} / 2e0 + 0.5e0) ELSE floor({e} + 0.5e0) END"
+
+
 @form("clahe")
 def _(rel, tile_grid, clip_limit):
     g = tile_grid
@@ -497,7 +502,7 @@ def _(rel, tile_grid, clip_limit):
     extra = "CASE WHEN _rest > 0e0 AND _level - _step * floor(_level / _step) = 0e0 AND _level / _step < _rest THEN 1e0 ELSE 0e0 END"
     full = full.let(_n=f"least(_n, _clip) + floor(_over / 256e0) + {extra}")
     full = full.let(_sum=f"sum(_n) OVER ({tile} ORDER BY _level ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    table = full.pick("image_id", "_ty", "_tx", "_level", _v=clamp(half_up("(_sum * (255e0 / (_th * _tw)))"), 0, 255))
+    table = full.pick("image_id", "_ty", "_tx", "_level", _v=clamp(half_even("(_sum * (255e0 / (_th * _tw)))"), 0, 255))
     low = lambda at: f"cast(least(greatest(floor({at}), 0e0), {n(g - 1)}) as bigint)"
     out = out.let(_py="y / _th - 0.5e0", _px="x / _tw - 0.5e0").let(_y0=low("_py"), _x0=low("_px"))
     out = out.let(_y1=f"least(_y0 + 1, {g - 1})", _x1=f"least(_x0 + 1, {g - 1})", _fv=clamp("(_py - _y0)"), _fu=clamp("(_px - _x0)"))
@@ -559,3 +564,22 @@ def _(rel, scope_size, log_scale):
     dots = bars.pick("image_id", _px="cast(_x as bigint)", _py=f"{scope_size} - _up", **{c: light(k) for k, c in enumerate(RGB)}).pick("image_id", "r", "g", "b", y="_py", x="_px")
     marks = _dots(bins.where("_c = 3"), "_x", f"{scope_size - 1} - _size", (0.7, 0.7, 0.7), "0.6e0")
     return scope_of(rel, scope_size, dots.union(marks))
+
+
+@form("scope_vectorscope")
+def _(rel, scope_size, log_scale):
+    # the grid and its marks, which no image changes, are a table; hue and saturation place the dots
+    lines = k.vectorscope_grid(scope_size).out
+    y, x = np.nonzero(lines[..., :3].any(-1))
+    fixed = rel.agg(["image_id"], _one="count(*)")
+    fixed = fixed.join(fixed.values(["y", "x", "r", "g", "b"], [(int(i), int(j), *map(float, lines[i, j, :3])) for i, j in zip(y, x, strict=True)]), []).pick("image_id", "r", "g", "b", "y", "x")
+    bright = rel.let(**{c: clamp(c) for c in RGB}).let(_hi="greatest(r, g, b)", _lo="least(r, g, b)")
+    bright = bright.let(_gap="_hi - _lo", _both="_hi + _lo").where("_gap > 0e0")
+    bright = bright.let(_sat="_gap / CASE WHEN _both <= 1e0 THEN _both ELSE 2e0 - _both END").where("_sat >= 0.001e0")
+    hue = "CASE WHEN r = _hi THEN (g - b) / _gap WHEN g = _hi THEN 2e0 + (b - r) / _gap ELSE 4e0 + (r - g) / _gap END"
+    bright = bright.let(_turn=f"{hue} * {n(math.pi / 3)}", _far=f"_sat * {n(scope_size / 2 - 2)}")
+    spots = bright.pick(
+        "image_id", _py=f"cast(floor({n(scope_size / 2)} - _far * sin(_turn)) as bigint)", _px=f"cast(floor({n(scope_size / 2)} + _far * cos(_turn)) as bigint)",
+        **{c: f"({c} * 0.6e0 + 0.2e0) * least(greatest(8e0 / (width * height), 0.005e0), 0.3e0)" for c in RGB},
+    )
+    return scope_of(rel, scope_size, fixed.union(spots.pick("image_id", "r", "g", "b", y="_py", x="_px")))

@@ -160,7 +160,7 @@ class Pipeline:
                 end += 1
             chain = [(lambda img, f=t.op.kernel, p=t.params: f(img, **p)) for t in todo[at:end]]
             if run.is_packed(df):
-                df = run.packed_images(df, chain)
+                df = run.packed_images(df, chain, all(t.op.single for t in todo[at:end]))
             elif all(t.op.halo for t in todo[at:end]):
                 df = run.tiles(df, chain, sum(t.op.halo(**t.params) for t in todo[at:end]))
             else:

@@ -50,6 +50,8 @@ class Operator:
     space: str | None = None
     inputs: int = 1
     narrow: bool = False
+    #: Whether the kernel may compute in 32-bit floats, the precision in which whole images are stored.
+    single: bool = False
     example: dict[str, Any] = field(default_factory=dict)
     doc: str = ""
 
@@ -108,13 +110,13 @@ def point(name: str, category: str, example: dict[str, Any] | None = None, space
     return wrap
 
 
-def kernel(name: str, category: str, example: dict[str, Any] | None = None, halo: Callable[..., int] | None = None, **spec: Any):
+def kernel(name: str, category: str, example: dict[str, Any] | None = None, halo: Callable[..., int] | None = None, single: bool = False, **spec: Any):
     """Registers a function (image, **params) -> image as an operator."""
 
     def wrap(f):
         if name in OPERATORS:
             raise ValueError(f"{name} is registered twice")
-        register(Operator(name, category, _params(spec), kernel=f, halo=halo, example=example or {}, doc=(f.__doc__ or "").strip()))
+        register(Operator(name, category, _params(spec), kernel=f, halo=halo, single=single, example=example or {}, doc=(f.__doc__ or "").strip()))
         return f
 
     return wrap

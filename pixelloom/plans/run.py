@@ -2,7 +2,7 @@
 
 Pixels are rows (image_id, width, height, y, x, r, g, b, a). Whole images are
 rows (image_id, width, height, data) with data little-endian 32-bit floats, row by
-row, RGBA; operators compute in doubles. Plans run on pixels as DataFrame operations. Kernels run on images: those
+row, RGBA; operators compute in doubles, or in the precision of the rows where a kernel is marked so. Plans run on pixels as DataFrame operations. Kernels run on images: those
 of whole-image rows batch by batch without a shuffle; pixels are first brought
 together by image, or by tile where the kernels say how far they look.
 """
@@ -81,8 +81,8 @@ def tiles(pixels: DataFrame, kernels: Sequence[Kernel], halo: int, side: int = T
     return dealt.groupBy("image_id", "_ty", "_tx").applyInPandas(run, PIXEL_SCHEMA)
 
 
-def packed_images(images: DataFrame, kernels: Sequence[Kernel]) -> DataFrame:
-    """Kernels on rows of whole images; other columns stay."""
+def packed_images(images: DataFrame, kernels: Sequence[Kernel], single: bool = False) -> DataFrame:
+    """Kernels on rows of whole images, in doubles or in single precision; other columns stay."""
     f = _chain(kernels)
     names = images.columns
     at = {c: names.index(c) for c in ("width", "height", "data")}
@@ -95,7 +95,7 @@ def packed_images(images: DataFrame, kernels: Sequence[Kernel]) -> DataFrame:
                 data = row.column(at["data"])[0]
                 columns = row.columns
                 if data.is_valid:
-                    out = f(_from_buffer(data.as_buffer(), w, h))
+                    out = f(np.frombuffer(data.as_buffer(), PACKED).reshape(h, w, 4) if single else _from_buffer(data.as_buffer(), w, h))
                     fresh = {"width": out.shape[1], "height": out.shape[0], "data": packed(out)}
                     for c, v in fresh.items():
                         columns[at[c]] = pa.array([v], batch.schema.field(at[c]).type)
@@ -109,7 +109,7 @@ def _from_buffer(data, width: int, height: int) -> np.ndarray:
 
 
 def packed(img: np.ndarray) -> bytes:
-    return img.astype(PACKED).tobytes()
+    return img.astype(PACKED, copy=False).tobytes()
 
 
 def unpacked(data: bytes, width: int, height: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def apply(df: DataFrame, op: Operator, params: dict, *others: DataFrame) -> Data
     if uses_kernel(op, df):
         kernels = [lambda img: op.kernel(img, **params)]
         if is_packed(df):
-            return packed_images(df, kernels)
+            return packed_images(df, kernels, op.single)
         return tiles(df, kernels, op.halo(**params)) if op.halo else whole_images(df, kernels)
     inputs = [to_pixels(d) if is_packed(d) else d for d in (df, *others)]
     out = op.plan(*map(SparkRel, inputs), **params).df

@@ -184,3 +184,67 @@ def test_kernels_and_plans_agree(img):
         assert np.allclose(got[list("rgba")].to_numpy(float), want.reshape(-1, 4), atol=1e-7), op.name
         checked += 1
     assert checked > 170
+
+
+def _holed(h=20, w=24):
+    """A smooth picture and the same with a hole."""
+    y, x = np.mgrid[:h, :w]
+    full = np.stack([(40 + 4 * x) / 255, (60 + 3 * y) / 255, (30 + 2 * x + 2 * y) / 255, np.ones((h, w))], -1)
+    hole = np.zeros((h, w), bool)
+    hole[7:12, 8:14] = hole[3, 3] = hole[15:18, 0:3] = True
+    cut = full.copy()
+    cut[hole] = 0
+    return full, cut, hole
+
+
+@pytest.mark.parametrize("method", [0, 1])
+def test_inpainting_goes_on_with_slopes(method):
+    full, cut, hole = _holed()
+    out = run("inpaint", cut, radius=3, method=method)
+    assert (out[~hole] == full[~hole]).all() and (out[hole, 3] == 1).all()
+    assert np.abs(out - full)[hole].max() < 16 / 255 and np.abs(out - full)[hole].mean() < 5 / 255
+    assert np.allclose(out[hole] * 255, np.rint(out[hole] * 255))
+
+
+def test_inpainting_of_one_pixel_by_hand():
+    """Of one missing pixel all neighbours weigh by nearness alone, times the little that no direction of the front leaves; the slope adds one level at the most."""
+    rng = np.random.default_rng(7)
+    level = rng.integers(0, 256, (5, 5)).astype(float)
+    hole = np.zeros((5, 5), bool)
+    hole[2, 2] = True
+    got = k.marched(level[..., None], hole, 1, False)[2, 2, 0]
+    around = [(1, 2), (2, 1), (2, 3), (3, 2)]
+    # the front arrives from all sides at once, so its slope at the pixel is nothing
+    mean = np.mean([level[p] for p in around])
+
+    def slope(p, axis):
+        step = np.array([axis == 0, axis == 1], int)
+        low, high = (tuple(np.array(p) + s * step) for s in (-1, 1))
+        if low == (2, 2):
+            return level[high] - level[p]
+        if high == (2, 2):
+            return level[p] - level[low]
+        return 2 * (level[high] - level[low])
+
+    j = [sum(slope(p, a) * (p[a] - 2) for p in around) * 1e-6 / 2 for a in (0, 1)]
+    want = np.clip(mean + sum(j) / (math.hypot(*j) + 1e-20), 0, 255)
+    assert got == np.floor(want + 0.5) or abs(got - want) <= 0.5 + 1e-6
+    assert (k.marched(level[..., None], hole, 1, True)[~hole, 0] == level[~hole]).all()
+
+
+def test_front_keeps_distances():
+    """Times of arrival grow by one straight, and as the solution of two neighbours across."""
+    t, known = np.zeros((3, 3)), np.zeros((3, 3), bool)
+    known[0, 1] = True
+    assert k._arrival(t, known, 1, 1) == 1
+    known[1, 0] = True
+    assert k._arrival(t, known, 1, 1) == pytest.approx(math.sqrt(2) / 2)
+    t[1, 0] = 2
+    assert k._arrival(t, known, 1, 1) == 1
+
+
+def test_single_precision_is_close(img):
+    for op in OPERATORS.values():
+        if op.single:
+            exact, fast = (op.kernel(v, **op.bind(op.example)) for v in (img, img.astype(np.float32)))
+            assert fast.dtype == np.float32 and np.abs(exact - fast).max() < 5e-6, op.name
