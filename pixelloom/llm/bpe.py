@@ -9,7 +9,8 @@ go through merges kept in a heap over linked bytes.
 Defined cases: a null text is an empty text, and an empty text has no ids; a
 pre-token of any length is merged in n log n steps; rows that repeat are encoded
 each on its own; an empty table gives an empty result; only doc_id and text are
-read, so other columns may have any name.
+read, so other columns may have any name. A vocabulary in which two entries share a
+64-bit hash doesn't load.
 """
 
 from __future__ import annotations
@@ -120,7 +121,8 @@ class Vocabulary:
     def _build(self, keys: np.ndarray) -> None:
         """Displacements such that each key has a slot of its own among len(keys) slots: crowded buckets choose first, buckets of one take what is left."""
         n = len(keys)
-        assert len(np.unique(keys)) == n, "two entries share a hash"
+        if len(np.unique(keys)) != n:
+            raise ValueError("two entries of the vocabulary share a hash")
         self.buckets = max(1, n // 4)
         bucket = (keys % _U(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -156,10 +156,12 @@ class Models:
         return out
 
 
-def learn(docs: DataFrame, per_lang: int = 400, order: int = ORDER) -> Models:
-    """Models of the languages of docs (doc_id, text, lang): rows with text and lang, about per_lang of them for each language."""
+def learn(docs: DataFrame, per_lang: int = 400, order: int = ORDER, langs: int = 500) -> Models:
+    """Models of the languages of docs (doc_id, text, lang): rows with text and lang, about per_lang of them for each language. More languages than `langs` are an error, for each has a model."""
     rows = docs.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    sizes = {r.lang: r["count"] for r in docs.where("text is not null and lang is not null").groupBy("lang").count().collect()}  # one row for each language
+    sizes = {r.lang: r["count"] for r in docs.where("text is not null and lang is not null").groupBy("lang").count().limit(langs + 1).collect()}  # one row for each language
+    if len(sizes) > langs:
+        raise ValueError(f"more than {langs} languages")
     if not sizes:
         return Models({})
     keep = F.lit(False)

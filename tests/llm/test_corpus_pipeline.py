@@ -59,3 +59,40 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(5, "a b c d", 1), (5, "a b c d", 1), (5, "other words here now", 2), (3, "other words here now", 3), (None, None, 4), (None, "", 5)], "doc_id long, text string, component_id int")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.keep_one(docs).collect())
     assert got == [(False, 3, "other words here now"), (False, 5, "a b c d"), (True, 0, "")]
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    """Every stage on no rows, and on rows whose other columns are named like a stage's own."""
+    names = "doc_id long, text string, fp long, head long, number long, digest long, row string, shingles string, root long, n long, text_crc32 long"
+    empty = spark.createDataFrame([], names)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "token_ids" or out.columns == empty.columns), name
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(120))
+    full = spark.createDataFrame([(i, text if i < 3 else text[::-1], *[7] * 4, "r", "s", 1, 2, 3) for i in range(4)], names)
+    for name, stage in corpus_pipeline.STAGES:
+        full = stage(spark, full, str(tmp_path))
+        full.write.parquet(f"{tmp_path}/full_{name}")
+        full = spark.read.parquet(f"{tmp_path}/full_{name}")
+    assert sorted(r.doc_id for r in full.collect()) == [0, 3]
+
+
+def test_long_text_through_all_stages(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(150_000))
+    spark.createDataFrame([(1, "aa bb cc")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, long[::-1] + " write to a@b.cc")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r.doc_id: r.n_tokens > 150_000 for r in docs.collect()} == {1: True, 3: True}
+
+
+def test_null_ids_decode_to_nothing(spark):
+    from pixelloom.llm import bpe, queries
+
+    v = bpe.Vocabulary.load(queries.tokenizer_path())
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [65, 66])], "doc_id long, token_ids array<int>")
+    got = {r.doc_id: bytes(r.data) for r in bpe.decode_documents(rows, v).collect()}
+    assert got[1] == got[2] == b"" and len(got[3]) >= 2
