@@ -1,7 +1,13 @@
 """Training-data pipeline: rules, near-duplicates, decontamination, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage
-before it kept. All but the last return the columns of docs.
+before it kept. All but the last return the columns of docs, under any names.
+
+Defined cases: a null or empty text fails the rules (it has too few words); rows
+without a doc_id go through all stages like others; of rows that repeat one stays;
+of near-duplicates that of the least doc_id stays; an empty table, or one that a stage
+leaves empty, gives an empty result with the same columns; a text of any length is
+read whole (see pixelloom/llm/_text.py for the memory that it takes).
 """
 
 from __future__ import annotations
@@ -12,17 +18,17 @@ from pixelloom.llm import bpe, decontam, pii_crf, queries, repetition, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go; a null text has no words and goes."""
     return repetition.keep_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the least doc_id, of equal ids the least hash of the text; rows without an id come before others among themselves."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go, items without an item_id included; an empty benchmark removes nothing."""
     return decontam.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"))
 
 

@@ -20,9 +20,10 @@ OKLAB_TO_CONES = np.array([[0.4122214708, 0.5363325363, 0.0514459929], [0.211903
 OKLAB_FROM_CONES = np.array([[0.2104542553, 0.7936177850, -0.0040720468], [1.9779984951, -2.4285922050, 0.4505937099], [0.0259040371, 0.7827717662, -0.8086757660]])
 CONES_FROM_OKLAB = np.array([[1.0, 0.3963377774, 0.2158037573], [1.0, -0.1055613458, -0.0638541728], [1.0, -0.0894841775, -1.2914855480]])
 SRGB_FROM_CONES = np.array([[4.0767416621, -3.3077115913, 0.2309699292], [-1.2684380046, 2.6097574011, -0.3413193965], [-0.0041960863, -0.7034186147, 1.7076147010]])
+#: The usual sepia matrix.
 SEPIA = np.array([[0.393, 0.769, 0.189], [0.349, 0.686, 0.168], [0.272, 0.534, 0.131]])
 D65_WHITE, D65_XY = (0.95047, 1.0, 1.08883), (0.31270, 0.32900)
-#: Camera gamuts to ACEScg.
+#: Camera gamuts to ACEScg.
 CAMERA = {
     "arri-logc3": np.array([[0.680206, 0.236137, 0.083658], [0.085415, 1.017471, -0.102886], [0.002057, -0.062563, 1.060506]]),
     "arri-logc4": np.array([[0.750957, 0.144422, 0.104621], [0.000821, 1.007397, -0.008218], [-0.000499, -0.034855, 1.035354]]),

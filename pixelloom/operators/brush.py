@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 FIELDS = ["x", "y", "pressure", "tilt_x", "tilt_y", "rotation", "velocity", "ts"]
 DABS = "stroke_id long, dab long, x double, y double, size double, opacity double, angle double, roundness double, hardness double"
 #: Side of the cells by which dabs and pixels are dealt to tasks.
+CELL = 64
 #: Dabs (by the cells that they touch) of a stamp for all images at the most.
 STAMP = 200_000
-CELL = 64
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ class Brush:
         return np.interp(v, *zip(*points, strict=True)) if points else np.full_like(v, rest)
 
 
+# The curves and presets that brushes are known by.
 RISING = ((0.0, 0.0), (1.0, 1.0))
 QUICK, SLOW = ((0.0, 0.0), (0.3, 0.6), (0.6, 0.85), (1.0, 1.0)), ((0.0, 0.0), (0.4, 0.15), (0.7, 0.4), (1.0, 1.0))
 PRESETS = {
@@ -84,7 +85,7 @@ def spaced(path: np.ndarray, step: float) -> np.ndarray:
 
 
 def _scatter(seeds: np.ndarray) -> np.ndarray:
-    """Hash of seeds in [0, 1)."""
+    """Hash of seeds in [0, 1). Its multipliers and shifts, which decide where dabs scatter."""
     h = (seeds * 0x9E3779B9) & 0xFFFFFFFF
     h ^= h >> 16
     h = (h * 0x85EBCA6B) & 0xFFFFFFFF

@@ -64,7 +64,7 @@ def _faded(k: float) -> list[dict[str, str]]:
 
 
 def rendering() -> list[dict[str, str]]:
-    """ACEScg to scene-referred output before a display."""
+    """ACEScg to scene-referred output before a display. The constants of the glow, of the red modifier and of the tone curve."""
     return [
         each("greatest({v}, 0e0)"),
         _ap1(),
