@@ -583,3 +583,12 @@ def _(rel, scope_size, log_scale):
         **{c: f"({c} * 0.6e0 + 0.2e0) * least(greatest(8e0 / (width * height), 0.005e0), 0.3e0)" for c in RGB},
     )
     return scope_of(rel, scope_size, fixed.union(spots.pick("image_id", "r", "g", "b", y="_py", x="_px")))
+
+
+@form("pyramid_detail_remap")
+def _(rel, sigma, levels):
+    corners = rel.join(rel.values(["_dy", "_dx"], [(0, 0), (0, 1), (1, 0), (1, 1)]), [])
+    corners = corners.let(_sy="least(floor(y / 2e0) * 2e0 + _dy, height - 1e0)", _sx="least(floor(x / 2e0) * 2e0 + _dx, width - 1e0)")
+    means = with_places(corners, rel).agg(PLACE, **{f"_m{c}": f"sum(_{c}) / 4e0" for c in RGB})
+    detail = lambda c: f"({c} - _m{c})"
+    return tidy(rel.join(means, PLACE).let(**{c: f"_m{c} + {detail(c)} * {n(sigma)} / ({n(sigma)} + abs{detail(c)})" if abs(sigma) > 1e-10 else f"_m{c}" for c in RGB}))
