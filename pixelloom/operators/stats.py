@@ -207,7 +207,8 @@ def delta_e_2000(a: Rel, b: Rel) -> Rel:
     out = out.let(**{f"h{i}": f"CASE WHEN atan2(b{i}, a{i}) < 0e0 THEN degrees(atan2(b{i}, a{i})) + 360e0 ELSE degrees(atan2(b{i}, a{i})) END" for i in (1, 2)})
     turn = "CASE WHEN abs(h2 - h1) <= 180e0 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360e0 ELSE h2 - h1 + 360e0 END"
     mean = "CASE WHEN abs(h1 - h2) <= 180e0 THEN (h1 + h2) / 2e0 WHEN h1 + h2 < 360e0 THEN (h1 + h2 + 360e0) / 2e0 ELSE (h1 + h2 - 360e0) / 2e0 END"
-    out = out.let(_turn=f"CASE WHEN c1 * c2 = 0e0 THEN 0e0 ELSE {turn} END", _hm=f"CASE WHEN c1 * c2 = 0e0 THEN h1 + h2 ELSE {mean} END", _lm="(l1 + l2) / 2e0 - 50e0", _cm="(c1 + c2) / 2e0")
+    out = out.settled().let(_turn=f"CASE WHEN c1 * c2 = 0e0 THEN 0e0 ELSE {turn} END", _hm=f"CASE WHEN c1 * c2 = 0e0 THEN h1 + h2 ELSE {mean} END", _lm="(l1 + l2) / 2e0 - 50e0", _cm="(c1 + c2) / 2e0")
+    out = out.settled()
     cosine = lambda k, shift: f"cos(radians({n(k)} * _hm + {n(shift)}))"
     out = out.let(_t=f"1e0 - 0.17e0 * {cosine(1, -30)} + 0.24e0 * {cosine(2, 0)} + 0.32e0 * {cosine(3, 6)} - 0.2e0 * {cosine(4, -63)}")
     out = out.let(

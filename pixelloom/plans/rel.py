@@ -63,6 +63,10 @@ class Rel:
         old = {v: k for k, v in names.items()}
         return self.pick(**{old.get(c, c): c for c in self.cols})
 
+    def settled(self) -> Rel:
+        """The same relation, computed before what follows where an engine would else put its expressions into later ones over and over."""
+        return self
+
 
 class SparkRel(Rel):
     def __init__(self, df: DataFrame):
@@ -143,10 +147,14 @@ class TextRel(Rel):
     def series(self, name, first, last):
         return self._next(f"SELECT *, unnest(generate_series(CAST({first} AS BIGINT), CAST({last} AS BIGINT))) AS {name} FROM {self.name}", [*self.cols, name])
 
+    def settled(self):
+        out = self._next(f"SELECT * FROM {self.name}", self.cols)
+        return TextRel("m" + out.name[1:], out.cols, (*out.parts[:-1], ("m" + out.name[1:], out.parts[-1][1])))
+
     def sql(self) -> str:
         if not self.parts:
             return f"SELECT * FROM {self.name}"
-        return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in self.parts) + f"\nSELECT * FROM {self.name}"
+        return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n[0] == 'm' else ''}({b})" for n, b in self.parts) + f"\nSELECT * FROM {self.name}"
 
 
 class Tables:
