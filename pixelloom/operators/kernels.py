@@ -757,17 +757,20 @@ def median_cut(img: np.ndarray, colors: int) -> np.ndarray:
     """Palette of the means of boxes; the box of the widest channel is halved at its median, the last one on ties."""
     flat = img[..., :3].reshape(-1, 3)
     boxes = [flat[:: max(len(flat) // 4096, 1)]]
+    width = [np.ptp(boxes[0], axis=0).max()]
     while len(boxes) < colors:
-        width = [np.ptp(b, axis=0).max() for b in boxes]
         k = len(width) - 1 - int(np.argmax(width[::-1]))
         # the box taken out is replaced by the last one
-        box, boxes[k] = boxes[k], boxes[-1]
+        box, boxes[k], width[k] = boxes[k], boxes[-1], width[-1]
         boxes.pop()
+        width.pop()
         if len(box) < 2:
             boxes.append(box)
             break
         box = box[np.argsort(box[:, int(np.argmax(np.ptp(box, axis=0)))], kind="stable")]
-        boxes += [box[: len(box) // 2], box[len(box) // 2 :]]
+        halves = [box[: len(box) // 2], box[len(box) // 2 :]]
+        boxes += halves
+        width += [np.ptp(b, axis=0).max() for b in halves]
     return np.stack([b.mean(0) for b in boxes])
 
 

@@ -128,6 +128,8 @@ def encode_pfm(img: np.ndarray) -> bytes:
 def _unfiltered(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
     """Scanlines with their prediction taken off."""
     rows = np.frombuffer(raw, np.uint8, h * (stride + 1)).reshape(h, stride + 1)
+    if (rows[:, 0] > 2).any():
+        return _unfiltered_by_diagonals(rows[:, 0], rows[:, 1:], step)
     out = np.zeros((h, stride), np.uint8)
     above = np.zeros(stride, np.uint8)
     for y in range(h):
@@ -137,21 +139,27 @@ def _unfiltered(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
                 line[i::step] = np.cumsum(line[i::step], dtype=np.uint8)
         elif kind == 2:
             line += above
-        elif kind in (3, 4):
-            cur, up = line.tolist(), above.tolist()
-            for i in range(stride):
-                a, b, c = (cur[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                cur[i] = (cur[i] + guess) & 255
-            line = np.array(cur, np.uint8)
         out[y] = above = line
     return out
 
 
+def _unfiltered_by_diagonals(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
+    """The same where lines are predicted from both sides: places of equal x + y depend on earlier ones only, and are done at once."""
+    h, stride = lines.shape
+    n = -(-stride // step)
+    coded = np.pad(lines, ((0, 0), (0, n * step - stride))).reshape(h, n, step).astype(np.int16)
+    out = np.zeros((h + 1, n + 1, step), np.int16)
+    left, up, mean, near = (np.where(kinds == k, 1, 0).astype(np.int16)[:, None] for k in (1, 2, 3, 4))
+    for d in range(h + n - 1):
+        y = np.arange(max(0, d - n + 1), min(h, d + 1))
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        out[y + 1, x + 1] = coded[y, x] + left[y] * a + up[y] * b + mean[y] * (a + b >> 1) + near[y] * nearest & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, n * step)[:, :stride]
+
+
 def _png_samples(raw: bytes, w: int, h: int, depth: int, channels: int) -> np.ndarray:
     stride = (w * depth * channels + 7) // 8
     lines = _unfiltered(raw, h, stride, max(1, depth * channels // 8))
@@ -239,7 +247,7 @@ def _png_lines(levels: np.ndarray) -> bytes:
     left = np.zeros_like(levels)
     left[:, 1:] = levels[:, :-1]
     lines = np.concatenate([np.ones((h, 1), np.uint8), (levels - left).reshape(h, w * c)], 1)
-    return zlib.compress(lines.tobytes(), 6)
+    return zlib.compress(lines.tobytes(), 4)
 
 
 def encode_png(img: np.ndarray, text: dict[str, str] | None = None) -> bytes:
@@ -386,36 +394,44 @@ def decode_qoi(data: bytes) -> Decoded:
 
 def encode_qoi(img: np.ndarray) -> bytes:
     h, w = img.shape[:2]
-    out, seen = bytearray(struct.pack(">4sIIBB", b"qoif", w, h, 4, 0)), [None] * 64
-    last, run = (0, 0, 0, 255), 0
-    for p in map(tuple, levels8(img).reshape(-1, 4).tolist()):
-        if p == last:
-            run += 1
-            if run == 62:
-                out.append(0xC0 + 61)
-                run = 0
-            continue
-        if run:
-            out.append(0xC0 + run - 1)
-            run = 0
-        k = (p[0] * 3 + p[1] * 5 + p[2] * 7 + p[3] * 11) % 64
-        if seen[k] == p:
-            out.append(k)
-        else:
-            seen[k] = p
-            dr, dg, db = ((a - b + 128) % 256 - 128 for a, b in zip(p[:3], last[:3], strict=True))
-            if p[3] != last[3]:
-                out += bytes((0xFF, *p))
-            elif all(-2 <= d < 2 for d in (dr, dg, db)):
-                out.append(0x40 + (dr + 2 << 4) + (dg + 2 << 2) + db + 2)
-            elif -32 <= dg < 32 and -8 <= dr - dg < 8 and -8 <= db - dg < 8:
-                out += bytes((0x80 + dg + 32, (dr - dg + 8 << 4) + db - dg + 8))
-            else:
-                out += bytes((0xFE, *p[:3]))
-        last = p
-    if run:
-        out.append(0xC0 + run - 1)
-    return bytes(out) + bytes(7) + b"\1"
+    px = levels8(img).reshape(-1, 4)
+    whole = px.view("<u4")[:, 0] if len(px) else np.zeros(0, "<u4")
+    before = np.concatenate([np.array([0, 0, 0, 255], np.uint8).view("<u4"), whole[:-1]])
+    repeated = whole == before
+    at = np.flatnonzero(~repeated)
+    p, last = px[at].astype(np.int64), before[at].view(np.uint8).reshape(-1, 4).astype(np.int64)
+    # the pixel that a slot holds is the last one, not of a run, that fell into it
+    slot = p @ np.array([3, 5, 7, 11]) % 64
+    order = np.argsort(slot, kind="stable")
+    same = (slot[order[1:]] == slot[order[:-1]]) & (whole[at][order[1:]] == whole[at][order[:-1]])
+    held = np.zeros(len(at), bool)
+    held[order[1:][same]] = True
+    dr, dg, db = ((p - last + 128) % 256 - 128)[:, :3].T
+    clear = p[:, 3] != last[:, 3]
+    small = np.abs(np.stack([dr, dg, db]) + 0.5).max(0, initial=0) < 2
+    medium = (np.abs(dg + 0.5) < 32) & (np.abs(dr - dg + 0.5) < 8) & (np.abs(db - dg + 0.5) < 8)
+    kinds = np.select([held, clear, small, medium], [0, 4, 1, 2], 3)
+    begin = np.flatnonzero(repeated & ~np.concatenate([[False], repeated[:-1]]))
+    length = np.flatnonzero(repeated & ~np.concatenate([repeated[1:], [False]])) - begin + 1
+    size = np.zeros(len(px) + 1, np.int64)
+    size[1:][at] = np.array([1, 1, 2, 4, 5])[kinds]
+    size[1:][begin] = -(-length // 62)
+    place = np.cumsum(size)
+    out = np.full(place[-1], 0xC0 + 61, np.uint8)
+    out[place[1:][begin] - 1] = 0xC0 + (length - 1) % 62
+    start = place[:-1][at]
+
+    def put(kind: int, *columns: np.ndarray) -> None:
+        of = kinds == kind
+        for i, values in enumerate(columns):
+            out[start[of] + i] = np.broadcast_to(values, len(at))[of]
+
+    put(0, slot)
+    put(1, 0x40 + (dr + 2 << 4) + (dg + 2 << 2) + db + 2)
+    put(2, 0x80 + dg + 32, (dr - dg + 8 << 4) + db - dg + 8)
+    put(3, np.int64(0xFE), *p.T[:3])
+    put(4, np.int64(0xFF), *p.T)
+    return struct.pack(">4sIIBB", b"qoif", w, h, 4, 0) + out.tobytes() + bytes(7) + b"\1"
 
 
 # TGA

@@ -307,33 +307,15 @@ def encode(levels: np.ndarray, quality: int = 85) -> bytes:
         p = np.pad(p - 128, ((0, rows * 8 - h), (0, cols * 8 - w)), mode="edge").reshape(rows, 8, cols, 8)
         c = np.einsum("ki,ricj,lj->rckl", DCT, p, DCT) / tables[min(k, 1)]
         coded.append(np.rint(c).astype(int).reshape(rows * cols, 64)[:, ZIGZAG])
-    words: list[list[tuple[int, int, int, int]]] = []  # (table, symbol, extra bits, how many)
-    last = [0, 0, 0]
-    for i in range(rows * cols):
-        for k in range(3):
-            block = coded[k][i].tolist()
-            words.append(_symbols(block, block[0] - last[k], min(k, 1)))
-            last[k] = block[0]
-    counts: list[dict[int, int]] = [{}, {}, {}, {}]
-    for unit in words:
-        for t, s, _, _ in unit:
-            counts[t][s] = counts[t].get(s, 0) + 1
-    huff = [_code_table(c) for c in counts]
-    out, acc, have = bytearray(), 0, 0
-    for unit in words:
-        for t, s, extra, n in unit:
-            code, length = huff[t][2][s]
-            acc, have = (acc << length | code) << n | extra, have + length + n
-            while have >= 8:
-                byte = acc >> have - 8 & 255
-                out.append(byte)
-                if byte == 255:
-                    out.append(0)
-                have -= 8
-            acc &= (1 << have) - 1
-    if have:
-        byte = (acc << 8 - have | (1 << 8 - have) - 1) & 255
-        out += bytes((byte, 0)) if byte == 255 else bytes((byte,))
+    tokens = _tokens(np.stack(coded, 1))
+    counts = np.bincount(tokens[0] << 8 | tokens[1], minlength=1024).reshape(4, 256)
+    huff = [_code_table({int(s): int(c[s]) for s in np.flatnonzero(c)}) for c in counts]
+    codes = np.zeros((2, 1024), np.int64)
+    for t, (_, _, table) in enumerate(huff):
+        for s, pair in table.items():
+            codes[:, t << 8 | s] = pair
+    code, length = codes[:, tokens[0] << 8 | tokens[1]]
+    out = _packed_bits(code << tokens[3] | tokens[2], length + tokens[3]).replace(b"\xff", b"\xff\0")
     segment = lambda kind, body: bytes((0xFF, kind)) + struct.pack(">H", len(body) + 2) + body
     head = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
     for k, t in enumerate(tables):
@@ -341,27 +323,33 @@ def encode(levels: np.ndarray, quality: int = 85) -> bytes:
     head += segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"".join(bytes((k + 1, 0x11, min(k, 1))) for k in range(3)))
     for t, place in zip(range(4), (0x00, 0x01, 0x10, 0x11), strict=True):
         head += segment(0xC4, bytes((place,)) + huff[t][0] + huff[t][1])
-    return head + segment(0xDA, b"\3" + bytes((1, 0, 2, 0x11, 3, 0x11)) + b"\0\x3f\0") + bytes(out) + b"\xff\xd9"
-
-
-def _symbols(block: list[int], dc: int, table: int) -> list[tuple[int, int, int, int]]:
-    out = []
-
-    def put(t: int, run: int, v: int) -> None:
-        n = abs(v).bit_length()
-        out.append((t, run << 4 | n, v if v > 0 else v + (1 << n) - 1, n))
-
-    put(table, 0, dc)
-    zeros = 0
-    for v in block[1:]:
-        if not v:
-            zeros += 1
-            continue
-        while zeros > 15:
-            out.append((2 + table, 0xF0, 0, 0))
-            zeros -= 16
-        put(2 + table, zeros, v)
-        zeros = 0
-    if zeros:
-        out.append((2 + table, 0, 0, 0))
-    return out
+    return head + segment(0xDA, b"\3" + bytes((1, 0, 2, 0x11, 3, 0x11)) + b"\0\x3f\0") + out + b"\xff\xd9"
+
+
+def _tokens(blocks: np.ndarray) -> np.ndarray:
+    """(table, symbol, extra bits, how many) of coefficients (block, plane, 64), in the order of the file: tables 0 and 1 are for first coefficients, 2 and 3 for the rest."""
+    n = blocks.shape[0] * 3
+    flat = blocks.reshape(n, 64)
+    plane = np.minimum(np.arange(n) % 3, 1)
+    first = np.diff(blocks[..., 0], axis=0, prepend=0).reshape(n)
+    unit, place = np.nonzero(flat[:, 1:])
+    place = place + 1
+    fresh = np.concatenate([[True], unit[1:] != unit[:-1]])[: len(unit)]
+    zeros = place - np.where(fresh, 0, np.concatenate([[0], place[:-1]])[: len(unit)]) - 1
+    sixteen = np.repeat(np.arange(len(unit)), zeros >> 4)
+    short = np.flatnonzero(np.bincount(unit[place == 63], minlength=n) == 0)  # units that end in zeros
+    value = np.concatenate([first, np.zeros(len(sixteen), np.int64), flat[unit, place], np.zeros(len(short), np.int64)])
+    size = np.frexp(np.abs(value))[1].astype(np.int64)
+    symbol = np.concatenate([np.zeros(n, np.int64), np.full(len(sixteen), 0xF0), (zeros & 15) << 4, np.zeros(len(short), np.int64)]) | size
+    table = np.concatenate([plane, 2 + plane[unit[sixteen]], 2 + plane[unit], 2 + plane[short]])
+    extra = np.where(value > 0, value, value + (1 << size) - 1)
+    order = np.argsort(np.concatenate([np.arange(n) * 66, unit[sixteen] * 66 + place[sixteen], unit * 66 + place, short * 66 + 65]), kind="stable")
+    return np.stack([table, symbol, extra, size])[:, order]
+
+
+def _packed_bits(values: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Values one after the other in their lengths of bits, highest bits first, filled up with ones."""
+    stop = np.cumsum(lengths)
+    after = np.repeat(stop, lengths) - np.arange(stop[-1]) - 1
+    bits = (np.repeat(values, lengths) >> after & 1).astype(np.uint8)
+    return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])).tobytes()
