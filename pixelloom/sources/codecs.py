@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from pixelloom.sources import jpeg
+from pixelloom.sources import icc, jpeg, webp
 
 LINEAR = {"hdr", "pfm", "fits"}
 
@@ -954,10 +954,24 @@ def encode_dds(img: np.ndarray) -> bytes:
     return head + levels8(img).tobytes()
 
 
+# WebP
+
+
+def decode_webp(data: bytes) -> Decoded:
+    frames, delays, _ = webp.decode(data)
+    return Decoded([rgba(f) for f in frames], delays)
+
+
+def encode_webp(img: np.ndarray) -> bytes:
+    """Lossless."""
+    return webp.encode(levels8(img))
+
+
 MAGIC: tuple[tuple[str, Callable[[bytes], bool]], ...] = (
     ("png", lambda d: d[:8] == b"\x89PNG\r\n\x1a\n"),
     ("jpeg", lambda d: d[:3] == b"\xff\xd8\xff"),
     ("gif", lambda d: d[:6] in (b"GIF87a", b"GIF89a")),
+    ("webp", lambda d: d[:4] == b"RIFF" and d[8:12] == b"WEBP"),
     ("bmp", lambda d: d[:2] == b"BM"),
     ("exr", lambda d: d[:4] == b"\x76\x2f\x31\x01"),
     ("dds", lambda d: d[:4] == b"DDS "),
@@ -970,10 +984,10 @@ MAGIC: tuple[tuple[str, Callable[[bytes], bool]], ...] = (
     ("tga", lambda d: len(d) > 18 and d[1] in (0, 1) and d[2] in (1, 2, 3, 9, 10, 11) and d[16] in (8, 15, 16, 24, 32)),
 )
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {
-    "png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "bmp": decode_bmp, "qoi": decode_qoi, "tiff": decode_tiff, "hdr": decode_hdr, "fits": decode_fits, "exr": decode_exr, "dds": decode_dds, "ico": decode_ico, "pnm": decode_pnm, "tga": decode_tga,
+    "png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "webp": decode_webp, "bmp": decode_bmp, "qoi": decode_qoi, "tiff": decode_tiff, "hdr": decode_hdr, "fits": decode_fits, "exr": decode_exr, "dds": decode_dds, "ico": decode_ico, "pnm": decode_pnm, "tga": decode_tga,
 }
 ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
-    "png": encode_png, "jpeg": encode_jpeg, "gif": lambda img: encode_gif([img]), "bmp": encode_bmp, "qoi": encode_qoi, "tiff": encode_tiff, "hdr": encode_hdr, "fits": encode_fits, "exr": encode_exr, "dds": encode_dds, "ico": encode_ico,
+    "png": encode_png, "jpeg": encode_jpeg, "gif": lambda img: encode_gif([img]), "webp": encode_webp, "bmp": encode_bmp, "qoi": encode_qoi, "tiff": encode_tiff, "hdr": encode_hdr, "fits": encode_fits, "exr": encode_exr, "dds": encode_dds, "ico": encode_ico,
     "ppm": encode_ppm, "pgm": encode_pgm, "pbm": encode_pbm, "pam": encode_pam, "pfm": encode_pfm, "tga": encode_tga,
 }
 
@@ -983,8 +997,8 @@ def detect(data: bytes) -> str | None:
     return next((name for name, test in MAGIC if test(data)), None)
 
 
-def decode(data: bytes, hint: str | None = None) -> Decoded:
-    """Linear frames of a file."""
+def decode(data: bytes, hint: str | None = None, profiles: bool = True) -> Decoded:
+    """Linear frames of a file, by its ICC profile if it has one that can be read, else taken as sRGB."""
     name = detect(data) or hint
     if name not in DECODERS:
         raise ValueError(f"no decoder for {name or 'this data'}")
@@ -993,11 +1007,22 @@ def decode(data: bytes, hint: str | None = None) -> Decoded:
     except (struct.error, IndexError, KeyError, TypeError, AttributeError, StopIteration, zlib.error) as broken:
         raise ValueError(f"broken {name} data: {broken!r}") from broken
     if not found.linear:
+        convert = (_profiled(data) if profiles else None) or to_linear
         for f in found.frames:
-            f[..., :3] = to_linear(f[..., :3])
+            f[..., :3] = convert(f[..., :3])
     return found
 
 
+def _profiled(data: bytes) -> Callable[[np.ndarray], np.ndarray] | None:
+    """What a file's own profile makes of its levels: of RGB and gray ones; levels of CMYK files are RGB by then."""
+    content = icc.extract(data)
+    try:
+        profile = icc.Profile(content) if content else None
+    except ValueError:
+        return None
+    return profile.linear if profile and profile.space in ("RGB", "GRAY") else None
+
+
 def encode(img: np.ndarray, name: str) -> bytes:
     """A file of one linear frame."""
     if name not in ENCODERS:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pixelloom.plans.run import packed, unpacked
-from pixelloom.sources import codecs, metadata
+from pixelloom.sources import codecs, metadata, webp
 
 FRAME_SCHEMA = (
     "image_id long, path string, format string, frame_index int, frames int, delay_ms int, width long, height long, color_space string, metadata map<string,map<string,string>>, data binary"
@@ -163,7 +163,7 @@ def _pam_size(data: bytes) -> tuple[int, int]:
 
 
 #: Sizes from headers that take more than a look at a fixed place.
-HEADERS = {"jpeg": _jpeg_size, "tiff": _tiff_size, "dds": lambda d: struct.unpack_from("<II", d, 12)[::-1], "exr": _exr_size, "hdr": _hdr_size, "fits": _fits_size, "pnm": _pam_size}
+HEADERS = {"jpeg": _jpeg_size, "tiff": _tiff_size, "dds": lambda d: struct.unpack_from("<II", d, 12)[::-1], "exr": _exr_size, "hdr": _hdr_size, "fits": _fits_size, "pnm": _pam_size, "webp": webp.size_of}
 
 
 def probe(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
