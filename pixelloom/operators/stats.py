@@ -6,7 +6,7 @@ import math
 
 from pixelloom.functions.sql import LUMA, clamp, each, half_up, lerp, n, whole
 from pixelloom.operators.points import to_lab
-from pixelloom.plans.registry import plan
+from pixelloom.plans.registry import metric, plan
 from pixelloom.plans.rel import Rel
 
 RUNNING = "(PARTITION BY image_id ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -173,6 +173,7 @@ def _compared(a: Rel, b: Rel) -> Rel:
     return a.pick("image_id", "y", "x", "r", "g", "b").join(b.pick("image_id", "y", "x", _r="r", _g="g", _b="b"), ["image_id", "y", "x"])
 
 
+@metric("metrics")
 def metrics(a: Rel, b: Rel) -> Rel:
     """(image_id, mae, rmse, psnr) over 8-bit levels of r, g, b; psnr is null for equal images (infinite)."""
     level = lambda c: half_up(clamp(c) + " * 255e0")
@@ -187,11 +188,13 @@ def _labs(a: Rel, b: Rel) -> Rel:
     return both.pick("image_id", "y", "x", "l1", "a1", "b1", l2="_ll", a2="_aa", b2="_bb")
 
 
+@metric("delta_e")
 def delta_e(a: Rel, b: Rel) -> Rel:
     """(image_id, delta_e): mean distance in Lab."""
     return _labs(a, b).agg(["image_id"], delta_e="avg(sqrt((l1 - l2) * (l1 - l2) + (a1 - a2) * (a1 - a2) + (b1 - b2) * (b1 - b2)))")
 
 
+@metric("delta_e_94")
 def delta_e_94(a: Rel, b: Rel) -> Rel:
     """(image_id, delta_e): mean CIE 1994 difference, for graphic arts."""
     from pixelloom.operators.looks import delta_e_94 as difference
@@ -199,6 +202,7 @@ def delta_e_94(a: Rel, b: Rel) -> Rel:
     return _labs(a, b).agg(["image_id"], delta_e=f"avg({difference('l1', 'a1', 'b1', 'l2', 'a2', 'b2')})")
 
 
+@metric("delta_e_2000")
 def delta_e_2000(a: Rel, b: Rel) -> Rel:
     """(image_id, delta_e): mean CIEDE2000 difference."""
     seventh = lambda e: f"sqrt(pow({e}, 7e0) / (pow({e}, 7e0) + {n(25.0**7)}))"
@@ -232,6 +236,7 @@ def statistics_u16(rel: Rel) -> Rel:
     return statistics(rel.let(**{c: half_up(clamp(c) + " * 65535e0") for c in "rgba"}))
 
 
+@metric("ssim")
 def ssim(a: Rel, b: Rel, size: int = 11, sigma: float = 1.5) -> Rel:
     """(image_id, ssim): structural similarity of 8-bit levels, by a Gaussian window that lies inside the image, mean over places and channels."""
     r = size // 2

@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.operators import geometry, kernels, looks, points, stats, text, warps, whole
-from pixelloom.plans import run
-from pixelloom.plans.registry import OPERATORS, PIXEL, Operator
+from pixelloom.plans import run, staged
+from pixelloom.plans.registry import METRICS, OPERATORS, PIXEL, Operator
+from pixelloom.plans.rel import SparkRel
+from pixelloom.plans.staged import Bound
 
 assert geometry and kernels and looks and points and stats and text and warps and whole  # registered on import
 
@@ -41,6 +43,8 @@ def _digest(value: Any) -> str:
         return f"{whole.dtype.str}{whole.shape}{hashlib.sha256(whole.tobytes()).hexdigest()}"
     if isinstance(value, np.generic):
         return f"{value.dtype.str}{value.item()!r}"
+    if isinstance(value, Bound):
+        return value.key()
     return f"{type(value).__qualname__}{hashlib.sha256(pickle.dumps(value)).hexdigest()}"
 
 
@@ -55,6 +59,10 @@ class Step:
     params: dict[str, Any]
     others: tuple[Any, ...] = ()
 
+    @property
+    def bound(self) -> bool:
+        return any(isinstance(v, Bound) for v in self.params.values())
+
     def key(self) -> str:
         return f"{self.op.name}{json.dumps(self.params, sort_keys=True, default=_digest)}"
 
@@ -66,6 +74,8 @@ class Pipeline:
     source: DataFrame
     steps: tuple[Step, ...] = ()
     space: str = "linear"
+    #: Whether steps that aren't safe under ACES colour management are refused.
+    strict: bool = False
 
     def __getattr__(self, name: str) -> Callable[..., Pipeline]:
         if name.startswith("_") or name not in OPERATORS:
@@ -77,7 +87,7 @@ class Pipeline:
         op = OPERATORS[name]
         if len(others) != op.inputs - 1:
             raise TypeError(f"{name} takes {op.inputs - 1} further inputs")
-        return replace(self, steps=(*self.steps, Step(op, op.bind(params), others)))
+        return replace(self, steps=(*self.steps, Step(op, staged.check(op, params), others)))
 
     def proxy(self, scale: float) -> Pipeline:
         """The pipeline for a source at another scale: sizes in pixels are multiplied."""
@@ -103,6 +113,18 @@ class Pipeline:
                 out.append((form, s.op.name))
         return out
 
+    def audit(self) -> staged.Audit:
+        """Compliance of the steps with ACES colour management."""
+        return staged.Audit(tuple((s.op.name, staged.level_of(s.op)) for s in self.steps))
+
+    def waves(self) -> list[list[int]]:
+        """Steps with bound parameters in the order in which their analyses can run."""
+        return staged.waves(self.steps)
+
+    def compare(self, metric: str, other: Pipeline | DataFrame) -> DataFrame:
+        """A registered measure of each image beside the other's of the same image_id."""
+        return METRICS[metric](SparkRel(self.pixels()), SparkRel(other.pixels() if isinstance(other, Pipeline) else other)).df
+
     def explain(self) -> None:
         self.frame().explain("formatted")
 
@@ -137,17 +159,26 @@ class Pipeline:
                 kept.append(s)
         for i in range(len(kept)):
             j = i
-            while kept[j].op.name == "crop" and j and kept[j - 1].op.category in BY_VALUE and kept[j - 1].op.narrow and not _uses_statistics(kept[j - 1].op):
+            while kept[j].op.name == "crop" and not kept[j].bound and j and not kept[j - 1].bound and kept[j - 1].op.category in BY_VALUE and kept[j - 1].op.narrow and not _uses_statistics(kept[j - 1].op):
                 kept[j - 1], kept[j] = kept[j], kept[j - 1]
                 j -= 1
         return kept
 
     def frame(self) -> DataFrame:
         """The result as a DataFrame, of pixels, or of whole images where only kernels ran on such."""
+        if self.strict and not self.audit().safe:
+            raise ValueError(str(self.audit()))
+        self.waves()  # raises where an analysis comes too late
         df, at = self.source, 0
         todo = self.planned()
         while at < len(todo):
             s = todo[at]
+            if s.bound:
+                df = df if run.is_packed(df) else run.to_images(df)
+                own = next(i for i, t in enumerate(self.steps) if t is s)
+                df = staged.bound_images(df, s.op, s.params, lambda n, own=own: replace(self, steps=self.steps[: own if n is None else n], strict=False).images())
+                at += 1
+                continue
             if not run.uses_kernel(s.op, df):
                 if run.is_packed(df):
                     df = run.to_pixels(df)
@@ -156,7 +187,7 @@ class Pipeline:
                 at += 1
                 continue
             end = at
-            while end < len(todo) and run.uses_kernel(todo[end].op, df):
+            while end < len(todo) and not todo[end].bound and run.uses_kernel(todo[end].op, df):
                 end += 1
             chain = [(lambda img, f=t.op.kernel, p=t.params: f(img, **p)) for t in todo[at:end]]
             if run.is_packed(df):
@@ -221,6 +252,8 @@ NEUTRAL = {
 
 
 def _identity(s: Step) -> bool:
+    if s.bound:
+        return False
     if s.op.name == "convert_color_space":
         return s.params["source"] == s.params["target"]
     neutral = NEUTRAL.get(s.op.name)

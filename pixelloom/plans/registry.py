@@ -54,6 +54,10 @@ class Operator:
     single: bool = False
     example: dict[str, Any] = field(default_factory=dict)
     doc: str = ""
+    #: Compliance with ACES colour management as declared: compliant, log, non-compliant, or unknown.
+    aces: str | None = None
+    #: Layout that a mapper's result is for, where it isn't that of its input.
+    output: str | None = None
 
     def bind(self, given: dict[str, Any]) -> dict[str, Any]:
         """All parameters, checked."""
@@ -120,3 +124,55 @@ def kernel(name: str, category: str, example: dict[str, Any] | None = None, halo
         return f
 
     return wrap
+
+
+def mapper(name: str, category: str, output: str, example: dict[str, Any] | None = None, **spec: Any):
+    """Registers a function (image, **params) -> image whose result is meant for another layout of raw pixels."""
+
+    def wrap(f):
+        kernel(name, category, example, **spec)(f)
+        OPERATORS[name].output = output
+        return f
+
+    return wrap
+
+
+def composite(name: str, category: str, example: dict[str, Any] | None = None, **spec: Any):
+    """Registers a function (**params) -> [(operator, parameters), ...] of operators with one input that run one after another."""
+
+    def wrap(f):
+        def steps(params: dict[str, Any]) -> list[tuple[Operator, dict[str, Any]]]:
+            return [(OPERATORS[step], OPERATORS[step].bind(given)) for step, given in f(**params)]
+
+        def on_rows(rel: Rel, **params: Any) -> Rel:
+            for op, own in steps(params):
+                if op.plan is None:
+                    raise NotImplementedError(f"{op.name} has no plan")
+                rel = op.plan(rel, **own)
+            return rel
+
+        def on_image(img: Any, **params: Any) -> Any:
+            for op, own in steps(params):
+                img = op.kernel(img, **own)
+            return img
+
+        register(Operator(name, category, _params(spec), plan=on_rows, kernel=on_image, example=example or {}, doc=(f.__doc__ or "").strip()))
+        return f
+
+    return wrap
+
+
+#: Measures of two images, (rel, rel) -> rel with a row for each image.
+METRICS: dict[str, Callable[[Rel, Rel], Rel]] = {}
+
+
+def metric(name: str):
+    """Registers a measure of two images."""
+
+    def wrap(f):
+        if name in METRICS:
+            raise ValueError(f"{name} is registered twice")
+        METRICS[name] = f
+        return f
+
+    return wrap

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pixelloom.plans.run import packed, unpacked
-from pixelloom.sources import codecs, metadata, webp
+from pixelloom.sources import codecs, layouts, metadata, webp
 
 FRAME_SCHEMA = (
     "image_id long, path string, format string, frame_index int, frames int, delay_ms int, width long, height long, color_space string, metadata map<string,map<string,string>>, data binary"
@@ -63,15 +63,15 @@ def read(spark: SparkSession, path: str, pattern: str = "*", frames: str | Seque
 
 
 def from_raw(rows: DataFrame, layout: str = "rgba8") -> DataFrame:
-    """Whole images of rows (image_id, width, height, content) of raw pixels: rgba8 (sRGB), rgba16 (linear, little-endian) or f32."""
+    """Whole images of rows (image_id, width, height, content) of raw pixels in a layout of layouts.py: levels of 8 bits are sRGB, others linear; f32 is rgba32f."""
+    layout = "rgba32f" if layout == "f32" else layout
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for w, h, content in zip(pdf["width"], pdf["height"], pdf["content"], strict=True):
-                kind, top = {"rgba8": ("u1", 255.0), "rgba16": ("<u2", 65535.0), "f32": ("<f4", 1.0)}[layout]
-                img = codecs.rgba(np.frombuffer(content, kind).reshape(h, w, 4), top)
-                if layout == "rgba8":
+                img = layouts.to_rgba(content, int(w), int(h), layout)
+                if _levels(layout):
                     img[..., :3] = codecs.to_linear(img[..., :3])
                 out.append(packed(img))
             yield pd.DataFrame({"image_id": pdf["image_id"], "width": pdf["width"], "height": pdf["height"], "data": out})
@@ -79,6 +79,26 @@ def from_raw(rows: DataFrame, layout: str = "rgba8") -> DataFrame:
     return rows.select("image_id", "width", "height", "content").mapInPandas(run, "image_id long, width long, height long, data binary")
 
 
+def to_raw(images: DataFrame, layout: str = "rgba8") -> DataFrame:
+    """The reverse of from_raw."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for w, h, data in zip(pdf["width"], pdf["height"], pdf["data"], strict=True):
+                img = unpacked(data, int(w), int(h))
+                if _levels(layout):
+                    img[..., :3] = codecs.to_srgb(img[..., :3])
+                out.append(layouts.from_rgba(img, layout))
+            yield pd.DataFrame({"image_id": pdf["image_id"], "width": pdf["width"], "height": pdf["height"], "content": out})
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, width long, height long, content binary")
+
+
+def _levels(layout: str) -> bool:
+    return not layout.endswith(("16", "f"))
+
+
 def size_of(content: bytes) -> tuple[str | None, int | None, int | None]:
     """(format, width, height) from a header."""
     name = codecs.detect(content)
