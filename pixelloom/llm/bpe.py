@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -103,6 +104,11 @@ class Vocabulary:
 
     def __init__(self, entries: dict[bytes, int]):
         self.ranks = entries
+        #: rank of each pair of bytes, -1 where it is no entry
+        self.pairs = [-1] * 65536
+        for w, rank in entries.items():
+            if len(w) == 2:
+                self.pairs[w[0] << 8 | w[1]] = rank
         words = sorted(entries, key=entries.get)
         self.ids = np.array([entries[w] for w in words], np.uint32)
         self.blob = np.frombuffer(b"".join(words), np.uint8)
@@ -178,17 +184,21 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token: the pair of lowest rank, leftmost first, is merged until none is left."""
-        ranks = self.ranks
+        ranks, pairs = self.ranks, self.pairs
         n = len(word)
         if n == 1:
             return [ranks[word]]
         after = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged into its left neighbour
         before = list(range(-1, n - 1))
         get = ranks.get
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+        # (rank, start, stop) of a candidate as one number, which orders like the three
+        bits = n.bit_length()
+        high, low = 2 * bits, (1 << bits) - 1
+        heap = [pairs[a << 8 | b] << high | i << bits | i + 2 for i, (a, b) in enumerate(zip(word, word[1:])) if pairs[a << 8 | b] >= 0]  # noqa: B905
         heapify(heap)
         while heap:
-            _, i, stop = heappop(heap)
+            found = heappop(heap)
+            i, stop = found >> bits & low, found & low
             j = after[i]
             if j == 0 or j >= n or after[j] != stop:
                 continue
@@ -196,9 +206,9 @@ class Vocabulary:
             if stop < n:
                 before[stop] = i
                 if (r := get(word[i : after[stop]])) is not None:
-                    heappush(heap, (r, i, after[stop]))
+                    heappush(heap, r << high | i << bits | after[stop])
             if (h := before[i]) >= 0 and (r := get(word[h:stop])) is not None:
-                heappush(heap, (r, h, stop))
+                heappush(heap, r << high | h << bits | stop)
         out, i = [], 0
         while i < n:
             out.append(ranks[word[i : after[i]]])
@@ -215,7 +225,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder and decoder of chunks. Keeps the merges of recent misses, at most `kept` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, kept: int = 400_000):
         self.v, self.kept, self.known = vocabulary, kept, {}
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,18 +252,18 @@ class Codec:
                 word = raw[s:e]
                 got = known.get(word)
                 if got is None:
-                    got = self.v.merge(word)
+                    got = array("I", self.v.merge(word)).tobytes()
                     if len(known) >= self.kept:
                         known.clear()
                     if e - s <= 64:
                         known[word] = got
                 merged.append(got)
-            sizes[missed] = [len(x) for x in merged]
+            sizes[missed] = [len(x) >> 2 for x in merged]
             offset = np.cumsum(sizes) - sizes
             wide = np.zeros(int(sizes.sum()), np.uint32)
             hit = entry >= 0
             wide[offset[hit]] = flat[hit]
-            wide[spread(offset[missed], sizes[missed])] = np.fromiter((x for got in merged for x in got), np.uint32, int(sizes[missed].sum()))
+            wide[spread(offset[missed], sizes[missed])] = np.frombuffer(b"".join(merged), np.uint32)
             flat = wide
         offset = np.cumsum(sizes) - sizes
         own = sizes[back]
