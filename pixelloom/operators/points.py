@@ -145,7 +145,7 @@ TO_LINEAR = {
 
 
 #: Input transforms by name: colour spaces from which and to which they convert.
-INPUTS = {"idt-srgb": ("srgb", "acescg"), "idt-rec709": ("srgb", "acescg"), "csc-acescg-to-cct": ("acescg", "acescct"), "csc-acescct-to-cg": ("acescct", "acescg"), "identity": ("linear", "linear")}
+INPUTS = {"idt-srgb": ("srgb", "acescg"), "idt-rec709": ("rec709", "acescg"), "idt-rec2020": ("rec2020", "acescg"), "idt-p3": ("display_p3", "acescg"), "csc-acescg-to-cct": ("acescg", "acescct"), "csc-acescct-to-cg": ("acescct", "acescg"), "identity": ("linear", "linear")}
 
 
 def conversion(source: str, target: str) -> list[dict[str, str]]:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelloom.functions import matrices
 from pixelloom.operators import tables
 from pixelloom.plans import registry, run, staged
 from pixelloom.plans.pipeline import Pipeline, crop_boxes
@@ -148,6 +149,16 @@ def test_audit(pictures):
         Pipeline(pictures, chain.steps, strict=True).frame()
 
 
+@pytest.mark.parametrize("preset", ["idt-rec709", "idt-rec2020", "idt-p3"])
+def test_inputs_without_a_curve_are_taken_as_linear(preset):
+    """These spaces pass through unchanged before the matrix."""
+    img = np.random.default_rng(1).random((2, 3, 4))
+    got = OPERATORS["color_transform"].kernel(img, preset=preset)
+    assert np.abs(got[..., :3] - img[..., :3] @ matrices.SRGB_TO_ACESCG.T).max() < 1e-12
+    curved = OPERATORS["color_transform"].kernel(img, preset="idt-srgb")
+    assert np.abs(curved[..., :3] - codecs.to_linear(img[..., :3]) @ matrices.SRGB_TO_ACESCG.T).max() < 1e-9
+
+
 def test_tables_of_levels(pictures):
     invert, post = tables.level_table("invert"), tables.level_table("posterize", levels=4)
     assert (invert == 255 - np.arange(256)).all()
@@ -202,4 +213,3 @@ def test_users_register(pictures):
         for name in names:
             OPERATORS.pop(name, None)
         METRICS.pop("test_worst", None)
-    assert codecs.ENCODERS
