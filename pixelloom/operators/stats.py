@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pixelloom.functions.sql import LUMA, clamp, each, half_up, lerp, n, whole
 from pixelloom.operators.points import to_lab
 from pixelloom.plans.registry import metric, plan
-from pixelloom.plans.rel import Rel
+from pixelloom.plans.rel import Rel, SparkRel
 
 RUNNING = "(PARTITION BY image_id ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BACKWARD = "(PARTITION BY image_id ORDER BY _bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -154,6 +158,8 @@ def statistics(rel: Rel) -> Rel:
 
 def histogram_match(source: Rel, target: Rel) -> Rel:
     """Pixels of source with each channel's levels moved to the target's levels of the nearest cumulative share, the lowest on ties."""
+    if isinstance(source, SparkRel):
+        return _matched(source, target)
     out = source.let(**{f"_b{c}": round_bin(c) for c in "rgb"})
     for c in "rgb":
         sides = []
@@ -169,6 +175,46 @@ def histogram_match(source: Rel, target: Rel) -> Rel:
     return tidy(out.let(**{c: f"_v{c}" for c in "rgb"}))
 
 
+#: Pixels of one image whose levels are counted together, so one huge image doesn't become one task.
+BLOCK = 65536
+
+
+def _matched(source: SparkRel, target: SparkRel) -> SparkRel:
+    """histogram_match without its pairs of levels: pixels go to their images once to be counted and once to be changed, and all that is held for an image is two histograms."""
+    sides = []
+    for side, rel in enumerate((source, target)):
+        packed = " + ".join(f"{256**k} * {round_bin(c)}" for k, c in enumerate("rgb"))
+        sides.append(rel.pick("image_id", _block=whole(f"(y * width + x) / {BLOCK}e0"), _side=f"cast({3 * side} as bigint)", _packed=packed))
+    each_level = ", ".join(f"256 * (_side + {k}) + (shiftright(_packed, {8 * k}) & 255)" for k in range(3))
+    levels = SparkRel(sides[0].union(sides[1]).df.repartition("image_id", "_block")).pick("image_id", "_block", _bin=f"explode(array({each_level}))")
+    blocks = levels.agg(["image_id", "_block", "_bin"], _n="count(*)").drop("_block")
+    found = SparkRel(blocks.df.repartition("image_id")).agg(["image_id", "_bin"], _n="sum(_n)").agg(["image_id"], _bins="collect_list(_bin)", _counts="collect_list(_n)")
+    tables = SparkRel(found.df.mapInArrow(_level_tables, "image_id long, _to array<smallint>"))
+    moved = {c: f"_to[cast({256 * k} + {round_bin(c)} as int)] / 255e0" for k, c in enumerate("rgb")}
+    return tidy(source.join(tables, ["image_id"]).let(**moved))
+
+
+def nearest_levels(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For each level the lowest one whose share of pixels up to it in the target is nearest to the source's."""
+    a, b = (np.cumsum(v) * 1.0 / v.sum() for v in (source, target))
+    return np.abs(a[:, None] - b).argmin(1)
+
+
+def _level_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, tables = [], []
+        for i, bins, counts in zip(*(batch.column(c) for c in ("image_id", "_bins", "_counts")), strict=True):
+            both = np.zeros(6 * 256, np.int64)
+            both[bins.values.to_numpy()] = counts.values.to_numpy()
+            source, target = both.reshape(2, 3, 256)
+            if source.any() and target.any():
+                ids.append(i.as_py())
+                tables.append(np.concatenate([nearest_levels(*pair) for pair in zip(source, target, strict=True)]))
+        flat = np.concatenate(tables).astype(np.int16) if tables else np.empty(0, np.int16)
+        to = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 768), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), to], ["image_id", "_to"])
+
+
 def _compared(a: Rel, b: Rel) -> Rel:
     return a.pick("image_id", "y", "x", "r", "g", "b").join(b.pick("image_id", "y", "x", _r="r", _g="g", _b="b"), ["image_id", "y", "x"])
 
