@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _U = np.uint64
@@ -35,8 +37,17 @@ class Sequence:
 
     def gaussian(self, n: int) -> np.ndarray:
         """The next n standard normal values (Box and Muller, the cosine only)."""
-        u = self.unit(2 * n)
-        return np.sqrt(-2 * np.log(np.maximum(u[::2], 1e-10))) * np.cos(2 * np.pi * u[1::2])
+        return normal(self.unit(2 * n))
+
+    def units(self, block: int) -> Iterator[float]:
+        """The values one by one without end, made in blocks: for draws whose number hangs on what was drawn."""
+        while True:
+            yield from self.unit(block).tolist()
+
+
+def normal(u: np.ndarray) -> np.ndarray:
+    """Standard normal values of pairs of values in [0, 1)."""
+    return np.sqrt(-2 * np.log(np.maximum(u[::2], 1e-10))) * np.cos(2 * np.pi * u[1::2])
 
 
 def place_hash(x: np.ndarray, y: np.ndarray | int, seed: int) -> np.ndarray:

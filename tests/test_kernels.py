@@ -93,6 +93,28 @@ def test_noise_is_the_sequence(img):
             assert (out[i, :3] == want).all()
 
 
+@pytest.mark.parametrize("scale", [0.5, 12.0, 300.0])
+def test_poisson_noise_is_the_sequence_drawn_in_blocks(img, scale, monkeypatch):
+    calls = []
+    unit = noise.Sequence.unit
+    monkeypatch.setattr(noise.Sequence, "unit", lambda self, n: calls.append(n) or unit(self, n))
+    big = np.tile(img, (7, 24, 1))[:80, :300]  # more values than are worked on at once
+    out = run("poisson_noise", big, scale=scale)
+    assert len(calls) < 20 and max(calls) <= 1 << 16
+    states = splitmix(42 ^ noise.SEEDS["poisson"])
+    draw = lambda: (next(states) >> 40) / 2**24
+    for v, got in zip(big[..., :3].ravel(), out[..., :3].ravel(), strict=True):
+        mean = max(v * scale, 0.001)
+        if mean > 10:
+            far = math.sqrt(-2 * math.log(max(draw(), 1e-10)))
+            want = mean + math.sqrt(mean) * far * math.cos(2 * math.pi * draw())
+        else:
+            want, p = 0, draw()
+            while p > math.exp(-mean):
+                want, p = want + 1, p * draw()
+        assert got == pytest.approx(want / scale, abs=1e-9)
+
+
 def test_seams_are_least(img):
     carved = k.carve(img[:5, :6], 1)
     rgb = img[:5, :6, :3]
