@@ -177,18 +177,21 @@ def histogram_match(source: Rel, target: Rel) -> Rel:
 
 #: Pixels of one image whose levels are counted together, so one huge image doesn't become one task.
 BLOCK = 65536
+#: Parts in which levels are counted, at least. Few bytes arrive for many counts, so they must not be merged by their bytes.
+PARTS = 128
 
 
 def _matched(source: SparkRel, target: SparkRel) -> SparkRel:
     """histogram_match without its pairs of levels: pixels go to their images once to be counted and once to be changed, and all that is held for an image is two histograms."""
+    parts = max(int(source.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS)
     sides = []
     for side, rel in enumerate((source, target)):
         packed = " + ".join(f"{256**k} * {round_bin(c)}" for k, c in enumerate("rgb"))
         sides.append(rel.pick("image_id", _block=whole(f"(y * width + x) / {BLOCK}e0"), _side=f"cast({3 * side} as bigint)", _packed=packed))
     each_level = ", ".join(f"256 * (_side + {k}) + (shiftright(_packed, {8 * k}) & 255)" for k in range(3))
-    levels = SparkRel(sides[0].union(sides[1]).df.repartition("image_id", "_block")).pick("image_id", "_block", _bin=f"explode(array({each_level}))")
+    levels = SparkRel(sides[0].union(sides[1]).df.repartition(parts, "image_id", "_block")).pick("image_id", "_block", _bin=f"explode(array({each_level}))")
     blocks = levels.agg(["image_id", "_block", "_bin"], _n="count(*)").drop("_block")
-    found = SparkRel(blocks.df.repartition("image_id")).agg(["image_id", "_bin"], _n="sum(_n)").agg(["image_id"], _bins="collect_list(_bin)", _counts="collect_list(_n)")
+    found = SparkRel(blocks.df.repartition(parts, "image_id")).agg(["image_id", "_bin"], _n="sum(_n)").agg(["image_id"], _bins="collect_list(_bin)", _counts="collect_list(_n)")
     tables = SparkRel(found.df.mapInArrow(_level_tables, "image_id long, _to array<smallint>"))
     moved = {c: f"_to[cast({256 * k} + {round_bin(c)} as int)] / 255e0" for k, c in enumerate("rgb")}
     return tidy(source.join(tables, ["image_id"]).let(**moved))
